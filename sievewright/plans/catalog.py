@@ -1,0 +1,6 @@
+"""The registered queries and their SQL counterparts."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
