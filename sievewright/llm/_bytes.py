@@ -60,11 +60,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-@lru_cache(maxsize=1)
-def byte_codes() -> np.ndarray:
-    """A fixed 64-bit code for each byte after A-Z are lower-cased."""
+@lru_cache(maxsize=2)
+def byte_codes(fold: bool) -> np.ndarray:
+    """A fixed 64-bit code for each byte; with fold, A-Z have those of a-z."""
     codes = np.random.default_rng(20240229).integers(1, _MASK, 256, dtype=np.uint64) | np.uint64(1)
-    codes[65:91] = codes[97:123]
+    if fold:
+        codes[65:91] = codes[97:123]
     return codes
 
 
@@ -77,8 +78,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, 64-bit hash of the lower-cased bytes) of each word in buf.
+def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash of the bytes, lower-cased with fold) of each word in buf.
 
     offs are the documents' offsets into buf; no word crosses one. is_word
     says of each byte whether it belongs to words.
@@ -99,7 +100,7 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.nd
     up, down = powers(n)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
-    np.cumsum(byte_codes()[buf] * up, out=total[1:])
+    np.cumsum(byte_codes(fold)[buf] * up, out=total[1:])
     return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 

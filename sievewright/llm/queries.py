@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, decontaminate, langid, sharding
+from sievewright.llm import bpe, chat, decontaminate, langid, secrets, sharding, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,63 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put every document into one of 40 shards by jump consistent hashing."""
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the secrets of every document."""
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
+def _secret_sql() -> str:
+    """Positions from the text between matches; every window's entropy counted afresh."""
+    base = (("assign", secrets.ASSIGN, f"length(regexp_extract(hit, '{secrets.ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8"), ("access", secrets.ACCESS, "length(hit) >= 16"), ("hex", secrets.HEX, "length(hit) >= 32"))
+    quote = lambda s: s.replace("'", "''")
+
+    def places(name: str, pattern: str, good: str) -> str:
+        return f"""{name} AS (
+  SELECT doc_id, hit, (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS place
+  FROM (SELECT doc_id, gaps, hits, unnest(hits) AS hit, unnest(range(1, len(hits) + 1)) AS i
+        FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{quote(pattern)}') AS gaps, regexp_extract_all(coalesce(text, ''), '{quote(pattern)}') AS hits FROM documents))
+  WHERE {good}
+)"""
+
+    parts = [places(f"b{k}", p, good) for k, (_, p, good) in enumerate(base)]
+    parts.append("base AS (" + " UNION ALL ".join(f"SELECT doc_id, {k} AS kind, place AS b, place + length(hit) AS e FROM b{k}" for k in range(3)) + ")")
+    for k, (_, alphabet, bits, needs) in enumerate(secrets.CLASSES, start=3):
+        good = [f"length(hit) >= {secrets.WINDOW}", *[f"regexp_matches(hit, '{n}')" for n in needs]]
+        good += [f"NOT regexp_matches(hit, '{secrets.ALLOWED[0]}')", f"NOT regexp_matches(hit, '{secrets.ALLOWED[1]}')"]
+        good.append("len(list_filter(range(1, length(hit) - 6), lambda p: len(list_distinct(string_split(hit[p : p + 7], ''))) = 1)) = 0")
+        parts.append(places(f"c{k}", "[" + alphabet.replace("-", r"\-") + "]+", " AND ".join(good)))
+        parts.append(f"""w{k} AS (
+  SELECT doc_id, place, p FROM (SELECT doc_id, place, hit, unnest(range(0, length(hit) - {secrets.WINDOW - 1})) AS p FROM c{k})
+  WHERE list_aggregate(string_split(hit[p + 1 : p + {secrets.WINDOW}], ''), 'entropy') >= {bits}
+), g{k} AS (
+  SELECT doc_id, place, p, sum(fresh) OVER (PARTITION BY doc_id, place ORDER BY p) AS g
+  FROM (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id, place ORDER BY p) <= {secrets.WINDOW} THEN 0 ELSE 1 END AS fresh FROM w{k})
+), s{k} AS (SELECT doc_id, {k} AS kind, place + min(p) AS b, place + max(p) + {secrets.WINDOW} AS e FROM g{k} GROUP BY doc_id, place, g)""")
+    names = "['" + "', '".join(secrets.KINDS) + "']"
+    said = f"string_agg({names}[kind + 1] || ':' || b || ':' || e, ',' ORDER BY b, kind)"
+    return "WITH " + ",\n".join(parts) + f""",
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT * FROM (SELECT * FROM s3 UNION ALL SELECT * FROM s4) s
+  WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = s.doc_id AND base.b <= s.b AND s.e <= base.e)
+), told AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, {said} AS said FROM base GROUP BY doc_id
+), every AS (SELECT doc_id, {said} AS said FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(told.said, '')) AS base_sha256, coalesce(every.said, '') AS spans
+FROM documents d LEFT JOIN told USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+ORACLES["op3_secret_scan"] = _secret_sql()
+
+
+@query
+def op8_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy word pieces of every document under the 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return wordpiece.count_tokens(table(spark, sf_dir, "documents"), *wordpiece.pieces_of_ranks(ranks))
