@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, decontaminate, langid, secrets, sharding, wordpiece
+from sievewright.llm import bpe, chat, decontaminate, langid, secrets, sharding, spans, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,9 @@ def op8_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), *wordpiece.pieces_of_ranks(ranks))
+
+
+@query
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove from every document the sentences of runs that occurred before."""
+    return spans.dedup(table(spark, sf_dir, "documents"))
