@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, decontaminate, langid, secrets, sharding, spans, wordpiece
+from sievewright.llm import bpe, chat, decontaminate, langid, ngram_join, secrets, sharding, spans, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,27 @@ def op8_word_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove from every document the sentences of runs that occurred before."""
     return spans.dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under 5-word shingle Jaccard of 3/4 or more."""
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS p FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 75 * (nx.n + ny.n - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS met FROM documents UNION SELECT node, b FROM reach JOIN link ON link.a = reach.met
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, smallest AS component_id
+FROM (SELECT node AS doc_id, min(met) AS smallest FROM reach GROUP BY node) LEFT JOIN n USING (doc_id)
+"""
