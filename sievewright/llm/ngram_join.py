@@ -41,7 +41,7 @@ NUM, DEN = 3, 4
 WIDTH, DEPTH = 1 << 18, 2
 _PIECE = 1 << 13
 #: Up to so many documents that meet under a shingle, all pairs are candidates at once.
-FEW = 16
+FEW = 4
 #: Partners of a document in a trie.
 BLOCK = 256
 #: Up to so many candidate ids are sent to every executor; more are joined by a shuffle.
@@ -90,15 +90,50 @@ def _sketch_and_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             for salt in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_bytes.mix(h + np.uint64(salt)), dtype=np.uint64)])
                 digests.append(_bytes.mix(np.diff(total[bounds]) + n.astype(np.uint64)).view(np.int64))
-            size = pa.array(n.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), size, pa.array(digests[0]), pa.array(digests[1]), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=_PASS)
+            size, marks = pa.array(n.astype(np.int64)), pa.array(_signatures(h, bounds), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), size, pa.array(digests[0]), pa.array(digests[1]), marks, pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=_PASS)
     pieces = counts.reshape(-1, _PIECE)
     n = len(pieces)
     none = pa.nulls(n, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(np.arange(n, dtype=np.int32)), pa.array([p.astype(np.int32 if p.max() < 1 << 31 else np.int64).tobytes() for p in pieces], pa.binary())], names=_PASS)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.astype(np.int32 if p.max() < 1 << 31 else np.int64).tobytes() for p in pieces], pa.binary())], names=_PASS)
 
 
-_PASS = ["doc_id", "n_shingles", "one", "two", "piece", "counts"]
+_PASS = ["doc_id", "n_shingles", "one", "two", "marks", "piece", "counts"]
+
+
+def _signatures(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parities of each set's shingles by hash, in a power of two of bits not below its size."""
+    out = []
+    for b, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits = 64
+        while bits < e - b:
+            bits *= 2
+        parity = np.bincount((h[b:e] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(parity.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their signatures.
+
+    Each shingle in one set only turns one parity, so the parities differ in at
+    most as many places. Folding a signature in half gives that of half as many bits.
+    """
+    a, b = (np.frombuffer(s, np.uint64) for s in (x, y))
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures allow the overlap that a link needs."""
+    for batch in batches:
+        na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+        most = na + nb - 2 * needed(na, nb)
+        keep = [apart(x, y) <= m for x, y, m in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), most.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +400,7 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    passed = cut(docs.mapInArrow(_sketch_and_sets, "doc_id long, n_shingles long, one long, two long, piece int, counts binary"))
+    passed = cut(docs.mapInArrow(_sketch_and_sets, "doc_id long, n_shingles long, one long, two long, marks binary, piece int, counts binary"))
     pieces = passed.where(F.col("piece").isNotNull()).select("piece", "counts")
     summed = pieces.repartition(16, "piece").sortWithinPartitions("piece").mapInArrow(_sum_pieces, "piece int, counts binary").toArrow()
     counts = np.zeros((DEPTH * WIDTH // _PIECE, _PIECE), np.int64)
@@ -383,9 +418,14 @@ def link(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = cut(postings.repartition(parts, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_meetings, _MEET))
     pairs = met.where(F.col("a").isNotNull()).select("a", "b").distinct()
-    settled = known.select(F.col("doc_id"), F.struct("one", "two", "n_shingles").alias("s"))
-    different = pairs.join(settled.toDF("a", "sa"), "a").join(settled.toDF("b", "sb"), "b").where("sa != sb").select("a", "b")
-    links = equal.unionByName(_verified(docs, different, classes))
+    signs = known.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two", "marks")).alias("s"))
+    left, right = (signs.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(left, "a").join(right, "b").where("sa.one != sb.one OR sa.two != sb.two OR sa.n_shingles != sb.n_shingles")
+        return told.selectExpr("a", "b", "sa.n_shingles AS na", "sb.n_shingles AS nb", "sa.marks AS ma", "sb.marks AS mb").mapInArrow(_possible, "a long, b long")
+
+    links = equal.unionByName(_verified(docs, possible(pairs), classes))
     found = cut(components(links))
 
     # what met under a crowded key and is not together yet
@@ -397,7 +437,7 @@ def link(docs: DataFrame) -> DataFrame:
         x, y = (crowd.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "place", "size", "component")]) for s in "xy")
         need = F.ceil(F.lit(NUM) * (F.col("size_x") + F.col("size_y")) / (NUM + DEN))
         most = F.least("place_x", "place_y") + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-        apart = x.join(y, "key").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (most >= need))
-        rest = _verified(docs, apart.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct(), classes)
+        others = x.join(y, "key").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (most >= need))
+        rest = _verified(docs, possible(others.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()), classes)
         found = components(links.unionByName(rest))
     return sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
