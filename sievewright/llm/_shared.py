@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,3 +33,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     except Exception:  # the session may have gone before; the folder is the cluster's to clear then
         pass
+
+
+#: Up to so many ids are sent to every executor; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is in ids; null ids stay."""
+    gone = cut(ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

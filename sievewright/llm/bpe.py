@@ -259,7 +259,7 @@ def _mapper(spark: SparkSession, ranks_path: str, pattern: str, row, schema: pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(ranks_path, ranks.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, max(len(b), 1), 500)):
             texts, rows = batch.column("text"), []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 rows.append((doc, *row(tool, texts[i].as_py())))
@@ -281,10 +281,16 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id and the token ids themselves, as array<int>."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    run = _mapper(docs.sparkSession, ranks_path, pattern, lambda tool, text: (tool.ids(text),), schema)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    """doc_id, n_tokens, ids (array<int>) and the digests of encode_digests()."""
+    import numpy as np
+
+    def row(tool: TextCodec, text: str | None) -> tuple:
+        n, ids, decoded = tool.text(text)
+        return n, np.fromstring(ids, np.int32, sep=" ") if ids else np.zeros(0, np.int32), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    run = _mapper(docs.sparkSession, ranks_path, pattern, row, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(ids: DataFrame, ranks_path: str) -> DataFrame:

@@ -220,3 +220,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Train on the documents that aren't held out, predict all."""
     return predict(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
+
+
+def accepted(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
+    """The rows of docs that have a language, all columns as they are.
+
+    Rejected are texts without a letter, null ones included, and texts that no
+    language's statistics code in fewer than most_bits a byte.
+    """
+    model = train(docs.where(~is_held_out(F.col("doc_id"))))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))
+    schema, letter = docs.schema, "_has_letter"
+    while letter in docs.columns:
+        letter = "_" + letter
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
+        own = Model(dict(zip(names, counts)))
+        for batch in batches:
+            keep = batch.column(letter).to_numpy(zero_copy_only=False).astype(bool)
+            if names and len(keep):
+                buf, offs = _bytes.text_bytes(batch.column("text"))
+                keep &= own.code_lengths(buf, offs).min(axis=1) < most_bits * np.diff(offs)
+            yield batch.drop_columns([letter]).filter(pa.array(keep, pa.bool_()))
+
+    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, decontaminate, langid, ngram_join, secrets, sharding, spans, wordpiece
+from sievewright.llm import bpe, chat, decontaminate, langid, ngram_join, nn_graph, secrets, sharding, spans, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -191,3 +191,17 @@ WITH RECURSIVE w AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, smallest AS component_id
 FROM (SELECT node AS doc_id, min(met) AS smallest FROM reach GROUP BY node) LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id 20 divides, among all others."""
+    return nn_graph.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -148,16 +148,20 @@ def digests(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", count(0), count(1), count(2), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every span (overlapping ones together) replaced by mark; other texts stay as they are."""
+def redact(docs: DataFrame, mark: str = "[secret]", changed: str | None = None) -> DataFrame:
+    """docs with every span (overlapping ones together) replaced by mark; other texts stay as they are.
+
+    changed names a boolean column to add: whether the text had a span.
+    """
     columns = docs.columns
     found = scan(docs.withColumnsRenamed({c: f"_in_{c}" for c in columns if c != "text"}))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
+    start = F.struct(F.lit(0).alias("done_to"), F.lit("").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        more = F.concat(s["done"], F.substring("text", s["at"] + 1, x["begin"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["begin"] < s["at"], s["done"]).otherwise(more).alias("done"))
+        more = F.concat(s["done"], F.substring("text", s["done_to"] + 1, x["begin"] - s["done_to"]), F.lit(mark))
+        return F.struct(F.greatest(s["done_to"], x["end"]).alias("done_to"), F.when(x["begin"] < s["done_to"], s["done"]).otherwise(more).alias("done"))
 
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring("text", s["at"] + 1, F.lit(1 << 30))))
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring("text", s["done_to"] + 1, F.lit(1 << 30))))
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"`_in_{c}`").alias(c) for c in columns])
+    out = [text.alias("text") if c == "text" else F.col(f"`_in_{c}`").alias(c) for c in columns]
+    return found.select(*out, *([(F.size("spans") > 0).alias(changed)] if changed else []))
