@@ -23,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
+from sievewright.llm._shared import cut
 
 MIN_WORDS = 20
 LONG_WORDS = 40
+#: Up to so many ids of documents that lose sentences are sent to every executor.
+BROADCAST_IDS = 200_000
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _Q_INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
@@ -130,5 +133,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_removed_words, first_doc_ids (where the removed runs come first) and the text left."""
-    marked = repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).cast(_SPANS).alias("spans"))
-    return docs.select("doc_id", "text").join(marked, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, n_removed_words long, first_doc_ids array<long>, text string")
+    marked = cut(repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).cast(_SPANS).alias("spans")).where(F.col("doc_id").isNotNull()))
+    rows, schema = docs.select("doc_id", "text"), "doc_id long, n_sentences long, n_removed long, n_removed_words long, first_doc_ids array<long>, text string"
+    if marked.count() > BROADCAST_IDS:
+        return rows.join(marked, "doc_id", "left").mapInArrow(_cut, schema)
+    # only texts that lose sentences move
+    ids = F.broadcast(marked.select("doc_id"))
+    whole = rows.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast(_SPANS))
+    return rows.join(ids, "doc_id", "left_semi").join(marked, "doc_id").unionByName(whole).mapInArrow(_cut, schema)
