@@ -1,39 +1,13 @@
-"""Cutting lineage in storage that every executor sees."""
+"""What the operators share: cutting lineage, and leaving out ids."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.operators.lineage import cut
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder, from spark.checkpoint.dir; a local one is set only where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table to the checkpoint folder; it goes when Python ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session may have gone before; the folder is the cluster's to clear then
-        pass
-
+__all__ = ["BROADCAST_IDS", "cut", "without"]
 
 #: Up to so many ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 200_000

@@ -23,6 +23,8 @@ and take no part in links. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +34,14 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
 from sievewright.llm._shared import cut
-from sievewright.llm.components import components
+from sievewright.operators.graph import components
 
 SHINGLE = 5
 #: Jaccard as a fraction.
 NUM, DEN = 3, 4
-#: Counters of a row of the sketch, and its rows.
-WIDTH, DEPTH = 1 << 18, 2
-_PIECE = 1 << 13
+#: Counters of the sketch.
+WIDTH = 1 << 22
+_PIECE = 1 << 16
 #: Up to so many documents that meet under a shingle, all pairs are candidates at once.
 FEW = 4
 #: Partners of a document in a trie.
@@ -72,19 +74,21 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
-def _cells(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(s)) & np.uint64(WIDTH - 1)).astype(np.int64) for s in (0, 32)][:DEPTH]
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) & (WIDTH - 1)
 
 
 def _sketch_and_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document its size and a 128-bit digest of its set; at the end the task's counters."""
-    counts = np.zeros((DEPTH, WIDTH), np.int64)
+    counts, waiting = np.zeros(WIDTH, np.int64), []
     for batch in batches:
         buf, offs = _bytes.text_bytes(batch.column("text"))
         for lo, hi in _bytes.chunks(offs):
             h, bounds = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            for k, cell in enumerate(_cells(h)):
-                counts[k] += np.bincount(cell, minlength=WIDTH)
+            waiting.append(_cells(h))
+            if sum(map(len, waiting)) > WIDTH:
+                counts += np.bincount(np.concatenate(waiting), minlength=WIDTH)
+                waiting = []
             n = np.diff(bounds)
             digests = []
             for salt in (1, 2):
@@ -92,10 +96,12 @@ def _sketch_and_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 digests.append(_bytes.mix(np.diff(total[bounds]) + n.astype(np.uint64)).view(np.int64))
             size, marks = pa.array(n.astype(np.int64)), pa.array(_signatures(h, bounds), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), size, pa.array(digests[0]), pa.array(digests[1]), marks, pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=_PASS)
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=WIDTH)
     pieces = counts.reshape(-1, _PIECE)
     n = len(pieces)
     none = pa.nulls(n, pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([p.astype(np.int32 if p.max() < 1 << 31 else np.int64).tobytes() for p in pieces], pa.binary())], names=_PASS)
+    yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([zlib.compress(p.astype(np.uint16 if p.max() < 1 << 16 else np.int64).tobytes(), 1) for p in pieces], pa.binary())], names=_PASS)
 
 
 _PASS = ["doc_id", "n_shingles", "one", "two", "marks", "piece", "counts"]
@@ -142,7 +148,8 @@ def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["piece", "counts"])
     for batch in batches:
         for piece, raw in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-            own = np.frombuffer(raw, np.int32 if len(raw) == 4 * _PIECE else np.int64).astype(np.int64)
+            raw = zlib.decompress(raw)
+            own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * _PIECE else np.int64).astype(np.int64)
             if piece != at:
                 if at is not None:
                     yield out()
@@ -154,19 +161,16 @@ def _sum_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Order:
-    """The global order: class by the sketch's least count against its mean, then hash."""
+    """The global order: class by the sketch's count, against what chance puts in a cell, then hash."""
 
     def __init__(self, counts: np.ndarray):
-        mean = np.maximum(counts.mean(axis=1, keepdims=True), 1)
-        self.classes = np.maximum(np.floor(np.log2(np.maximum(counts, 1) / (2 * mean) + 1e-9)) + 1, 0).astype(np.int64)
+        mean = max(counts.mean(), 1)
+        usual = 1.25 * mean + 4 * math.sqrt(mean)
+        self.classes = np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 63).astype(np.uint8)
 
     def rank(self, h: np.ndarray) -> np.ndarray:
-        """Rarest first; of equal class by hash."""
-        cells = _cells(h)
-        least = self.classes[0][cells[0]]
-        for k in range(1, DEPTH):
-            least = np.minimum(least, self.classes[k][cells[k]])
-        return least
+        """Class of each hash, rarest first."""
+        return self.classes[_cells(h)].astype(np.int64)
 
 
 def _ordered(h: np.ndarray, bounds: np.ndarray, order: Order) -> np.ndarray:
@@ -403,10 +407,10 @@ def link(docs: DataFrame) -> DataFrame:
     passed = cut(docs.mapInArrow(_sketch_and_sets, "doc_id long, n_shingles long, one long, two long, marks binary, piece int, counts binary"))
     pieces = passed.where(F.col("piece").isNotNull()).select("piece", "counts")
     summed = pieces.repartition(16, "piece").sortWithinPartitions("piece").mapInArrow(_sum_pieces, "piece int, counts binary").toArrow()
-    counts = np.zeros((DEPTH * WIDTH // _PIECE, _PIECE), np.int64)
+    counts = np.zeros((WIDTH // _PIECE, _PIECE), np.int64)
     for piece, raw in zip(summed["piece"].to_pylist(), summed["counts"].to_pylist()):
         counts[piece] = np.frombuffer(raw, np.int64)
-    classes = spark.sparkContext.broadcast(Order(counts.reshape(DEPTH, WIDTH)))  # of fixed size
+    classes = spark.sparkContext.broadcast(Order(counts.ravel()))  # of fixed size
 
     sets = passed.where(F.col("piece").isNull()).drop("piece", "counts")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
