@@ -242,10 +242,10 @@ def tfidf_pairs(spark, d):
     return pairs.tfidf_pairs(tables.bare_facts(spark, d), 0.5).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH f AS (SELECT doc_id AS seq, text FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 2), {_weights_sql('f')}, {_cosine_sql('weights', 'weight', 0.0)} SELECT a, b, round(sim, 6) AS sim FROM pairs")
+@query(f"WITH f AS (SELECT doc_id AS seq, text FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 2), {_weights_sql('f')}, {_cosine_sql('weights', 'weight', 0.0)} SELECT a, b, round(sim, 6) AS sim FROM pairs")
 def tfidf_pair_single(spark, d):
-    """The cosine of one pair under its own statistics: the first two English documents."""
-    two = table(spark, d, "documents").where("lang = 'en'").orderBy("doc_id").limit(2).select(F.col("doc_id").alias("seq"), "text")
+    """The cosine of one pair under its own statistics: the first two French documents."""
+    two = table(spark, d, "documents").where("lang = 'fr'").orderBy("doc_id").limit(2).select(F.col("doc_id").alias("seq"), "text")
     return pairs.tfidf_pairs(two, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
