@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from sievewright.llm._shared import cut
 
-BLOCK = 4096
-DEGREE = 24
-ROUNDS = 6
+BLOCK = 2048
+DEGREE = 16
+ROUNDS = 5
+#: What a node learns at one meeting: so many of the nearest that beat its list.
+LEARNED = 4
 #: A round that changes less than this share of the lists is the last.
 SETTLED = 0.02
 BEAM = 64
-CHUNK = 512
+CHUNK = 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -95,6 +97,12 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # only pairs that one of two rounds has not seen, and only what beats a list's last entry
         news = (new[:, None] | new[None, :]) & (score > worst[:, None])
         np.fill_diagonal(news, False)
+        if len(ids) > LEARNED:
+            told = np.where(news, score, -np.inf)
+            near = np.argpartition(-told, LEARNED - 1, axis=1)[:, :LEARNED]
+            best = np.zeros_like(news)
+            np.put_along_axis(best, near, True, 1)
+            news &= best
         a, b = np.nonzero(news)
         if not len(a):
             return None
