@@ -39,6 +39,9 @@ LEARNED = 4
 SETTLED = 0.02
 BEAM = 64
 CHUNK = 1024
+#: Answers of so many blocks are merged at once.
+MERGED = 64
+_NEAR = "array<struct<far:double,node:bigint>>"
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -215,7 +218,7 @@ def search(dealt: DataFrame, members: DataFrame, graph: DataFrame, queries: Data
     right = asked.join(chunks, "dim").join(blocks, "dim").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "block", "chunk", "query_id", "v")
 
     def walk(key, block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "node": [], "score": []}).astype({"query_id": "int64", "node": "int64", "score": "float64"})
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "block": pd.Series([], dtype="int32"), "near": pd.Series([], dtype=object)})
         if not len(block) or not len(own):
             return empty
         block = block.sort_values("node")
@@ -239,12 +242,18 @@ def search(dealt: DataFrame, members: DataFrame, graph: DataFrame, queries: Data
                 found = best[j][score[j] > -np.inf]
                 exact = (x[found] * q[lo + j]).sum(axis=1)
                 top = np.lexsort((ids[found], -exact))[: k + 1]
-                out.append(pd.DataFrame({"query_id": int(own["query_id"].iloc[lo + j]), "node": ids[found[top]], "score": exact[top]}))
-        return pd.concat(out) if out else empty
-
-    found = left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk")).applyInPandas(walk, "query_id long, node long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    few = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r")
+                out.append((int(own["query_id"].iloc[lo + j]), int(key[1]), [{"far": float(-exact[t]), "node": int(ids[found[t]])} for t in top]))
+        return pd.DataFrame(out, columns=["query_id", "block", "near"]) if out else empty
+
+    found = left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk")).applyInPandas(walk, f"query_id long, block int, near {_NEAR}")
+    # the blocks' answers merge by MERGED at a time, so that no row holds those of all blocks
+    most = dealt.agg(F.max("block").alias("b")).first()["b"] or 0
+    while True:
+        found = found.groupBy("query_id", F.floor(F.col("block") / MERGED).cast("int").alias("block")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+        most //= MERGED
+        if most == 0:
+            break
+    few = found.select("query_id", F.explode("near").alias("n")).select("query_id", "n.node", (-F.col("n.far")).alias("score"))
     told = few.join(members, "node").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
