@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,10 @@ WIDTH = 1 << 22
 _PIECE = 1 << 16
 #: Up to so many documents that meet under a shingle, all pairs are candidates at once.
 FEW = 4
+#: Partners of a document that are tried before all others.
+LIKELIEST = 3
+#: Documents of a crowded key in a block.
+CROWD = 1024
 #: Partners of a document in a trie.
 BLOCK = 256
 #: Up to so many candidate ids are sent to every executor; more are joined by a shuffle.
@@ -296,6 +301,69 @@ def _pairs_batch(rows: list, many: list) -> pa.RecordBatch:
     )
 
 
+def _crossing(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components that may link, from two blocks of one crowded key at a time.
+
+    Rows (key, p, q, block, doc_id, place, size, component, marks, keys) come
+    sorted by (key, p, q). A pair is told under the first key that both have.
+    With `most`, only a document's so many likeliest larger partners are told,
+    and a row (key, null) names a key where one has more.
+    """
+    at, held = None, []
+    names = ("block", "doc_id", "place", "size", "component", "marks", "keys")
+    for batch in batches:
+        for key, p, q, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q", *names))):
+            if (key, p, q) != at:
+                if held:
+                    yield _crossed(at, held, most)
+                at, held = (key, p, q), []
+            held.append(row)
+    if held:
+        yield _crossed(at, held, most)
+
+
+def _crossed(at: tuple, held: list, most: int | None) -> pa.RecordBatch:
+    held = list({row[1]: row for row in held}.values())
+    held.sort(key=lambda row: row[3])
+    block, doc, place, size, component = (np.array([row[k] for row in held], np.int64) for k in range(5))
+    width = np.array([len(row[5]) for row in held])
+    keys = [row[6] for row in held]
+    out: list[tuple[int, int]] = []
+    more = False
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        # a set at most a third larger has a signature of this width or of twice
+        also = np.flatnonzero((width == w) | (width == 2 * w))
+        marks = np.stack([_folded(held[k][5], w) for k in also])
+        sizes = size[also]
+        for i in own.tolist():
+            lo, hi = np.searchsorted(sizes, size[i]), np.searchsorted(sizes, size[i] * DEN // NUM, side="right")
+            j = also[lo:hi]
+            need = needed(size[i], size[j])
+            fine = (component[j] != component[i]) & ((size[j] > size[i]) | (doc[j] > doc[i]))
+            if at[1] != at[2]:
+                fine &= block[j] != block[i]
+            fine &= np.minimum(place[j], place[i]) + np.minimum(size[j] - place[j], size[i] - place[i]) >= need
+            far = np.bitwise_count(marks[lo:hi] ^ _folded(held[i][5], w)).sum(axis=1)
+            fine &= far <= size[i] + size[j] - 2 * need
+            if not fine.any():
+                continue
+            near = j[fine][np.argsort(far[fine], kind="stable")].tolist()
+            more |= most is not None and len(near) > most
+            out += [(min(doc[i], doc[k]), max(doc[i], doc[k])) for k in near[:most] if min(set(keys[i]).intersection(keys[k])) == at[0]]
+    a, b = [x for x, _ in out], [x for _, x in out]
+    if more:
+        a, b = [*a, at[0]], [*b, None]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _folded(marks: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(marks, np.uint64)
+    while 8 * len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 class Trie:
     """Ordered sets with shared beginnings; a node holds a stretch of hashes."""
 
@@ -429,19 +497,29 @@ def link(docs: DataFrame) -> DataFrame:
         told = pairs.join(left, "a").join(right, "b").where("sa.one != sb.one OR sa.two != sb.two OR sa.n_shingles != sb.n_shingles")
         return told.selectExpr("a", "b", "sa.n_shingles AS na", "sb.n_shingles AS nb", "sa.marks AS ma", "sb.marks AS mb").mapInArrow(_possible, "a long, b long")
 
-    links = equal.unionByName(_verified(docs, possible(pairs), classes))
+    links = cut(equal.unionByName(_verified(docs, possible(pairs), classes)))
     found = cut(components(links))
 
-    # what met under a crowded key and is not together yet
-    crowd = met.where(F.col("key").isNotNull()).select("key", "doc_id", "place", "size").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    crowd = cut(crowd)
-    open_ = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    crowd = cut(crowd.join(open_, "key", "left_semi"))
-    if not crowd.isEmpty():
-        x, y = (crowd.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "place", "size", "component")]) for s in "xy")
-        need = F.ceil(F.lit(NUM) * (F.col("size_x") + F.col("size_y")) / (NUM + DEN))
-        most = F.least("place_x", "place_y") + F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
-        others = x.join(y, "key").where((F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("component_x") != F.col("component_y")) & (most >= need))
-        rest = _verified(docs, possible(others.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b")).distinct()), classes)
-        found = components(links.unionByName(rest))
+    # what met under a crowded key and is not together yet: first the likeliest partners of each, then all that are left
+    keys = None
+    for most in (LIKELIEST, None):
+        crowd = met.where(F.col("key").isNotNull()).select("key", "doc_id", "place", "size").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        crowd = cut(crowd)
+        open_ = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        # after the first pass only keys where some document has more partners than were tried
+        crowd = crowd.join(open_, "key", "left_semi")
+        crowd = cut(crowd if keys is None else crowd.join(keys, "key", "left_semi"))
+        if crowd.isEmpty():
+            break
+        # a key's documents meet in pairs of blocks, so that no task has a whole key
+        sizes = crowd.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("blocks"))
+        own = crowd.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # of one document's prefix
+        laid = crowd.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        told = laid.join(own, "doc_id").join(signs.select("doc_id", F.col("s.marks").alias("marks")), "doc_id")
+        rows = told.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "place", "size", "component", "marks", "keys")
+        others = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(partial(_crossing, most=most), "a long, b long")
+        others = cut(others.distinct())
+        keys = others.where(F.col("b").isNull()).select(F.col("a").alias("key"))
+        links = links.unionByName(_verified(docs, others.where(F.col("b").isNotNull()), classes))
+        found = cut(components(links))
     return sets.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
