@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewright.functions.text import filtered_tokens
 from sievewright.operators.lineage import cut
 from sievewright.operators.vectors import term_counts, weighted
 
@@ -70,6 +71,18 @@ def first_match(asked: DataFrame, done: DataFrame, least: float = 0.75) -> DataF
     return pairs.select((-F.col("a") - 1).alias("seq"), F.col("b").alias("match"), "sim").groupBy("seq").agg(F.min_by(F.struct("match", "sim"), "match").alias("m")).select("seq", "m.match", "m.sim")
 
 
+def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:
+    """seq, match: for each (seq, text) the smallest seq before it whose counts have cosine `least` or more.
+
+    Equal texts meet as one, their first: it is the only one of them that can be a match.
+    """
+    rows = rows.where(F.size(filtered_tokens(F.coalesce("text", F.lit("")))) > 0)
+    firsts = cut(rows.groupBy("text").agg(F.min("seq").alias("seq")))
+    before = bow_pairs(firsts, least).groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("before"))
+    found = firsts.join(before, "seq", "left").select("text", F.coalesce("before", "seq").alias("match"))
+    return rows.select("seq", "text").join(found, "text").where("match < seq").select("seq", "match")
+
+
 def overlap_edges(keywords: DataFrame, least: float = 0.3) -> DataFrame:
     """a < b, shared, overlap: facts whose keywords (seq, term) overlap by `least` of the shorter list."""
     sizes = keywords.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))

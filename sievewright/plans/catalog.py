@@ -278,6 +278,12 @@ def query_first_match(spark, d):
     return found.groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("match"))
 
 
+@query(f"WITH {_QUERIES}, {_terms_sql('queries')}, {_cosine_sql('counts', 'n', 0.75)} SELECT b AS seq, min(a) AS match FROM pairs GROUP BY b")
+def query_earliest_match(spark, d):
+    """Every user query against all before it: the earliest alike. query_first_match is its odd on even part."""
+    return pairs.earliest_match(tables.queries_log(spark, d), analyze.QUERY)
+
+
 _ACTIVE = f"{_DEDUP}, act AS (SELECT seq, text FROM f WHERE seq NOT IN (SELECT node FROM dup))"
 _ACT_WEIGHTS = _weights_sql("act").replace("counts", "acounts").replace("weights", "aweights")
 _KEYWORDS = f"{_ACTIVE}, {_ACT_WEIGHTS}, kw AS ({_top_sql('aweights', 'round(weight, 12)', 8)})"

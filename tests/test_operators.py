@@ -41,6 +41,19 @@ def test_cosine_pairs_lose_nothing(spark):
         assert all(abs(v - expected[k]) < 1e-9 for k, v in got.items())
 
 
+def test_every_query_meets_all_before_it(spark):
+    said = texts(3, 50)
+    said += said[:9]
+    bags = [Counter(w for w in t.split() if w.isalpha() and w not in ENGLISH_STOPWORDS) for t in said]
+    size = [math.sqrt(sum(n * n for n in b.values())) for b in bags]
+    alike = lambda i, j: bags[i] and bags[j] and sum(n * bags[j][w] for w, n in bags[i].items()) / (size[i] * size[j]) >= 0.75 - 1e-9
+    expected = {j: next(i for i in range(j) if alike(i, j)) for j in range(len(said)) if any(alike(i, j) for i in range(j))}
+    assert any(i % 2 == j % 2 for j, i in expected.items())
+    rows = facts(spark, said)
+    assert {r.seq: r.match for r in pairs.earliest_match(rows).collect()} == expected
+    assert pairs.earliest_match(rows.limit(0)).count() == 0
+
+
 def test_leaders_follow_the_order(spark):
     rnd = random.Random(2)
     edges = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(90)})
