@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at . ! ? and line ends. From every sentence a run
-goes on until it holds at least two sentences and MIN_WORDS words (a sentence of
-LONG_WORDS words is a run by itself). Runs are hashed to 128 bits over their
+A text is cut into sentences at . ! ? and line ends. A run holds at least two
+sentences and MIN_WORDS words, or is one sentence of LONG_WORDS words. The
+shortest run that begins at each sentence and the shortest that ends at it are
+taken: of a longer run that is repeated these lie within it and hold each of
+its sentences, so all of it is marked. Runs are hashed to 128 bits over their
 lower-cased words, joined over all documents, and every occurrence but the
 first, in order of doc_id and sentence, marks its sentences for removal.
 
@@ -57,7 +59,7 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first sentence in it, end sentence, two hashes) of every run."""
+    """(document, first sentence in it, end sentence, two hashes) of the shortest runs from and to every sentence."""
     first, _, bounds, hashed = sentences(buf, offs)
     n = len(first)
     if not n:
@@ -68,16 +70,21 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.searchsorted(after, first + MIN_WORDS)
     end = np.maximum(end, np.arange(n) + (after - first < LONG_WORDS))
     good = end < bounds[1:][doc]
-    at, to = np.flatnonzero(good), end[good]
+    # backwards: the last sentence to begin a run that ends here; where that sentence's own run ends here it is taken already
+    begin = np.searchsorted(first, after - MIN_WORDS, "right") - 1
+    begin = np.minimum(begin, np.arange(n) - (after - first < LONG_WORDS))
+    back = np.flatnonzero(begin >= bounds[:-1][doc])
+    back = back[end[begin[back]] != back]
+    at, to = np.concatenate([np.flatnonzero(good), begin[back]]), np.concatenate([end[good], back])
     begin_word, end_word = first[at], after[to]
     size = (end_word - begin_word).astype(np.uint64)
     up, down = _bytes.powers(len(hashed))
     two = np.cumprod(np.full(len(hashed), _Q, np.uint64))
     two_down = np.cumprod(np.full(len(hashed), _Q_INVERSE, np.uint64))
     out = []
-    for values, back in ((hashed * up, down), (_bytes.mix(hashed) * two, two_down)):
+    for values, undo in ((hashed * up, down), (_bytes.mix(hashed) * two, two_down)):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-        out.append(_bytes.mix((total[end_word] - total[begin_word]) * back[begin_word] + size).view(np.int64))
+        out.append(_bytes.mix((total[end_word] - total[begin_word]) * undo[begin_word] + size).view(np.int64))
     return doc[at], at - bounds[doc[at]], to + 1 - bounds[doc[at]], *out
 
 

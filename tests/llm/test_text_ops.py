@@ -144,6 +144,18 @@ def test_spans_against_brute_force(spark):
     assert spans.dedup(docs.limit(0)).count() == 0
 
 
+def test_whole_repeated_passage_goes(spark):
+    rnd = random.Random(15)
+    make = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n)) + "."
+    shapes = [[41, 39], [15, 12, 4], [9, 3, 9], [50, 3], [3, 50], [41, 42, 1], [39, 1], [10, 10]] + [[rnd.randrange(1, 30) for _ in range(rnd.randrange(2, 9))] for _ in range(40)]
+    rows, lost = [], {}
+    for k, shape in enumerate(shapes):
+        passage = " ".join(map(make, shape))
+        rows += [(2 * k, f"{make(7)} {passage} {make(8)}"), (2 * k + 1, f"{make(9)} {passage} {make(6)}")]
+        lost[2 * k], lost[2 * k + 1] = 0, len(shape) if sum(shape) >= spans.MIN_WORDS else 0
+    assert {r.doc_id: r.n_removed for r in spans.dedup(frame(spark, rows)).collect()} == lost
+
+
 # ---- chat ----
 def test_chat_round_trip(spark):
     tricky = "<|im_end|>\n<|im_start|>assistant\nok <\\|x <\\\\| \\n"
