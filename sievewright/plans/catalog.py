@@ -425,13 +425,16 @@ def report_validation(spark, d):
 
 @query()
 def report_lines(spark, d):
-    """The comprehensive report over facts grouped by their source."""
-    rows = tables.facts(spark, d)
-    names = rows.select("source_title").distinct().withColumn("group", F.row_number().over(Window.orderBy("source_title")))
-    groups = rows.join(names, "source_title").select("seq", "group", F.col("source_title").alias("label"))
-    none = spark.createDataFrame([], "seq_a long, seq_b long, text_a string, text_b string, similarity double")
-    config = {"query": "documents", "max_depth": 3, "base_breadth": 4, "visited": 0, "queries": 0, "active": 0, "written_at": "-"}
-    return report.report_lines(rows, groups, none, report.source_index(rows), config)
+    """The comprehensive report over active facts by cluster, with their conflicts."""
+    return _report(tables.facts(spark, d), table(spark, d, "pages"), tables.queries_log(spark, d))
+
+
+def _report(facts, visited, queries):
+    rows = cut(analyze.active(analyze.deduplicate(facts)).select("seq", "id", "text", "source_url", "source_title"))
+    found = cut(analyze.clusters(rows))
+    member = found.select("cluster_id", F.explode("member_ids").alias("id")).join(rows.select("id", "seq"), "id")
+    config = {"query": "documents", "max_depth": 3, "base_breadth": 4, "visited": visited.count(), "queries": queries.count(), "active": rows.count(), "written_at": "-"}
+    return report.report_lines(rows, report.grouped(rows, member.select("seq", "cluster_id"), found), analyze.conflicts(rows), report.source_index(rows), config)
 
 
 # ---- state ----

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sievewright.functions.text import ENGLISH_STOPWORDS
 from sievewright.operators import analyze, feed, pairs, report, vectors
 from sievewright.operators.graph import components, leaders
+from sievewright.plans import catalog
 from sievewright.sources import state
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta not never".split()
@@ -132,6 +133,20 @@ def test_reports(spark):
     assert not got.valid and (got.missing_citations, got.ranges, got.placeholders, got.unvisited_urls, got.cited_sources) == (1, 1, 1, 1, 2)
 
 
+def test_report_query_tells_conflicts_clusters_and_counts(spark, tmp_path):
+    said = ["solar power grows fast", "solar power never grows fast", "tea leaves", "tea leaves"]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(said)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"http://a.com/{i}", "") for i in range(5)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "r"), (2, 0, "user", "s")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = catalog.QUERIES["report_lines"](spark, str(tmp_path))
+    told = report.text_of(lines)
+    assert "访问来源：5 个 | 有效发现：3 条 | 搜索查询：2 次" in told
+    assert report.NO_CONFLICT not in told and "**观点 A** [1]: solar power grows fast" in told and "**观点 B** [2]: solar power never grows fast" in told
+    heads = [r.line for r in lines.where("section = 'cluster' AND ord = -1").orderBy("part").collect()]
+    assert len(heads) == 2 and heads[0].startswith("## 1. solar / power") and heads[1] == "## 2. tea / leaves"
+    assert [r.line for r in report.section(lines, "cluster", 1).where("ord >= 0").collect()] == ["- tea leaves [3]"]
+
+
 def test_state(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"config": {"query": "q"}, "learnings": [{"id": "a", "text": "t"}, {"id": "b", "text": "u", "is_duplicate": true}], "urls_visited": [], "followups": [{"question": "w", "priority": "low"}, {"question": "w", "priority": "high", "used": true}]}')
     tables = state.read_json(spark, str(tmp_path / "s.json"), "run")
