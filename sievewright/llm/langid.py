@@ -12,7 +12,8 @@ its share of 2**-length over all languages.
 Training reads at most about ROWS_A_LANGUAGE labelled documents of each
 language, chosen by a hash of doc_id, and keeps at most NODES contexts of two
 and of three bytes a language; both are parameters. The languages are the
-distinct labels of the training rows.
+distinct labels of the training rows; more than MOST_LANGUAGES of them raise
+ValueError, and no rows are returned.
 
 Null text, empty text and text without a letter: `und`, score 0. No training
 rows at all: every text is `und`. Ties go to the first language by name.
