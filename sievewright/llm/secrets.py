@@ -7,8 +7,8 @@ kinds add spans: within every run of a character class that is at least WINDOW
 long, a window slides by one character at a time while the counts of its
 characters are kept up to date, which gives the Shannon entropy of each window
 from that of the one before; windows over the class's threshold join to spans.
-A candidate that an allow-list pattern matches is left out, and so is an
-entropy span that lies in a base span.
+A window that overlaps a match of an allow-list pattern is left out, and so is
+an entropy span that lies in a base span.
 
 Null and empty texts have no spans. Texts are scanned whole; extra columns are
 ignored and repeated rows scanned alike.
@@ -39,6 +39,8 @@ ALLOWED = (
     r"(?i)example|placeholder|changeme|your[_-]",
     r"(.)\1{7}",
 )
+#: The same, with a repeated letter taken to its last.
+_ALLOWED_WHOLE = tuple(a.replace("{7}", "{7,}") for a in ALLOWED)
 KINDS = ("assign", "access", "hex", *(name for name, *_ in CLASSES))
 _SPAN = "array<struct<begin:int,kind:int,end:int>>"
 
@@ -78,8 +80,14 @@ def _weight(n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(k * math.log2(k)) if k else 0.0) for k in range(WINDOW + 1)]), n + 1)
 
 
-def _hot(run: Column, alphabet: str, bits: float) -> Column:
-    """array<struct<begin, end>> within a run: windows whose entropy reaches bits, joined where they meet."""
+def _allowed(run: Column) -> Column:
+    """array<struct<begin, end>> of the allow-list matches within a run."""
+    at = F.concat(*[F.transform(_matches(run, a), lambda m: F.struct(m["begin"].alias("begin"), (m["begin"] + F.length(m["hit"])).alias("end"))) for a in _ALLOWED_WHOLE])
+    return F.when(run.rlike("|".join(f"(?:{a})" for a in (*_ALLOWED_WHOLE[:2], r"(.)\1{7}"))), at).otherwise(F.array().cast("array<struct<begin:int,end:int>>"))
+
+
+def _hot(run: Column, alphabet: str, bits: float, allowed: Column | None = None) -> Column:
+    """array<struct<begin, end>> within a run: windows whose entropy reaches bits and that no allowed place overlaps, joined where they meet."""
     place = lambda i: F.instr(F.lit(alphabet), F.substring(run, i, 1))
     spans = "array<struct<begin:int,end:int>>"
     state = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(spans).alias("found"))
@@ -96,6 +104,8 @@ def _hot(run: Column, alphabet: str, bits: float) -> Column:
             total = s["sum"] - less + more
             counts = F.transform(s["counts"], lambda n, k: n + (k + 1 == c["new"]).cast("int") - (k + 1 == c["old"]).cast("int"))
             hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits)
+            if allowed is not None:
+                hot &= ~F.exists(allowed, lambda a: (a["begin"] < i) & (a["end"] > i - WINDOW))
             last = F.try_element_at(s["found"], F.lit(-1))
             span = F.struct((i - WINDOW).alias("begin"), i.alias("end"))
             joined = F.concat(F.slice(s["found"], 1, F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(last["begin"].alias("begin"), i.alias("end"))))
@@ -119,12 +129,12 @@ def _entropy(text: Column, kind: int, name: str, alphabet: str, bits: float, nee
         ok = F.lit(True)
         for n in needs:
             ok &= m["hit"].rlike(n)
-        for a in ALLOWED:
-            ok &= ~m["hit"].rlike(a)
         return ok
 
     def placed(m: Column) -> Column:
-        return F.transform(_hot(m["hit"], alphabet, bits), lambda s: F.struct((m["begin"] + s["begin"]).alias("begin"), F.lit(kind).alias("kind"), (m["begin"] + s["end"]).alias("end")))
+        # an array of one, so that the allowed places are found once a run
+        found = F.flatten(F.transform(F.array(_allowed(m["hit"])), lambda a: _hot(m["hit"], alphabet, bits, a)))
+        return F.transform(found, lambda s: F.struct((m["begin"] + s["begin"]).alias("begin"), F.lit(kind).alias("kind"), (m["begin"] + s["end"]).alias("end")))
 
     hot = F.transform(F.filter(_matches(text, pattern), good), placed)
     return F.when(text.rlike(pattern), F.flatten(hot).cast(_SPAN)).otherwise(_none())

@@ -93,6 +93,15 @@ def test_secrets(spark):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_allowed_words_spare_only_their_windows(spark):
+    key = "q9Zx7Lm2Vb4Nc8Kd1Wp6Ht3Y"
+    said = [f"/example/{key}", f"{key}/your_{key}", f"{key}{'A' * 12}{key}", "exampleZx9Qw3Er7Ty1U", key]
+    got = {r.doc_id: r.spans for r in secrets.digests(frame(spark, list(enumerate(said)))).collect()}
+    two = lambda gap: f"entropy_base64:0:24,entropy_base64:{24 + gap}:{48 + gap}"
+    assert got[0] == "entropy_base64:8:33" and got[4] == "entropy_base64:0:24"
+    assert got[1] == "entropy_base64:0:25,entropy_base64:30:54" and got[2] == two(12) and got[3] == ""
+
+
 def test_entropy_windows_match_fresh_counts(spark):
     rnd = random.Random(4)
     runs = ["".join(rnd.choice("abcXYZ0189+/" + "q" * k) for _ in range(rnd.randrange(20, 70))) for k in range(0, 60, 2)]
