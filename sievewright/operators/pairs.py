@@ -8,6 +8,7 @@ none of these cannot reach it. Candidates are then added up over all terms.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,29 @@ def tfidf_pairs(facts: DataFrame, least: float) -> DataFrame:
     return cosine_pairs(weighted(facts), least)
 
 
+def successors(facts: DataFrame) -> DataFrame:
+    """a, b: each seq and the next one. Only the first seq of every range goes through one order."""
+    ids = cut(facts.select("seq").repartitionByRange("seq").withColumn("part", F.spark_partition_id()))
+    heads = ids.groupBy("part").agg(F.min("seq").alias("head")).withColumn("head", F.lead("head").over(Window.orderBy("part")))
+    inside = ids.withColumn("next", F.lead("seq").over(Window.partitionBy("part").orderBy("seq")))
+    return inside.join(heads, "part").select(F.col("seq").alias("a"), F.coalesce("next", "head").alias("b")).where("b IS NOT NULL")
+
+
+def successor_cosines(facts: DataFrame) -> DataFrame:
+    """a, b, sim: the TF-IDF cosine of each fact and the next, each pair under its own statistics; 0 where they share no term."""
+    two = cut(successors(facts))
+    counts = term_counts(facts).select("seq", "term", "n")
+    x = counts.join(two, F.col("seq") == F.col("a")).select("a", "term", F.col("n").alias("x"), F.lit(0).alias("y"))
+    y = counts.join(two, F.col("seq") == F.col("b")).select("a", "term", F.lit(0).alias("x"), F.col("n").alias("y"))
+    terms = x.unionByName(y).groupBy("a", "term").agg(F.sum("x").cast("double").alias("x"), F.sum("y").cast("double").alias("y"))
+    # ln(3 / (df + 1)) + 1; the length of a fact falls out of its cosine
+    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(math.log(1.5) + 1)
+    square = lambda c: F.sum(F.pow(F.col(c) * idf, 2))
+    sims = terms.groupBy("a").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), square("x").alias("xx"), square("y").alias("yy"))
+    sims = sims.where("dot > 0").select("a", (F.col("dot") / F.sqrt(F.col("xx") * F.col("yy"))).alias("sim"))
+    return two.join(sims, "a", "left").select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
 def bow_rows(facts: DataFrame) -> DataFrame:
     counts = term_counts(facts)
     return counts.join(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").withColumn("weight", F.col("n").cast("double"))

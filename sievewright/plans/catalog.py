@@ -249,6 +249,16 @@ def tfidf_pair_single(spark, d):
     return pairs.tfidf_pairs(two, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query(f"""WITH f AS (SELECT doc_id AS seq, text FROM documents), {_terms_sql('f')}, two AS (SELECT a, b FROM (SELECT seq AS a, lead(seq) OVER (ORDER BY seq) AS b FROM f) WHERE b IS NOT NULL),
+own AS (SELECT a, b, seq, term, n / total AS tf, ln(3 / (count(*) OVER (PARTITION BY a, term) + 1)) + 1 AS idf FROM two JOIN counts ON seq = a OR seq = b),
+norms AS (SELECT a, seq, sqrt(sum(tf * idf * tf * idf)) AS norm FROM own GROUP BY a, seq),
+sims AS (SELECT x.a, sum(x.tf * x.idf * y.tf * y.idf) / any_value(nx.norm * ny.norm) AS sim FROM own x JOIN own y ON x.a = y.a AND x.term = y.term AND x.seq = x.a AND y.seq = y.b JOIN norms nx ON nx.a = x.a AND nx.seq = x.a JOIN norms ny ON ny.a = x.a AND ny.seq = x.b GROUP BY x.a)
+SELECT a, b, round(coalesce(sim, 0), 6) AS sim FROM two LEFT JOIN sims USING (a)""")
+def tfidf_pair_each(spark, d):
+    """The cosine of each document and its successor by doc_id, every pair under its own statistics."""
+    return pairs.successor_cosines(tables.bare_facts(spark, d)).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
 # ---- dedup and clusters ----
 _DEDUP = f"WITH RECURSIVE f AS (SELECT doc_id AS seq, text FROM documents), {_weights_sql('f')}, {_cosine_sql('weights', 'weight', 0.85)}, {_leaders_sql('f', 'pairs')}"
 

@@ -42,6 +42,13 @@ def test_cosine_pairs_lose_nothing(spark):
         assert all(abs(v - expected[k]) < 1e-9 for k, v in got.items())
 
 
+def test_each_pair_has_its_own_statistics(spark):
+    said = texts(4, 30)
+    got = {(r.a, r.b): r.sim for r in pairs.successor_cosines(facts(spark, said)).collect()}
+    assert set(got) == {(i, i + 1) for i in range(len(said) - 1)}
+    assert all(abs(sim - cosines([said[i], said[j]]).get((0, 1), 0)) < 1e-9 for (i, j), sim in got.items())
+
+
 def test_every_query_meets_all_before_it(spark):
     said = texts(3, 50)
     said += said[:9]
