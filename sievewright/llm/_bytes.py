@@ -97,11 +97,32 @@ def words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, fold: bool = T
     first[cuts] = m[cuts]
     last[cuts - 1] = m[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(byte_codes(fold)[buf] * up, out=total[1:])
-    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    hashed, codes = np.empty(len(start), np.uint64), byte_codes(fold)
+    i = 0
+    while i < len(start):  # about CHUNK bytes at a time, so that the tables of powers stay small
+        j = max(int(np.searchsorted(end, start[i] + CHUNK, side="right")), i + 1)
+        lo, hi = int(start[i]), int(end[j - 1])
+        if hi - lo > CHUNK:
+            hashed[i] = _long(buf[lo:hi], codes)
+        else:
+            up, down = powers(hi - lo)
+            total = np.empty(hi - lo + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(codes[buf[lo:hi]] * up, out=total[1:])
+            hashed[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo]
+        i = j
+    return start, end, mix(hashed + (end - start).astype(np.uint64))
+
+
+def _long(word: np.ndarray, codes: np.ndarray) -> int:
+    """The sum of a word that is longer than CHUNK, part by part."""
+    up, _ = powers(CHUNK)
+    total, scale = 0, 1
+    for lo in range(0, len(word), CHUNK):
+        part = word[lo : lo + CHUNK]
+        total += int(np.sum(codes[part] * up[: len(part)], dtype=np.uint64)) * scale
+        scale = scale * pow(_BASE, CHUNK, 1 << 64) & _MASK
+    return total & _MASK
 
 
 def per_doc(start: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""What the operators share: cutting lineage, and leaving out ids."""
+"""What the operators share: cutting lineage, leaving out ids, and joins that no key can crowd."""
 
 from __future__ import annotations
 
@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 
 from sievewright.operators.lineage import cut
 
-__all__ = ["BROADCAST_IDS", "cut", "without"]
+__all__ = ["BROADCAST_IDS", "cut", "salted_join", "without"]
 
 #: Up to so many ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
+#: Parts that the rows of one key are dealt to in a join.
+SALTS = 16
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but those whose doc_id is in ids; null ids stay."""
     gone = cut(ids.select("doc_id").where(F.col("doc_id").isNotNull()).distinct())
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """left joined with the one row that right has for each key; a hot key's rows are dealt by `by` to SALTS parts.
+
+    right is repeated for every part, so it should be the small side. `how` is
+    inner, left or left_semi.
+    """
+    part = "_part"
+    dealt = left.withColumn(part, F.pmod(F.xxhash64(F.lit("part"), by), F.lit(SALTS)).cast("int"))
+    spread = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(spread, [*keys, part], how).drop(part)

@@ -202,9 +202,9 @@ def brute_components(rows):
     return {d: (len(sets[d]), label[d]) for d in sets}
 
 
-@pytest.mark.parametrize("few", [1, 4])
-def test_jaccard_components(spark, few, monkeypatch):
-    monkeypatch.setattr(ngram_join, "FEW", few)
+@pytest.mark.parametrize("limits", [{}, {"few": 1, "crowd_block": 4}, {"few": 2, "part": 3, "crowd_block": 2}])
+def test_jaccard_components(spark, limits):
+    """Crowded keys in many blocks, and hot keys dealt over parts, lose no link."""
     rnd = random.Random(6)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, shared = [], rnd.choices(vocabulary, k=30)
@@ -217,10 +217,20 @@ def test_jaccard_components(spark, few, monkeypatch):
             rows.append((len(rows) + 1, " ".join(own)))
     rows += [(200 + i, " ".join(shared + rnd.choices(vocabulary, k=rnd.randrange(2, 12)))) for i in range(25)]
     rows += [(300, "a b c"), (301, "A b  c"), (302, "a b"), (303, None), (304, ""), (305, " ")]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(frame(spark, rows), **limits).collect()}
     assert got == brute_components(rows)
 
 
+def test_jaccard_ids_and_long_texts(spark):
+    """Null ids take no part; rows of one id join their sets' groups; a text of a million words and a word of 3 MB."""
+    rnd = random.Random(7)
+    a, b = (" ".join(rnd.choices([f"u{i}" for i in range(500)], k=40)) for _ in range(2))
+    long = " ".join(f"w{i % 9973}" for i in range(1_000_000))
+    rows = [(None, a), (9, a), (7, b), (5, b + " x"), (9, b + " y"), (3, long), (4, long + " end"), (2, "z" * 3_000_000), (6, "z" * 3_000_000), (8, "z" * 3_000_001)]
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.link(frame(spark, rows)).collect()), key=str)
+    assert got == [(2, 2), (3, 3), (4, 3), (5, 5), (6, 2), (7, 5), (8, 8), (9, 5), (9, 5), (None, None)]
+
+
 def test_jaccard_edges(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(frame(spark, EDGE)).collect())
     assert got == [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (5, 1, 4)]
