@@ -1,13 +1,17 @@
-"""What the operators share: cutting lineage, leaving out ids, and joins that no key can crowd."""
+"""What the operators share: cutting lineage, leaving out ids, tidy workers, and joins that no key can crowd."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.operators.lineage import cut
+from sievewright.operators.lineage import cut, sweep
 
-__all__ = ["BROADCAST_IDS", "cut", "salted_join", "without"]
+__all__ = ["BROADCAST_IDS", "cut", "salted_join", "KEPT", "sweep", "tidy", "without"]
 
 #: Up to so many ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -31,3 +35,32 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how
     dealt = left.withColumn(part, F.pmod(F.xxhash64(F.lit("part"), by), F.lit(SALTS)).cast("int"))
     spread = right.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(spread, [*keys, part], how).drop(part)
+
+
+#: What operators keep in a worker from task to task: operator -> how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable:
+    """run for mapInArrow, in workers that later tasks use again.
+
+    Before it, what operators other than `keeps` have kept is dropped; behind it, free memory is given back.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [x for x in KEPT if x != keeps]:
+            KEPT.pop(name)()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    """Free memory of Arrow and of the C library goes to the system; elsewhere than with glibc only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

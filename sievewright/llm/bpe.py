@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Entries that a worker keeps of the pieces and prefixes it has met.
-MOST_CACHED = 300_000
+from sievewright.llm._shared import KEPT, tidy
+
+#: Units, pieces and seams that a worker keeps at most, about 100 MB in all; longer pieces are not kept.
+MOST_UNITS, MOST_PIECES, MOST_SEAMS = 250_000, 150_000, 500_000
+LONGEST_KEPT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -105,7 +109,7 @@ class PrefixBPE:
             else:
                 # an equal rank further left merges first, hence the + 1
                 limit, b = b + 1, pb_[0]
-        if len(self.fits_memo) > 4 * MOST_CACHED:
+        if len(self.fits_memo) > MOST_SEAMS:
             self.fits_memo.clear()
         self.fits_memo[key] = good
         return good
@@ -192,9 +196,11 @@ class TextCodec:
     def piece(self, piece: str) -> str:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) > 2 * MOST_CACHED:
-                self.pieces.clear()
-            found = self.pieces[piece] = " ".join(map(str, self.bpe.encode(piece.encode())))
+            found = " ".join(map(str, self.bpe.encode(piece.encode())))
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.pieces) > MOST_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = found
         return found
 
     def _learn(self, units: list[str]) -> None:
@@ -218,7 +224,7 @@ class TextCodec:
         first, *rest = text.split(" ")
         known = self.units
         if new := [u for u in rest if u not in known]:
-            if len(known) > MOST_CACHED:
+            if len(known) > MOST_UNITS:
                 known.clear()
                 new = rest
             self._learn(new)
@@ -235,15 +241,16 @@ class TextCodec:
         return list(map(int, ids.split(" "))) if ids else []
 
 
-_CODECS: dict[str, TextCodec] = {}
+_CODECS: dict[tuple[str, str], TextCodec] = {}
 
 
 def codec(key: str, ranks: dict[bytes, int], pattern: str) -> TextCodec:
-    """One codec a worker process; its tables are built once."""
-    if key not in _CODECS:
+    """One codec a worker process, for one vocabulary and one pattern; its tables are built once."""
+    if (key, pattern) not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = TextCodec(ranks, pattern)
-    return _CODECS[key]
+        _CODECS[key, pattern] = TextCodec(ranks, pattern)
+    KEPT["bpe"] = _CODECS.clear
+    return _CODECS[key, pattern]
 
 
 DIGEST = T.StructType([
@@ -255,17 +262,19 @@ DIGEST = T.StructType([
 
 
 def _mapper(spark: SparkSession, ranks_path: str, pattern: str, row, schema: pa.Schema):
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary file
+    table = read_ranks(ranks_path)
+    key = f"{ranks_path} {zlib.crc32(repr(sorted(table.items())).encode())}"
+    ranks = spark.sparkContext.broadcast(table)  # bounded by the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(ranks_path, ranks.value, pattern)
+        tool = codec(key, ranks.value, pattern)
         for batch in (b.slice(k, 500) for b in batches for k in range(0, max(len(b), 1), 500)):
             texts, rows = batch.column("text"), []
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 rows.append((doc, *row(tool, texts[i].as_py())))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
-    return run
+    return tidy(run, "bpe")
 
 
 def _digest(tool: TextCodec, text: str | None) -> tuple[int, str, str]:

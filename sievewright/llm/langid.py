@@ -11,9 +11,10 @@ its share of 2**-length over all languages.
 
 Training reads at most about ROWS_A_LANGUAGE labelled documents of each
 language, chosen by a hash of doc_id, and keeps at most NODES contexts of two
-and of three bytes a language; both are parameters. The languages are the
-distinct labels of the training rows; more than MOST_LANGUAGES of them raise
-ValueError, and no rows are returned.
+and of three bytes a language, the most frequent ones (that is more than plain
+text in one script has). The languages are the LANGUAGES labels with most
+training rows, ties by name; rarer labels are not learned, so a dirty label
+column costs no memory and never stops a run. All three are parameters.
 
 Null text, empty text and text without a letter: `und`, score 0. No training
 rows at all: every text is `und`. Ties go to the first language by name.
@@ -22,18 +23,21 @@ Repeated rows are predicted alike; text is read whole, in any length.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
+from sievewright.llm._shared import KEPT, tidy
 
 ROWS_A_LANGUAGE = 1500
-NODES = 12_000
-MOST_LANGUAGES = 200
+NODES = 1 << 16
+LANGUAGES = 200
 _ORDER = 3
 
 
@@ -76,99 +80,89 @@ def _merged(keys: list, counts: list) -> tuple[list, list]:
     return [unique], [np.bincount(inverse, weight, len(unique)).astype(np.int64)]
 
 
-class Model:
-    """Frozen statistics: for each language the counts of its grams."""
+class _Tree:
+    """One language's frozen costs: bits of each byte behind each context."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = sorted(counts)
-        self.counts = [counts[x] for x in self.languages]
-        self._tables = None
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        """(byte -> symbol, context -> node, costs[node * symbols + symbol, language], symbols)."""
-        if self._tables is None:
-            self._tables = self._build()
-        return self._tables
-
-    def _build(self):
-        grams = [g for g, _ in self.counts]
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
         seen = np.zeros(256, bool)
-        for g in grams:
-            seen[g[(g >> 8) == 1] & 255] = True
-        symbol = np.zeros(256, np.int64)  # 0: a byte that no language has met; it's also what stands before a text
-        symbol[seen] = 1 + np.arange(seen.sum())
-        a = int(seen.sum()) + 1
-        # contexts, by length, as keys of symbols in base a, in one shared tree
-        per = []  # [order] -> for each language (context keys, symbols, counts)
+        seen[grams[(grams >> 8) == 1] & 255] = True
+        #: byte -> symbol; 0: a byte never met, which is also what stands before a text
+        self.symbol = np.zeros(256, np.int32)
+        self.symbol[seen] = 1 + np.arange(seen.sum())
+        self.symbols = a = int(seen.sum()) + 1
+        levels = []  # by length of context: contexts as keys of symbols in base a, last symbols, counts
         for order in range(_ORDER + 1):
-            rows = []
-            for g, n in self.counts:
-                own = (g >> 8 * (order + 1)) == 1
-                key, last = np.zeros(own.sum(), np.int64), symbol[g[own] & 255]
-                for j in range(order, 0, -1):
-                    key = key * a + symbol[(g[own] >> 8 * j) & 255]
-                rows.append((key, last, n[own]))
-            per.append(rows)
-        nodes = [np.unique(np.concatenate([r[0] for r in rows])) for rows in per]
+            own = (grams >> 8 * (order + 1)) == 1
+            key = np.zeros(own.sum(), np.int64)
+            for j in range(order, 0, -1):
+                key = key * a + self.symbol[(grams[own] >> 8 * j) & 255]
+            levels.append((key, self.symbol[grams[own] & 255], counts[own]))
+        nodes = [np.unique(key) for key, _, _ in levels]
         first = np.cumsum([0, *map(len, nodes)])
-        n_lang = len(self.languages)
-        cost = np.empty((first[-1], a, n_lang), np.float32)
-        node_at = np.zeros(1, np.int64)  # context key of this order -> its longest known suffix
-        if first[-1] == 0:
-            return symbol, np.zeros(a**_ORDER, np.int32), np.zeros((1, 1)), a
-        for order in range(_ORDER + 1):
-            keys = np.arange(a**order)
-            shorter = node_at[keys % a ** max(order - 1, 0)] if order else np.zeros(1, np.int64)
+        cost = np.empty((max(first[-1], 1), a), np.float32)
+        cost[:1] = 8.0
+        node_at = np.zeros(1, np.int32)  # context key of this order -> its longest known suffix
+        for order, (key, last, n) in enumerate(levels):
+            shorter = node_at[np.arange(a**order) % a ** max(order - 1, 0)]
             node_at = shorter.copy()
             node_at[nodes[order]] = first[order] + np.arange(len(nodes[order]))
-            for lang in range(n_lang):
-                key, last, n = per[order][lang]
-                below = np.full((len(nodes[order]), a), 8.0) if order == 0 else cost[shorter[nodes[order]], :, lang].astype(np.float64)
-                at = np.searchsorted(nodes[order], key)
-                total = np.bincount(at, n, len(nodes[order]))
-                kinds = np.bincount(at, minlength=len(nodes[order]))
-                has = total > 0
-                escape = np.where(has, -np.log2(np.where(has, kinds, 1) / np.where(has, total + kinds, 1)), 0)
-                own = below + escape[:, None]
-                own[at, last] = -np.log2(n / (total + kinds)[at])
-                cost[first[order] : first[order + 1], :, lang] = own
-        return symbol, node_at.astype(np.int32), cost.reshape(-1, n_lang), a
+            below = cost[shorter[nodes[order]]].astype(np.float64) if order else np.full((len(nodes[0]), a), 8.0)
+            at = np.searchsorted(nodes[order], key)
+            total, kinds = np.bincount(at, n, len(nodes[order])), np.bincount(at, minlength=len(nodes[order]))
+            own = below - np.log2(kinds / (total + kinds))[:, None]
+            own[at, last] = -np.log2(n / (total + kinds)[at])
+            cost[first[order] : first[order + 1]] = own
+        self.node_at, self.cost = node_at, cost.ravel()
+
+    def bits(self, part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of each document that isn't empty; `starts` are the documents' offsets in part."""
+        s = self.symbol[part].astype(np.int64)
+        context = np.zeros(len(s), np.int64)
+        for back in range(_ORDER, 0, -1):
+            before = np.zeros(len(s), np.int64)
+            before[back:] = s[:-back]
+            for j in range(back):  # what stands before the document's start is unknown
+                at = starts[:-1] + j
+                before[at[at < len(s)]] = 0
+            context = context * self.symbols + before
+        rows = self.node_at[context].astype(np.int64) * self.symbols + s
+        return np.add.reduceat(self.cost[rows], starts[:-1][np.diff(starts) > 0], dtype=np.float64)
+
+
+class Model:
+    """Frozen statistics: for each language the counts of its grams; a tree of costs of its own for each."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.languages = sorted(counts)
+        self.counts = [counts[x] for x in self.languages]
+        self._trees: list[_Tree] | None = None
+
+    def trees(self) -> list[_Tree]:
+        if self._trees is None:
+            self._trees = [_Tree(*c) for c in self.counts]
+        return self._trees
 
     def code_lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each document under each language; documents lie at offs in buf."""
-        symbol, node_at, cost, a = self.tables()
         out = np.zeros((len(offs) - 1, len(self.languages)))
         for lo, hi in _bytes.chunks(offs):
             part, starts = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-            if not len(part):
-                continue
-            s = symbol[part]
-            context = np.zeros(len(s), np.int64)
-            for back in range(_ORDER, 0, -1):
-                before = np.zeros(len(s), np.int64)
-                before[back:] = s[:-back]
-                for j in range(back):  # what stands before the document's start is unknown
-                    at = starts[:-1] + j
-                    before[at[at < len(s)]] = 0
-                context = context * a + before
-            rows = node_at[context].astype(np.int64) * a + s
-            full = np.flatnonzero(np.diff(starts))
-            for lang in range(len(self.languages)):
-                out[lo + full, lang] = np.add.reduceat(cost[:, lang][rows], starts[:-1][full], dtype=np.float64)
+            full = lo + np.flatnonzero(np.diff(starts))
+            if len(part):
+                for k, tree in enumerate(self.trees()):
+                    out[full, k] = tree.bits(part, starts)
         return out
 
 
-def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES) -> Model:
+def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES, languages: int = LANGUAGES) -> Model:
     """Fit on rows of docs with text and lang; see the module for the bounds."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model({})
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    counted = chosen.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    chosen = known.where(F.col("lang").isin([r["lang"] for r in sizes])).where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    counted = chosen.select("lang", "text").mapInArrow(tidy(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     long = F.col("gram") >= 1 << 17  # contexts of two and three bytes; the shorter ones are at most 257 a language
     context, order = F.shiftright("gram", 8), F.col("gram") >= 1 << 25
     try:
@@ -186,18 +180,31 @@ def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES) -> M
 _MODELS: dict[str, Model] = {}
 
 
+def _shared(docs: DataFrame, model: Model):
+    """A function that gives the model in a worker, where its trees are built once.
+
+    What is sent is bounded by languages and contexts. The key is drawn anew for
+    every model, so no worker scores with a former one.
+    """
+    key = uuid.uuid4().hex
+    sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))
+
+    def get() -> Model:
+        if key not in _MODELS:
+            _MODELS.clear()
+            _MODELS[key] = Model(dict(zip(*sent.value)))
+            KEPT["langid"] = _MODELS.clear
+        return _MODELS[key]
+
+    return get
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and bits_per_byte (of the best language; null for `und`)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))  # bounded by languages x nodes
-    languages = model.languages
-    key = f"{id(shared)}-{shared.id if hasattr(shared, 'id') else ''}-{hash(tuple(map(str, languages)))}"
+    get, languages = _shared(docs, model), model.languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            names, counts = shared.value
-            _MODELS[key] = Model(dict(zip(names, counts)))
-        own = _MODELS[key]
+        own = get()
         for batch in batches:
             buf, offs = _bytes.text_bytes(batch.column("text"))
             n = len(offs) - 1
@@ -215,7 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0)), rate], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
 
     ready = docs.select("doc_id", "text", is_held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
-    return ready.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    return ready.mapInArrow(tidy(run, "langid"), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -223,26 +230,37 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
 
 
-def accepted(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
-    """The rows of docs that have a language, all columns as they are.
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs that have a language, all columns as they are, but that a null lang gives way to the one found.
 
-    Rejected are texts without a letter, null ones included, and texts that no
-    language's statistics code in fewer than most_bits a byte.
+    Rejected are texts without a letter (null and empty ones included), texts
+    that even the best language's statistics code in 8 bits a byte or more, as
+    no model at all would, and texts of which no language has half of the
+    score. Without training rows nothing has a language. Repeated rows fare
+    alike; extra columns are kept.
     """
-    model = train(docs.where(~is_held_out(F.col("doc_id"))))
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))
+    get = _shared(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
     schema, letter = docs.schema, "_has_letter"
     while letter in docs.columns:
         letter = "_" + letter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, counts = shared.value
-        own = Model(dict(zip(names, counts)))
+        own = get()
         for batch in batches:
             keep = batch.column(letter).to_numpy(zero_copy_only=False).astype(bool)
-            if names and len(keep):
+            names = np.full(len(keep), None, object)
+            if own.languages and len(keep):
                 buf, offs = _bytes.text_bytes(batch.column("text"))
-                keep &= own.code_lengths(buf, offs).min(axis=1) < most_bits * np.diff(offs)
-            yield batch.drop_columns([letter]).filter(pa.array(keep, pa.bool_()))
+                bits = own.code_lengths(buf, offs)
+                best = bits.argmin(axis=1)
+                least = bits[np.arange(len(keep)), best]
+                keep &= (least < 8.0 * np.diff(offs)) & (np.exp2(least[:, None] - bits).sum(axis=1) <= 2)
+                names = np.array(own.languages, object)[best]
+            else:
+                keep[:] = False
+            at = batch.schema.get_field_index("lang")
+            lang = pc.coalesce(batch.column("lang"), pa.array(names, pa.string()).cast(batch.schema.field(at).type))
+            told = batch.set_column(at, batch.schema.field(at).with_nullable(True), lang)
+            yield told.drop_columns([letter]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tidy(run, "langid"), schema)

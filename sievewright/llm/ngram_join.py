@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
-from sievewright.llm._shared import cut, salted_join
+from sievewright.llm._shared import cut, salted_join, sweep, tidy
 from sievewright.operators.graph import components
 
 SHINGLE = 5
@@ -297,9 +297,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, number (of the set; null: none), size and shared, a row a document; see _gather()."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * parts
-    dealt = docs.select("doc_id", "text").mapInArrow(_scatter(buckets), _TRAVEL)
-    counted = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_count(buckets), _TRAVEL)
-    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_gather(buckets), _SETS)
+    dealt = docs.select("doc_id", "text").mapInArrow(tidy(_scatter(buckets)), _TRAVEL)
+    counted = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_count(buckets)), _TRAVEL)
+    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_gather(buckets)), _SETS)
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -591,22 +591,22 @@ def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     partners = numbered.join(own.withColumnRenamed("number", "b"), "b").select("a", "block", "b", "size", "shared")
     probes = numbered.select("a", "block").distinct().join(own.withColumnRenamed("number", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "size", "shared")
     laid = partners.unionByName(probes).repartition(parts, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return laid.mapInArrow(_settle, "a long, b long")
+    return laid.mapInArrow(tidy(_settle), "a long, b long")
 
 
 def links_of(sets: DataFrame, few: int = FEW, part: int = PART, crowd_block: int = CROWD) -> DataFrame:
     """Links a, b that join the sets (number, size, shared, ranks; each given once) to their components."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = sets.mapInArrow(partial(_postings, most=part), "key long, part int, number long, place int, size int")
-    met = cut(postings.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "number").mapInArrow(partial(_meetings, few=few), _MEET))
+    postings = sets.mapInArrow(tidy(partial(_postings, most=part)), "key long, part int, number long, place int, size int")
+    met = cut(postings.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "number").mapInArrow(tidy(partial(_meetings, few=few)), _MEET))
     # the parts of a key that was dealt over several meet by their first sets
     heads = postings.where("part >= 0").groupBy("key", "part").agg(F.min(F.struct("number", "place", "size")).alias("h")).select("key", F.lit(0).alias("part"), "h.*")
-    heads = heads.repartition(parts, "key").sortWithinPartitions("key", "number").mapInArrow(partial(_meetings, few=few), _MEET)
+    heads = heads.repartition(parts, "key").sortWithinPartitions("key", "number").mapInArrow(tidy(partial(_meetings, few=few)), _MEET)
     pairs = met.unionByName(heads).where(F.col("a").isNotNull()).select("a", "b").distinct()
-    signs = cut(sets.mapInArrow(_marked, "number long, size int, own int, marks binary"))
+    signs = cut(sets.mapInArrow(tidy(_marked), "number long, size int, own int, marks binary"))
     left, right = (signs.select(F.col("number").alias(c), F.col("size").alias(f"n{c}"), F.col("own").alias(f"u{c}"), F.col("marks").alias(f"m{c}")) for c in "ab")
-    possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ua", "ub", "ma", "mb").mapInArrow(_possible, "a long, b long"))
+    possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ua", "ub", "ma", "mb").mapInArrow(tidy(_possible), "a long, b long"))
     links = cut(_verified(sets, possible))
     found = cut(components(links))
 
@@ -622,7 +622,7 @@ def links_of(sets: DataFrame, few: int = FEW, part: int = PART, crowd_block: int
         open_ = salted_join(crowd, cut(sizes), ["key"], "number").withColumn("block", F.pmod(F.xxhash64("number"), "blocks").cast("int"))
         told = open_.join(signs.select("number", "own", "marks"), "number").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = told.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "number", "place", "size", "own", "component", "marks")
-        others = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(partial(_crossing, most=most), "a long, b long")
+        others = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(tidy(partial(_crossing, most=most)), "a long, b long")
         others = cut(others.distinct())
         if others.isEmpty():
             break
@@ -640,6 +640,7 @@ def link(docs: DataFrame, few: int = FEW, part: int = PART, crowd_block: int = C
     """doc_id, n_shingles and component_id of every document."""
     every = cut(sets_of(docs))
     sets = cut(every.where(F.col("shared").isNotNull()).select("number", "size", "shared", "ranks").dropDuplicates(["number"]))
+    sweep(docs.sparkSession)
     links = links_of(sets, few, part, crowd_block)
     # rows of one doc_id with different sets link these
     known = every.where(F.col("number").isNotNull()).select("doc_id", "number")
