@@ -16,7 +16,7 @@ from sievewright.llm._shared import cut, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and texts that no learned language codes in under 8 bits a byte, go."""
+    """Texts without a letter, and texts that no language codes in under 8 bits a byte or has half of the score of, go; a null lang is filled in."""
     return langid.accepted(docs)
 
 
