@@ -1,71 +1,75 @@
-"""Approximate nearest neighbours: a graph by NN-descent, searched greedily.
-
-Equal vectors are one node. Nodes are dealt by a hash into blocks of about
-BLOCK. In every block each node begins with random neighbours; in each round
-Spark joins bring together, at every node, its neighbours and those that it is
-a neighbour of; each learns there of the others (its neighbours' neighbours),
-and the DEGREE nearest are kept. Rounds end when few lists change. The joins
-carry 8-bit copies of the vectors; a search uses the original ones.
-
-A search takes queries in chunks through every block: from a few entry nodes
-it walks along graph edges, always from the best nodes not walked from yet,
-until the BEAM best are settled. Nearness is the inner product in double
-precision; ties go to the smaller vec_id.
+"""Approximate nearest neighbours: one graph by NN-descent, searched greedily.
+
+Equal vectors are one node. Each node begins with random neighbours among all
+nodes of its length; in each round Spark joins bring together, at every node,
+its neighbours and the nearest of those that it is a neighbour of; each learns
+there of the others (its neighbours' neighbours), and the DEGREE nearest are
+kept. Rounds end when few lists change. The graph's joins carry 8-bit copies of
+the vectors.
+
+All queries are searched together. A search holds its BEAM best nodes; in every
+round the WIDTH best that were not walked from yet meet their graph neighbours
+by a join, and what beats the beam's last enters it. It begins at the best of a
+fixed number of entry nodes and, if the query is a node itself, there; it ends
+when the whole beam was walked from, so a query's work follows the nodes it
+visits, not the table. The beam's nodes are scored with the original vectors in
+double precision; nearness is the inner product, ties go to the smaller vec_id.
 
 Vectors that are null, empty, zero or hold null or non-finite components take
-no part, neither as queries nor as candidates. Vectors meet only vectors of
-their own length. With at most k candidates all are returned. A vector given
-more than once under one id counts once; extra columns are ignored.
+no part, neither as queries nor as candidates; nor do rows with a null vec_id.
+Vectors meet only vectors of their own length. With at most k candidates all
+are returned. A vector given more than once under one id counts once; of
+different vectors under one id the first in array order counts, the others take
+no part. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewright.llm._shared import cut
+from sievewright.llm._shared import cut, salted_join, sweep, tidy
+from sievewright.llm.sharding import with_slots
 
-BLOCK = 2048
-DEGREE = 16
-ROUNDS = 5
-#: What a node learns at one meeting: so many of the nearest that beat its list.
+DEGREE = 24
+ROUNDS = 10
+#: What a node learns at one meeting: so many of the nearest that beat its list. A node meets others in many places.
 LEARNED = 4
 #: A round that changes less than this share of the lists is the last.
 SETTLED = 0.02
-BEAM = 64
-CHUNK = 1024
-#: Answers of so many blocks are merged at once.
-MERGED = 64
-_NEAR = "array<struct<far:double,node:bigint>>"
+BEAM = 256
+WIDTH = 64
+#: Nodes of each length that every search looks at first.
+ENTRIES = 256
+#: Up to so many lengths of vectors their entry nodes are sent to every executor.
+BROADCAST_LENGTHS = 64
+_NEVER = -3e38
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the vectors that take part."""
+    """vec_id and v (array<double>) of the vectors that take part, one for each id."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(good)
+    fine = vectors.select("vec_id", v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(good)
+    return fine.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nodes(vectors: DataFrame, block: int = BLOCK, k: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(node, dim, block, v: one for each different vector; node, vec_id: its k + 1 smallest ids).
+def nodes(own: DataFrame, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(node, dim, v: one for each different vector of usable(); node, ids: its k + 1 smallest ids, in order).
 
     A vector's later copies can't be among the k nearest of anything before
-    its first k + 1, so these are all that a search needs.
+    its first k + 1, so these are all that a search needs. They are taken from
+    partial lists, so a vector may be shared by any number of ids.
     """
-    own = usable(vectors)
-    each = own.groupBy("v", "vec_id").agg(F.lit(1).alias("one")).drop("one")
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    kept = cut(ranked)
-    first = kept.where("r = 1").select(F.col("vec_id").alias("node"), F.size("v").alias("dim"), "v")
-    sizes = first.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = cut(first.join(F.broadcast(sizes) if sizes.count() <= 1000 else sizes, "dim").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).drop("blocks"))
-    members = kept.select("v", "vec_id").join(kept.where("r = 1").select("v", F.col("vec_id").alias("node")), "v").select("node", "vec_id")
-    return dealt, cut(members)
+    some = own.groupBy("v", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(F.collect_list("vec_id").alias("ids"))
+    few = some.select("v", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids")).groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    kept = cut(few.select(F.element_at("ids", 1).alias("node"), F.size("v").alias("dim"), "v", "ids"))
+    return kept.select("node", "dim", "v"), kept.select("node", "ids")
 
 
 def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,14 +78,14 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column("v").to_pylist():
             x = np.array(x)
             raw.append(np.rint(x * (127 / np.abs(x).max())).astype(np.int8).tobytes() + np.float32(np.abs(x).max() / 127).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dim"), batch.column("block"), pa.array(raw, pa.binary())], names=["node", "dim", "block", "q"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("dim"), pa.array(raw, pa.binary())], names=["node", "dim", "q"])
 
 
 def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int8, len(raw) - 4).astype(np.float32) * np.frombuffer(raw, np.float32, 1, len(raw) - 4)
 
 
-def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_joins(batches: Iterator[pa.RecordBatch], learned_most: int) -> Iterator[pa.RecordBatch]:
     """Rows (at, node, q, worst, fresh) sorted by at: what the nodes that met at one node learn of each other."""
     key: object = None
     held: list[tuple] = []
@@ -100,9 +104,9 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # only pairs that one of two rounds has not seen, and only what beats a list's last entry
         news = (new[:, None] | new[None, :]) & (score > worst[:, None])
         np.fill_diagonal(news, False)
-        if len(ids) > LEARNED:
+        if len(ids) > learned_most:
             told = np.where(news, score, -np.inf)
-            near = np.argpartition(-told, LEARNED - 1, axis=1)[:, :LEARNED]
+            near = np.argpartition(-told, learned_most - 1, axis=1)[:, :learned_most]
             best = np.zeros_like(news)
             np.put_along_axis(best, near, True, 1)
             news &= best
@@ -128,140 +132,111 @@ def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def descend(dealt: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """node, near, score: the graph's edges, `degree` from every node (all, in smaller blocks)."""
-    spark = dealt.sparkSession
+def descend(own: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, learned: int = LEARNED) -> DataFrame:
+    """node, near, score: the edges of one graph over all nodes (node, dim, q), `degree` from every node (all, where fewer are)."""
+    spark = own.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = cut(dealt.mapInArrow(_quantised, "node long, dim int, block int, q binary"))
-    # random neighbours: places in the block's own numbering, a few steps of different length away
-    place = F.row_number().over(Window.partitionBy("dim", "block").orderBy(F.xxhash64("node"), "node")) - 1
-    numbered = cut(coded.select("node", "dim", "block").withColumn("place", place.cast("long")))
-    sizes = numbered.groupBy("dim", "block").agg(F.count(F.lit(1)).alias("n"))
-    stepped = numbered.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, ["dim", "block"])
+    # random neighbours: places in a numbering of all nodes of a length
+    numbered = cut(with_slots(own.select("node", "dim"), "dim", ["node"], "place"))
+    sizes = numbered.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
     steps = F.transform(F.sequence(F.lit(1), F.lit(degree)), lambda i: F.pmod(F.col("place") + 1 + F.pmod(F.xxhash64("node", i), F.greatest(F.col("n") - 1, F.lit(1))), "n"))
-    drawn = stepped.select("node", "dim", "block", F.explode(F.array_distinct(steps)).alias("place"))
-    graph = drawn.join(numbered.withColumnRenamed("node", "near"), ["dim", "block", "place"]).where("node != near").select("node", "near", F.lit(-1e30).cast("float").alias("score"), F.lit(True).alias("fresh"))
+    drawn = salted_join(numbered, sizes, ["dim"], "node").select("node", "dim", F.explode(F.array_distinct(steps)).alias("place"))
+    graph = drawn.join(numbered.withColumnRenamed("node", "near"), ["dim", "place"]).where("node != near").select("node", "near", F.lit(-1e30).cast("float").alias("score"), F.lit(True).alias("fresh"))
     graph = cut(graph)
     total = numbered.count()
     by_score = Window.partitionBy("node").orderBy(F.desc("score"), "near")
+    never = F.lit(_NEVER).cast("float")
     for _ in range(rounds):
-        worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= degree, F.min("score")).otherwise(F.lit(-3e38).cast("float")).alias("worst"))
-        known = coded.select("node", "q").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-3e38).cast("float")))
+        worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= degree, F.min("score")).otherwise(never).alias("worst"))
+        known = own.select("node", "q").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", never))
         # reverse edges: the nearest `degree`, as a node that very many are near to would meet them all
         reverse = graph.select(F.col("near").alias("at"), F.col("node"), "score", "fresh").withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), F.xxhash64("node")))).where(F.col("r") <= degree)
         meet = graph.select(F.col("node").alias("at"), F.col("near").alias("node"), "fresh").unionByName(reverse.select("at", "node", "fresh"))
         # a node also meets its own neighbours
         itself = graph.select("node").distinct().select(F.col("node").alias("at"), "node", F.lit(False).alias("fresh"))
         rows = meet.unionByName(itself).join(known, "node").select("at", "node", "q", "worst", "fresh")
-        found = rows.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_local_joins, "node long, near long, score float")
+        found = rows.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(tidy(partial(_local_joins, learned_most=learned)), "node long, near long, score float")
         old = graph.withColumn("fresh", F.lit(False))
         both = old.unionByName(found.withColumn("fresh", F.lit(True))).groupBy("node", "near").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
         graph = cut(both.withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= degree).drop("r"))
+        sweep(spark)
         if graph.where("fresh").count() < SETTLED * degree * total:
             break
     return graph.select("node", "near", "score")
 
 
-def _search_block(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of x, scores) of the best found for each query; links are rows of neighbours, -1 for none."""
-    n, m = len(x), len(queries)
-    x32, q32 = x.astype(np.float32), queries.astype(np.float32)
-    beam = min(beam, n)
-    seen = np.zeros((m, n + 1), bool)
-    seen[:, n] = True
-    best = np.full((m, beam), n)
-    score = np.full((m, beam), -np.inf, np.float32)
-    done = np.ones((m, beam), bool)
-    todo = np.broadcast_to(entry, (m, len(entry)))
-    row = np.arange(m)
-    width = 4
-    while len(row):
-        # score what is new, once each
-        todo = np.sort(np.where(todo < 0, n, todo), axis=1)
-        new = ~seen[row[:, None], todo]
-        new[:, 1:] &= todo[:, 1:] != todo[:, :-1]
-        seen[row[:, None], todo] = True
-        got = np.full(todo.shape, -np.inf, np.float32)
-        r, c = np.nonzero(new)
-        for lo in range(0, len(r), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            got[r[s], c[s]] = np.einsum("ij,ij->i", x32[todo[r[s], c[s]]], q32[row[r[s]]])
-        every, scores = np.hstack([best[row], np.where(new, todo, n)]), np.hstack([score[row], got])
-        walked = np.hstack([done[row], ~new])
-        top = np.argpartition(-scores, beam - 1, axis=1)[:, :beam] if scores.shape[1] > beam else np.arange(scores.shape[1])[None, :].repeat(len(row), 0)
-        best[row], score[row], walked = np.take_along_axis(every, top, 1), np.take_along_axis(scores, top, 1), np.take_along_axis(walked, top, 1)
-        # walk on from the best that were not walked from
-        order = np.where(walked, -np.inf, score[row])
-        ahead = np.argpartition(-order, min(width, beam) - 1, axis=1)[:, :width]
-        open_ = np.take_along_axis(order, ahead, 1) > -np.inf
-        np.put_along_axis(walked, ahead, True, 1)
-        done[row] = walked
-        at = np.where(open_, np.take_along_axis(best[row], ahead, 1), n)
-        todo = links[at].reshape(len(row), -1)
-        going = open_.any(axis=1)
-        row, todo = row[going], todo[going]
-    return best, score
-
-
-def search(dealt: DataFrame, members: DataFrame, graph: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, chunk: int = CHUNK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, itself excluded.
-
-    queries: query_id and v (array<double>).
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query, v, worst, ids, codes): the nodes among ids that beat `worst`, a row each."""
+    for batch in batches:
+        query, node, score = [], [], []
+        for q, v, worst, ids, codes in zip(*(batch.column(c).to_pylist() for c in ("query", "v", "worst", "ids", "codes"))):
+            own = np.stack([_vector(c) for c in codes]) @ np.array(v, np.float32)
+            good = np.flatnonzero(own > worst)
+            query += [q] * len(good)
+            node += [ids[k] for k in good]
+            score.append(own[good])
+        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(node, pa.int64()), pa.array(np.concatenate(score) if score else [], pa.float32())], names=["query", "node", "score"])
+
+
+_FOUND = "query long, node long, score float"
+
+
+def search(own: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, width: int = WIDTH, entries: int = ENTRIES) -> DataFrame:
+    """query, node: the beam of each query, by greedy search of the graph.
+
+    own: node, dim, q; queries: query, dim, v and at, a node to begin at or null.
     """
-    beam = max(beam, 2 * (k + 1))
-    near = graph.groupBy("node").agg(F.collect_list("near").alias("near"))  # at most the degree
-    asked = cut(queries.select("query_id", "v", F.size("v").alias("dim")))
-    chunks = asked.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("chunks"))
-    blocks = dealt.groupBy("dim").agg((F.max("block") + 1).alias("blocks"))
-    # every chunk of queries goes to every block, and every block to every chunk
-    left = dealt.join(near, "node", "left").join(chunks, "dim").withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).select("dim", "block", "chunk", "node", "v", "near")
-    right = asked.join(chunks, "dim").join(blocks, "dim").withColumn("chunk", F.pmod(F.xxhash64("query_id"), "chunks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "block", "chunk", "query_id", "v")
-
-    def walk(key, block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "block": pd.Series([], dtype="int32"), "near": pd.Series([], dtype=object)})
-        if not len(block) or not len(own):
-            return empty
-        block = block.sort_values("node")
-        ids, x, q = block["node"].to_numpy(np.int64), np.stack(block["v"].to_numpy()), np.stack(own["v"].to_numpy())
-        n = len(ids)
-        pairs = [(i, y) for i, near in enumerate(block["near"]) if near is not None for y in near]
-        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-        b = np.searchsorted(ids, b)
-        # edges are walked both ways
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        links = np.full((n + 1, max(int(place.max(initial=0)) + 1, 1)), -1)
-        links[a, place] = b
-        entry = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
-        out = []
-        for lo in range(0, len(q), 64):
-            best, score = _search_block(x, links, q[lo : lo + 64], entry, beam)
-            for j in range(len(best)):
-                found = best[j][score[j] > -np.inf]
-                exact = (x[found] * q[lo + j]).sum(axis=1)
-                top = np.lexsort((ids[found], -exact))[: k + 1]
-                out.append((int(own["query_id"].iloc[lo + j]), int(key[1]), [{"far": float(-exact[t]), "node": int(ids[found[t]])} for t in top]))
-        return pd.DataFrame(out, columns=["query_id", "block", "near"]) if out else empty
-
-    found = left.groupBy("dim", "block", "chunk").cogroup(right.groupBy("dim", "block", "chunk")).applyInPandas(walk, f"query_id long, block int, near {_NEAR}")
-    # the blocks' answers merge by MERGED at a time, so that no row holds those of all blocks
-    most = dealt.agg(F.max("block").alias("b")).first()["b"] or 0
+    spark = own.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # every node with its neighbours' codes; edges are walked both ways, from a node that many are near to by the nearest
+    edges = graph.select("node", "near", "score").unionByName(graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "score"))
+    near = edges.groupBy("node", "near").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("score"), "near"))).where(F.col("r") <= 2 * DEGREE)
+    laid = near.join(own.select(F.col("node").alias("near"), "q"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "q")).alias("n"))
+    around = cut(laid.select("node", F.col("n.near").alias("ids"), F.col("n.q").alias("codes")))
+    picked = own.withColumn("r", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("node"), "node"))).where(F.col("r") <= entries)
+    first = cut(picked.groupBy("dim").agg(F.collect_list("node").alias("ids"), F.collect_list("q").alias("codes")))
+    asked = cut(queries.select("query", "dim", "v", "at"))
+    never = F.lit(_NEVER).cast("float")
+    begun = asked.join(F.broadcast(first) if first.count() <= BROADCAST_LENGTHS else first, "dim").select("query", "v", never.alias("worst"), "ids", "codes")
+    there = asked.join(own.select(F.col("node").alias("at"), "q"), "at").select("query", "v", never.alias("worst"), F.array("at").alias("ids"), F.array("q").alias("codes"))
+    found = begun.unionByName(there).mapInArrow(tidy(_scored), _FOUND)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    every = Window.partitionBy("query")
+    state = None
     while True:
-        found = found.groupBy("query_id", F.floor(F.col("block") / MERGED).cast("int").alias("block")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-        most //= MERGED
-        if most == 0:
-            break
-    few = found.select("query_id", F.explode("near").alias("n")).select("query_id", "n.node", (-F.col("n.far")).alias("score"))
-    told = few.join(members, "node").where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
-    """The k nearest of every row whose vec_id `every` divides, among all others."""
-    dealt, members = nodes(vectors, k=k)
-    graph = descend(dealt)
-    queries = usable(vectors).where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id"])
-    return search(dealt, members, graph, queries, k)
+        new = found.withColumn("walked", F.lit(False))
+        both = new if state is None else new.unionByName(state.select("query", "node", "score", "walked"))
+        best = both.groupBy("query", "node").agg(F.max("score").alias("score"), F.max("walked").alias("walked")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam)
+        ahead = F.sum((~F.col("walked")).cast("int")).over(order)
+        told = best.withColumn("go", ~F.col("walked") & (ahead <= width)).withColumn("worst", F.when(F.count(F.lit(1)).over(every) >= beam, F.min("score").over(every)).otherwise(never))
+        state = cut(told.select("query", "node", "score", (F.col("walked") | F.col("go")).alias("walked"), "go", "worst"))
+        sweep(spark)
+        going = state.where("go").select("query", "node", "worst")
+        if going.isEmpty():
+            return state.select("query", "node")
+        steps = going.join(asked.select("query", "v"), "query").repartition(parts, "node").join(around, "node")
+        found = steps.select("query", "v", "worst", "ids", "codes").mapInArrow(tidy(_scored), _FOUND)
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of every row whose vec_id `every` divides, among all others."""
+    own = cut(usable(vectors))
+    first, members = nodes(own, k)
+    coded = cut(first.mapInArrow(tidy(_quantised), "node long, dim int, q binary"))
+    graph = descend(coded)
+    # queries with one vector are one search
+    ids = own.where(F.col("vec_id") % every == 0)
+    asked = cut(ids.groupBy("v").agg(F.min("vec_id").alias("query")))
+    at = asked.join(first.select("v", F.col("node").alias("at")), "v").select("query", F.size("v").alias("dim"), "v", "at")
+    found = search(coded, graph, at, max(beam, 2 * (k + 1)))
+    # exact scores of the beam, then the nearest ids of its nodes
+    pairs = found.join(first.select("node", F.col("v").alias("x")), "node").join(asked.select("query", "v"), "query")
+    exact = F.aggregate(F.zip_with("v", "x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    scored = pairs.select("query", "node", exact.alias("score")).join(members, "node")
+    listed = scored.select("query", F.explode("ids").alias("vec_id"), (-F.col("score")).alias("far"))
+    top = listed.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "vec_id"))), 1, k + 1).alias("near"))  # at most beam * (k + 1)
+    same = salted_join(ids.select(F.col("vec_id").alias("query_id"), "v"), asked, ["v"], "query_id").select("query_id", "query")
+    each = salted_join(same, cut(top), ["query"], "query_id")
+    others = F.slice(F.filter("near", lambda n: n["vec_id"] != F.col("query_id")), 1, k)
+    told = each.select("query_id", F.posexplode(others).alias("place", "n"))
+    return told.select("query_id", (F.col("place") + 1).alias("rank"), "n.vec_id", (-F.col("n.far")).alias("score"))

@@ -26,6 +26,20 @@ def test_recall_copies_and_edges(spark):
     assert nn_graph.nearest(df.limit(0)).count() == 0
 
 
+def test_shared_ids_and_hot_vector(spark):
+    """Two vectors under one id: the first in order takes part. A vector that most ids share is one node, and all its queries are answered."""
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(1, 121)] + [(200, [0.0, 1.0, 0.0]), (200, [0.0, 0.0, 9.0]), (220, [0.5, 1.0, 0.0]), (None, [7.0, 7.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in nn_graph.nearest(df, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    got = {q: sorted(x) for q, x in got.items()}
+    assert set(got) == {*range(20, 121, 20), 200, 220}
+    assert all(got[q] == [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)] for q in range(20, 121, 20))
+    assert got[200] == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
+    assert got[220] == [(1, 1, 0.5), (2, 2, 0.5), (3, 3, 0.5)]
+
+
 def test_pipeline(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     assert public_tokenizers
