@@ -4,7 +4,7 @@ For every prefix of a piece exactly one token can end its encoding: the one
 that fits after the last token of the shorter prefix it leaves. Storing that
 token for every prefix gives the encoding by walking back, makes an append
 exact (only new prefixes are filled), and limits re-encoding after an edit to
-the prefixes behind it. Whether two tokens may stand side by side is decided by
+the prefixes near it. Whether two tokens may stand side by side is decided by
 undoing their merges around the seam in order of rank.
 
 Null text encodes as empty text: no tokens. Empty text gives no tokens. Texts
@@ -114,8 +114,12 @@ class PrefixBPE:
         self.fits_memo[key] = good
         return good
 
-    def last_tokens(self, piece: bytes, known: list[int] | None = None) -> list[int]:
-        """The last token of every prefix of piece; `known` holds those of its first prefixes."""
+    def last_tokens(self, piece: bytes, known: list[int] | None = None, before: int = 0) -> list[int]:
+        """The last token of every prefix of piece; `known` holds those of its first prefixes.
+
+        With `before`, piece is what follows so many bytes; `known` then covers
+        the longest token at least, or all that stands before.
+        """
         last = list(known or ())
         n, fits, seams, append = len(last), self.fits, self.fits_memo.get, last.append
         skip = max(0, n - self.longest)
@@ -126,6 +130,8 @@ class PrefixBPE:
             if at > n:
                 break
             if size > at:
+                if before:
+                    continue  # it would begin before all that is known; a token is never longer than that
                 append(token)
                 n += 1
                 continue
@@ -156,22 +162,54 @@ class PrefixBPE:
 
 
 class Growing:
-    """A piece that grows or is edited; only prefixes behind the change are filled again."""
+    """A piece that grows or is edited in place; only prefixes near the change are filled again."""
 
     def __init__(self, bpe: PrefixBPE, piece: bytes = b""):
-        self.bpe, self.piece, self.last = bpe, piece, bpe.last_tokens(piece)
+        self.bpe, self._bytes, self.last = bpe, bytearray(piece), bpe.last_tokens(piece)
+        #: prefixes that the last change filled
+        self.filled = len(self.last)
+
+    @property
+    def piece(self) -> bytes:
+        return bytes(self._bytes)
 
     def append(self, more: bytes) -> None:
-        self.piece += more
-        self.last = self.bpe.last_tokens(self.piece, self.last)
+        begin = len(self._bytes)
+        self._bytes += more
+        self._refill(begin, len(self._bytes))
 
     def replace(self, begin: int, end: int, new: bytes) -> None:
-        """Put new in place of piece[begin:end]."""
-        self.piece = self.piece[:begin] + new + self.piece[end:]
-        self.last = self.bpe.last_tokens(self.piece, self.last[:begin])
+        """Put new in place of piece[begin:end].
+
+        Prefixes before the edit keep their last tokens. Behind it the last
+        token of a prefix hangs on the `longest` prefixes before only, so once
+        that many come out as they were, all later ones do.
+        """
+        self._bytes[begin:end] = new
+        self.last[begin:end] = [-1] * len(new)
+        self._refill(begin, begin + len(new))
+
+    def _refill(self, begin: int, sure: int) -> None:
+        """Fill prefixes behind `begin`, all up to `sure`, then until as many as a token is long are unchanged."""
+        longest, at, same = self.bpe.longest, begin, 0
+        while at < len(self._bytes) and (at < sure or same < longest):
+            skip, stop = max(0, at - longest), min(len(self._bytes), at + max(4 * longest, sure - at))
+            fresh = self.bpe.last_tokens(bytes(self._bytes[skip:stop]), self.last[skip:at], skip)
+            for token in fresh[at - skip :]:
+                known = at < len(self.last)
+                same = same + 1 if at >= sure and known and self.last[at] == token else 0
+                if known:
+                    self.last[at] = token
+                else:
+                    self.last.append(token)
+                at += 1
+                if at >= sure and same >= longest:
+                    break
+        self.filled = at - begin
 
     def ids(self) -> list[int]:
-        return self.bpe.encode(self.piece)
+        whole = self.bpe.ranks.get(self.piece)
+        return self.bpe.walk_back(self.last) if whole is None else [whole]
 
 
 class TextCodec:
@@ -196,24 +234,29 @@ class TextCodec:
     def piece(self, piece: str) -> str:
         found = self.pieces.get(piece)
         if found is None:
-            found = " ".join(map(str, self.bpe.encode(piece.encode())))
+            found = self.units.get(piece[1:]) if piece[0] == " " else None
+            if found is None:
+                found = self._ids(piece)
             if len(piece) <= LONGEST_KEPT:
                 if len(self.pieces) > MOST_PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = found
         return found
 
+    def _ids(self, piece: str) -> str:
+        return " ".join(map(str, self.bpe.encode(piece.encode())))
+
     def _learn(self, units: list[str]) -> None:
         """Split and encode units together: each begins at a piece that begins with a space."""
         units = list(dict.fromkeys(units))
         at, parts = -1, []
-        for piece in self.split(" " + " ".join(units)):
+        for piece in [*self.split(" " + " ".join(units)), " "]:
             if piece[0] == " ":
                 if at >= 0:
-                    self.units[units[at]] = " ".join(parts)
+                    # a unit of one piece is kept as a unit only
+                    self.units[units[at]] = " ".join(map(self.piece, parts)) if len(parts) > 1 else self._ids(parts[0])
                 at, parts = at + 1, []
-            parts.append(self.piece(piece))
-        self.units[units[at]] = " ".join(parts)
+            parts.append(piece)
 
     def encoded(self, text: str) -> str:
         """The ids in decimal, joined by a space."""

@@ -36,8 +36,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # one pass from left to right: a doubled backslash is one, a backslash before n is a line end
+    marks = F.regexp_extract_all(unescape(role), F.lit(r"\\[\\n]|[^\\]+|\\"), F.lit(0))
+    return F.array_join(F.transform(marks, lambda m: F.when(m == "\\\\", "\\").when(m == "\\n", "\n").otherwise(m)), "")
 
 
 def conversations(rows: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ words ahead than the shortest window has cannot match and are left out.
 
 An item with fewer words than a window is one window as a whole; an item
 without words matches nothing. Null and empty texts have no words: n_words 0,
-not contaminated. An empty benchmark leaves every document clean. Repeated
-rows are judged one by one; extra columns are ignored. The benchmark is sent to
-the workers in slices of at most SLICE_BYTES of text, one after the other.
+not contaminated. An empty benchmark leaves every document clean; an item
+without id is one of its own. Repeated rows, and rows with a null doc_id, are
+judged one by one, each by its own text; judge() ignores extra columns, clean()
+keeps them. The benchmark, which is small against the corpus, is sent to the
+workers in slices of at most SLICE_BYTES of text; all are searched in one scan.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
+from sievewright.llm._shared import tidy
 
 WINDOW = 13
 #: Text of a benchmark slice that is held in a worker at once.
@@ -53,19 +56,26 @@ class Windows:
             size = min(window, hi - lo)
             if size:
                 by_length.setdefault(int(size), []).extend((k, p - lo, p) for p in range(lo, hi - size + 1))
-        #: length -> (keys in order, item, place in the item)
+        self.longest = max(by_length, default=1)
+        #: what windows of two words or more begin with, and windows of one word
+        self.firsts = np.unique([int(word[p]) << 32 | int(word[p + 1]) for size, rows in by_length.items() if size > 1 for _, _, p in rows] or np.zeros(0, np.int64)).astype(np.int64)
+        self.singles = np.unique([int(word[p]) for _, _, p in by_length.get(1, ())] or np.zeros(0, np.int64)).astype(np.int64)
+        #: length -> (least and largest suffix that begins with each window, item, place in the item)
         self.by_length = {}
         for size, rows in by_length.items():
             item, place, at = np.array(rows, np.int64).T
-            keys = _keys(word, at, size)
-            order = np.argsort(keys, kind="stable")
-            self.by_length[size] = keys[order], item[order], place[order]
+            low, high = (_keys(word, at, self.longest, np.full(len(at), size), rest) for rest in (0, (1 << 32) - 1))
+            self.by_length[size] = low, high, item, place
 
 
-def _keys(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The `size` words from each place, as byte strings that sort as the words do."""
-    rows = word[at[:, None] + np.arange(size)].astype(">u4")
-    return np.ascontiguousarray(rows).view(f"S{4 * size}").ravel()
+def _keys(word: np.ndarray, at: np.ndarray, size: int, ahead: np.ndarray, rest: int = 0) -> np.ndarray:
+    """`size` words from each place, `rest` behind the first `ahead`, as byte strings that sort as the words do."""
+    steps = np.arange(size)
+    rows = np.where(steps < ahead[:, None], word[np.minimum(at[:, None] + steps, max(len(word) - 1, 0))], rest).astype(">u4")
+    # a last byte of one keeps numpy from cutting zeros off
+    ended = np.ones((len(at), 4 * size + 1), np.uint8)
+    ended[:, :-1] = np.ascontiguousarray(rows).view(np.uint8).reshape(len(at), 4 * size)
+    return ended.view(f"S{4 * size + 1}").ravel()
 
 
 def _known_words(buf: np.ndarray, offs: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,25 +100,23 @@ def _search(word: np.ndarray, bounds: np.ndarray, windows: Windows) -> tuple[np.
     stop[:n] |= word == 0
     stop[n] = True
     ends = np.flatnonzero(stop)
+    # the first stop after a place tells how many known words lie ahead; an unknown word begins nothing
+    at = np.flatnonzero(word)
+    ahead = np.minimum(ends[np.searchsorted(ends, at, side="right")] - at, windows.longest)
+    pair = word[at].astype(np.int64) << 32 | np.where(ahead > 1, word[np.minimum(at + 1, n - 1)], 0)
+    near = np.searchsorted(windows.firsts, pair) if len(windows.firsts) else np.zeros(0, np.int64)
+    near[near == len(windows.firsts)] = 0
+    begins = windows.firsts[near] == pair if len(windows.firsts) else np.zeros(len(at), bool)
+    lone = windows.singles[np.minimum(np.searchsorted(windows.singles, word[at]), len(windows.singles) - 1)] == word[at] if len(windows.singles) else np.zeros(len(at), bool)
+    begins |= lone
+    at, ahead = at[begins], ahead[begins]
+    # the shard's suffix array: places in order of the words that follow, as far as a window reaches
+    suffixes = _keys(word, at, windows.longest, ahead)
+    order = np.argsort(suffixes, kind="stable")
+    suffixes, at = suffixes[order], at[order]
     found = []
-    for size, (keys, item, place) in windows.by_length.items():
-        # the first stop after a place, or at it if the word itself is unknown
-        at = np.flatnonzero(word)
-        ahead = ends[np.searchsorted(ends, at, side="right")] - at
-        at = at[ahead >= size]
-        if not len(at):
-            continue
-        pair = word[at].astype(np.int64) << 32 | word[at + min(1, size - 1)]
-        firsts = np.unique(keys.view(np.dtype(">u4")).reshape(len(keys), size)[:, [0, min(1, size - 1)]].astype(np.int64) @ np.array([1 << 32, 1]))
-        near = np.searchsorted(firsts, pair)
-        near[near == len(firsts)] = 0
-        at = at[firsts[near] == pair]
-        if not len(at):
-            continue
-        suffixes = _keys(word, at, size)
-        order = np.argsort(suffixes, kind="stable")  # the shard's suffix array
-        suffixes, at = suffixes[order], at[order]
-        left, right = np.searchsorted(suffixes, keys, "left"), np.searchsorted(suffixes, keys, "right")
+    for size, (low, high, item, place) in windows.by_length.items():
+        left, right = np.searchsorted(suffixes, low, "left"), np.searchsorted(suffixes, high, "right")
         count = right - left
         hit = np.flatnonzero(count)
         if not len(hit):
@@ -149,29 +157,33 @@ def _document(first: int, hits: tuple, windows: Windows) -> tuple:
     return spans, sorted({windows.items[i] for i in set(item.tolist())}), int(length[best]), windows.items[item[begin[best]]], int(at[begin[best]])
 
 
-def _find(docs: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(shared.value, window)
-        for batch in batches:
-            word, bounds = _known_words(*_bytes.text_bytes(batch.column("text")), windows.vocabulary)
-            hits = _search(word, bounds, windows)
-            doc = np.searchsorted(bounds, hits[0], side="right") - 1
-            order = np.argsort(doc, kind="stable")
-            hits, doc = [x[order] for x in hits], doc[order]
-            cuts = np.searchsorted(doc, np.arange(len(bounds)))
-            spans, names, longest, which, where = [], [], [], [], []
-            for d in range(len(bounds) - 1):
-                own = slice(cuts[d], cuts[d + 1])
-                got = _document(bounds[d], [x[own] for x in hits], windows) if cuts[d] < cuts[d + 1] else ([], [], 0, None, None)
-                for to, x in zip((spans, names, longest, which, where), got):
-                    to.append(x)
-            span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            columns = [batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], span), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(which, pa.string()), pa.array(where, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items", "longest", "longest_item", "longest_at"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+def _found(text: pa.Array, slices: list[Windows]) -> tuple[np.ndarray, list[tuple]]:
+    """(number of words, (spans, items, longest match, its item, its place)) of each text of a shard."""
+    buf, offs = _bytes.text_bytes(text)
+    got: list[list[tuple]] = [[] for _ in range(len(offs) - 1)]
+    n = np.zeros(len(offs) - 1, np.int64)
+    for windows in slices:
+        word, bounds = _known_words(buf, offs, windows.vocabulary)
+        n = np.diff(bounds)
+        hits = _search(word, bounds, windows)
+        doc = np.searchsorted(bounds, hits[0], side="right") - 1
+        order = np.argsort(doc, kind="stable")
+        hits, doc = [x[order] for x in hits], doc[order]
+        cuts = np.searchsorted(doc, np.arange(len(bounds)))
+        for d in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[d], cuts[d + 1])
+            got[d].append(_document(bounds[d], [x[own] for x in hits], windows))
+    out = []
+    for own in got:
+        best = min(own, key=lambda x: (-x[2], x[4], x[3])) if own else ([], [], 0, None, None)
+        out.append((_merge([s for x in own for s in x[0]]), sorted({i for x in own for i in x[1]}), *best[2:]))
+    return n, out
+
+
+def _windows(spark: SparkSession, benchmark: DataFrame, window: int, slice_bytes: int):
+    """A function that gives the benchmark's slices, one after the other, in a worker."""
+    shared = [spark.sparkContext.broadcast(own) for own in _slices(benchmark, slice_bytes)]
+    return lambda: [Windows(own.value, window) for own in shared]
 
 
 def _slices(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -189,23 +201,32 @@ def _slices(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | N
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """A row a document: doc_id, n_words, spans of hit words, items met, the longest match and where it is."""
-    found = [_find(docs, own, window) for own in _slices(benchmark, slice_bytes)]
-    if len(found) == 1:
-        return found[0]
-    # a further slice adds rows of the same documents: lay their spans and items together
-    rows = F.monotonically_increasing_id()  # repeated documents stay apart; every slice scans in the same order
-    tagged = [f.withColumn("row", rows) for f in found]
-    every = tagged[0]
-    for f in tagged[1:]:
-        every = every.unionByName(f)
-    best = F.max(F.struct(F.col("longest"), (-F.col("longest_at")).alias("before"), F.col("longest_item")))
-    together = every.groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), best.alias("best"))
-    merged = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<begin:int,end:int>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= s["begin"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(done, F.lit(-1))["begin"].alias("begin"), F.greatest(F.try_element_at(done, F.lit(-1))["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    return together.select("doc_id", "n_words", merged.alias("spans"), "items", F.col("best.longest").alias("longest"), F.col("best.longest_item").alias("longest_item"), (-F.col("best.before")).alias("longest_at"))
+    slices = _windows(docs.sparkSession, benchmark, window, slice_bytes)
+    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = slices()
+        for batch in batches:
+            n, found = _found(batch.column("text"), own)
+            spans, names, longest, which, where = zip(*found) if found else [()] * 5
+            columns = [batch.column("doc_id"), pa.array(n), pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], span), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(which, pa.string()), pa.array(where, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items", "longest", "longest_item", "longest_at"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), FOUND)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, all columns as they are; each row is judged by its own text, ids don't matter."""
+    slices = _windows(docs.sparkSession, benchmark, window, slice_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = slices()
+        for batch in batches:
+            n, found = _found(batch.column("text"), own)
+            hit = np.array([sum(e - b for b, e in x[0]) for x in found], np.int64)
+            yield batch.filter(pa.array(~((hit > 0) & (SHARE * hit >= n))))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
+from sievewright.llm._exchange import buckets_of, chunks_of, exchange, travel
 from sievewright.llm._shared import cut, salted_join, sweep, tidy
 from sievewright.operators.graph import components
 
@@ -91,19 +92,6 @@ def _least(n: np.ndarray) -> np.ndarray:
     return -(-NUM * n // DEN)
 
 
-# Rows that travel between chunks of documents and buckets of shingles.
-#   key: the bucket; buckets + chunk for the row about the chunk itself
-#   chunk: which chunk of which task
-#   a .. f: packed arrays, see the functions
-_TRAVEL = "key long, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
-_NAMES = ["key", "chunk", "a", "b", "c", "d", "e", "f"]
-
-
-def _travel(rows: list[tuple]) -> pa.RecordBatch:
-    key, chunk, *packed = zip(*rows) if rows else [()] * len(_NAMES)
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(chunk, pa.int64()), *[pa.array([None if x is None else x.tobytes() for x in p], pa.binary()) for p in packed]], names=_NAMES)
-
-
 def _six(x: np.ndarray) -> np.ndarray:
     """The low 48 bits of each number, packed."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
@@ -168,7 +156,7 @@ def _scattered(ids: pa.Array, h: np.ndarray, n: np.ndarray, chunk: int, buckets:
     several = np.repeat(held > 1, held)
     whole = token | (bucket.astype(np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
     numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    yield _travel([(buckets + chunk, chunk, numbers, n.astype(np.int32), number, np.where(missing, 2, sent).astype(np.uint8), whole[several], doc[several])])
+    yield from travel([(buckets + chunk, chunk, numbers, n.astype(np.int32), number, np.where(missing, 2, sent).astype(np.uint8), whole[several], doc[several])])
     one, many = ~several, begin[held > 1]
     times = held[held > 1].astype(np.uint32)
     cuts_one, cuts_many = np.searchsorted(bucket[one], np.arange(buckets + 1)), np.searchsorted(bucket[many], np.arange(buckets + 1))
@@ -176,14 +164,10 @@ def _scattered(ids: pa.Array, h: np.ndarray, n: np.ndarray, chunk: int, buckets:
     small = len(n) <= 1 << 16
     doc_one = doc_one.astype(np.uint16) if small else doc_one
     rows = []
-    for k in np.unique(bucket).tolist():
+    for k in np.flatnonzero((np.diff(cuts_one) > 0) | (np.diff(cuts_many) > 0)).tolist():
         x, y = slice(cuts_one[k], cuts_one[k + 1]), slice(cuts_many[k], cuts_many[k + 1])
         rows.append((k, chunk, token_one[x], None, doc_one[x], token_many[y], times[y], None))
-        if len(rows) == 256:
-            yield _travel(rows)
-            rows = []
-    if rows:
-        yield _travel(rows)
+    yield from travel(rows)
 
 
 def _class(times: np.ndarray) -> np.ndarray:
@@ -198,7 +182,7 @@ def _count(buckets: int):
     places of those that one of its sets holds; d, e shingles and classes of those that several do.
     """
 
-    def counted(bucket: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def counted(bucket: int, rows: list[tuple]) -> list[tuple]:
         single = [_wide(r[1], bucket) for r in rows]
         multi = [_wide(r[3], bucket) for r in rows]
         token = np.concatenate(single + multi)
@@ -220,27 +204,9 @@ def _count(buckets: int):
             kind = np.uint16 if len(r[2]) == 2 * len(keep) else np.uint32
             if keep.any() or y.stop > y.start:
                 out.append((bucket, r[0], token[x][keep], rank[x][keep], np.frombuffer(r[2], kind)[keep].astype(np.uint32), token[y], rank[y], None))
-        for k in range(0, len(out), 256):
-            yield _travel(out[k : k + 256])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
-        for batch in batches:
-            columns = [batch.column(c) for c in ("key", "chunk", "a", "c", "d", "e")]
-            for i in range(len(batch)):
-                key = columns[0][i].as_py()
-                if key != bucket:
-                    if held:
-                        yield from counted(bucket, held)
-                    bucket, held = key, []
-                if key < buckets:
-                    held.append(tuple(c[i].as_py() for c in columns[1:]))
-                else:
-                    yield batch.slice(i, 1)
-        if held:
-            yield from counted(bucket, held)
+        return out
 
-    return run
+    return buckets_of(buckets, ("chunk", "a", "c", "d", "e"), counted)
 
 
 _SETS = "doc_id long, n_shingles long, number long, size int, shared binary, ranks binary"
@@ -272,34 +238,12 @@ def _gather(buckets: int):
         missing = sent == 2
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=missing), pa.array(n.astype(np.int64)), pa.array(number, mask=missing | (n == 0)), pa.array(n), pa.array(sets, pa.binary()), pa.array(ranks, pa.binary())], names=["doc_id", "n_shingles", "number", "size", "shared", "ranks"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, own, told = None, None, []
-        for batch in batches:
-            keys, chunks = batch.column("key").to_pylist(), batch.column("chunk").to_pylist()
-            packed = [batch.column(c) for c in "abcdef"]
-            for i, (key, at) in enumerate(zip(keys, chunks)):
-                if at != chunk:
-                    if own is not None:
-                        yield gathered(own, told)
-                    chunk, own, told = at, None, []
-                row = tuple(c[i].as_py() for c in packed)
-                if key >= buckets:
-                    own = row
-                else:
-                    told.append(row)
-        if own is not None:
-            yield gathered(own, told)
-
-    return run
+    return chunks_of(buckets, gathered)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, number (of the set; null: none), size and shared, a row a document; see _gather()."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    dealt = docs.select("doc_id", "text").mapInArrow(tidy(_scatter(buckets)), _TRAVEL)
-    counted = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidy(_count(buckets)), _TRAVEL)
-    return counted.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(tidy(_gather(buckets)), _SETS)
+    return exchange(docs.select("doc_id", "text"), _scatter, _count, _gather, _SETS)
 
 
 def _signatures(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:

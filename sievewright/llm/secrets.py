@@ -10,8 +10,9 @@ from that of the one before; windows over the class's threshold join to spans.
 A window that overlaps a match of an allow-list pattern is left out, and so is
 an entropy span that lies in a base span.
 
-Null and empty texts have no spans. Texts are scanned whole; extra columns are
-ignored and repeated rows scanned alike.
+Null and empty texts have no spans. Texts are scanned whole, in time that
+follows their length; extra columns are ignored by the scan and kept by
+redact(), whatever their names, and repeated rows scanned alike.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 20
+#: Windows of a run that are slid over in one go, and matches whose places are summed up in one go.
+STRETCH, MATCHES = 1024, 512
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -50,15 +53,30 @@ def _none() -> Column:
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<begin, hit>> of the matches, leftmost first."""
+    """array<struct<begin, hit>> of the matches, leftmost first.
+
+    Places are summed up block by block, so that many matches take little more
+    than time in proportion to their number.
+    """
     laid = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,hit:string>>").alias("found"))
+    found = "array<struct<begin:int,hit:string>>"
 
     def step(s: Column, x: Column) -> Column:
         begin = s["at"] + F.length(x["gap"])
-        return F.when(x["hit"].isNull(), s).otherwise(F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(s["found"], F.array(F.struct(begin.alias("begin"), x["hit"].alias("hit")))).alias("found")))
+        own = F.array(F.struct(begin.alias("begin"), x["hit"].alias("hit")))
+        return F.when(x["hit"].isNull(), s).otherwise(F.struct((begin + F.length(x["hit"])).alias("at"), F.concat(s["found"], own).alias("found")))
+
+    def within(block: Column) -> Column:
+        return F.aggregate(block["rows"], F.struct(block["at"].alias("at"), F.array().cast(found).alias("found")), step, lambda s: s["found"])
 
-    return F.aggregate(laid, start, step, lambda s: s["found"])
+    def placed(rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / MATCHES).cast("int")), lambda k: F.slice(rows, k * MATCHES + 1, F.lit(MATCHES)))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,rows:array<struct<gap:string,hit:string>>>>").alias("blocks"))
+        begun = F.aggregate(blocks, start, lambda s, block: F.struct((s["at"] + length(block)).alias("at"), F.concat(s["blocks"], F.array(F.struct(s["at"].alias("at"), block.alias("rows")))).alias("blocks")), lambda s: s["blocks"])
+        return F.flatten(F.transform(begun, within))
+
+    return F.element_at(F.transform(F.array(laid), placed), 1)
 
 
 def _base(text: Column, kind: int, pattern: str, good) -> Column:
@@ -87,14 +105,39 @@ def _allowed(run: Column) -> Column:
 
 
 def _hot(run: Column, alphabet: str, bits: float, allowed: Column | None = None) -> Column:
-    """array<struct<begin, end>> within a run: windows whose entropy reaches bits and that no allowed place overlaps, joined where they meet."""
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(run, i, 1))
+    """array<struct<begin, end>> within a run: windows whose entropy reaches bits and that no allowed place overlaps, joined where they meet.
+
+    The run becomes codes once; STRETCH windows at a time are slid over, so the
+    time follows the run's length, and spans that meet are joined at the end.
+    """
+    codes = F.slice(F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c)), F.lit(1), F.length(run))
+    allowed = F.array().cast("array<struct<begin:int,end:int>>") if allowed is None else allowed
+
+    def whole(given: Column) -> Column:
+        of = lambda k: F.struct((k * STRETCH).alias("at"), F.slice(given["codes"], k * STRETCH + 1, F.lit(STRETCH + WINDOW - 1)).alias("codes"), F.filter(given["allowed"], lambda a: (a["begin"] < (k + 1) * STRETCH + WINDOW) & (a["end"] > k * STRETCH)).alias("allowed"))
+        last = F.floor(F.greatest(F.size(given["codes"]) - WINDOW, F.lit(0)) / STRETCH).cast("int")
+        return F.flatten(F.transform(F.transform(F.sequence(F.lit(0), last), of), lambda stretch: _slid(stretch, alphabet, bits)))
+
+    met = F.transform(F.array(F.struct(codes.alias("codes"), allowed.alias("allowed"))), whole)
+    return F.element_at(F.transform(met, _joined), 1)
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order of both ends, those that meet as one."""
+    first = F.filter(spans, lambda s, i: (i == 0) | (F.coalesce(F.get(spans, i - 1)["end"], F.lit(-1)) < s["begin"]))
+    last = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.coalesce(F.get(spans, i + 1)["begin"], F.lit(-1)) > s["end"]))
+    return F.zip_with(first, last, lambda x, y: F.struct(x["begin"].alias("begin"), y["end"].alias("end")))
+
+
+def _slid(stretch: Column, alphabet: str, bits: float) -> Column:
+    """The hot windows of one stretch (at, codes, allowed), joined where they meet."""
     spans = "array<struct<begin:int,end:int>>"
     state = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.array().cast(spans).alias("found"))
+    at, codes, allowed = stretch["at"], stretch["codes"], stretch["allowed"]
 
     def step(s: Column, i: Column) -> Column:
         # a code of 0 stands for no character: nothing leaves until the window is full
-        moved = F.array(F.struct(place(i).alias("new"), F.when(i > WINDOW, place(i - WINDOW)).otherwise(F.lit(0)).alias("old")))
+        moved = F.array(F.struct(F.element_at(codes, i).alias("new"), F.when(i > WINDOW, F.element_at(codes, F.greatest(i - WINDOW, F.lit(1)))).otherwise(F.lit(0)).alias("old")))
 
         def slide(c: Column) -> Column:
             same = c["new"] == c["old"]
@@ -102,19 +145,17 @@ def _hot(run: Column, alphabet: str, bits: float, allowed: Column | None = None)
             less = F.when(same | (c["old"] == 0), 0.0).otherwise(_weight(gone) - _weight(F.greatest(gone - 1, F.lit(0))))
             more = F.when(same, 0.0).otherwise(_weight(F.least(come + 1, F.lit(WINDOW))) - _weight(come))
             total = s["sum"] - less + more
-            counts = F.transform(s["counts"], lambda n, k: n + (k + 1 == c["new"]).cast("int") - (k + 1 == c["old"]).cast("int"))
-            hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits)
-            if allowed is not None:
-                hot &= ~F.exists(allowed, lambda a: (a["begin"] < i) & (a["end"] > i - WINDOW))
+            counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda n, k: n + (k + 1 == c["new"]).cast("int") - (k + 1 == c["old"]).cast("int")))
+            begin, end = at + i - WINDOW, at + i
+            hot = (i >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= bits) & ~F.exists(allowed, lambda a: (a["begin"] < end) & (a["end"] > begin))
             last = F.try_element_at(s["found"], F.lit(-1))
-            span = F.struct((i - WINDOW).alias("begin"), i.alias("end"))
-            joined = F.concat(F.slice(s["found"], 1, F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(last["begin"].alias("begin"), i.alias("end"))))
-            found = F.when(~hot, s["found"]).when(F.coalesce(last["end"] >= i - WINDOW, F.lit(False)), joined).otherwise(F.concat(s["found"], F.array(span)))
+            joined = F.concat(F.slice(s["found"], 1, F.greatest(F.size(s["found"]) - 1, F.lit(0))), F.array(F.struct(last["begin"].alias("begin"), end.alias("end"))))
+            found = F.when(~hot, s["found"]).when(F.coalesce(last["end"] >= begin, F.lit(False)), joined).otherwise(F.concat(s["found"], F.array(F.struct(begin.alias("begin"), end.alias("end")))))
             return F.struct(counts.alias("counts"), total.alias("sum"), found.cast(spans).alias("found"))
 
         return F.element_at(F.transform(moved, slide), 1)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), state, step, lambda s: s["found"])
+    return F.aggregate(F.sequence(F.lit(1), F.size(codes)), state, step, lambda s: s["found"])
 
 
 def entropy_spans(text: Column) -> Column:
@@ -163,15 +204,14 @@ def redact(docs: DataFrame, mark: str = "[secret]", changed: str | None = None)
 
     changed names a boolean column to add: whether the text had a span.
     """
-    columns = docs.columns
-    found = scan(docs.withColumnsRenamed({c: f"_in_{c}" for c in columns if c != "text"}))
-    start = F.struct(F.lit(0).alias("done_to"), F.lit("").alias("done"))
+    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text")))
+    start = F.struct(F.lit(0).alias("done_to"), F.array().cast("array<string>").alias("done"))
 
     def step(s: Column, x: Column) -> Column:
-        more = F.concat(s["done"], F.substring("text", s["done_to"] + 1, x["begin"] - s["done_to"]), F.lit(mark))
+        more = F.concat(s["done"], F.array(F.substring("text", s["done_to"] + 1, x["begin"] - s["done_to"]), F.lit(mark)))
         return F.struct(F.greatest(s["done_to"], x["end"]).alias("done_to"), F.when(x["begin"] < s["done_to"], s["done"]).otherwise(more).alias("done"))
 
-    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring("text", s["done_to"] + 1, F.lit(1 << 30))))
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["done"], ""), F.substring("text", s["done_to"] + 1, F.lit(1 << 30))))
     text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.col(f"`_in_{c}`").alias(c) for c in columns]
+    out = [text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return found.select(*out, *([(F.size("spans") > 0).alias(changed)] if changed else []))

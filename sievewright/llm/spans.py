@@ -5,14 +5,17 @@ sentences and MIN_WORDS words, or is one sentence of LONG_WORDS words. The
 shortest run that begins at each sentence and the shortest that ends at it are
 taken: of a longer run that is repeated these lie within it and hold each of
 its sentences, so all of it is marked. Runs are hashed to 128 bits over their
-lower-cased words, joined over all documents, and every occurrence but the
-first, in order of doc_id and sentence, marks its sentences for removal.
+lower-cased words and dealt to buckets that see all documents' runs; every
+occurrence but the first, in order of doc_id, text digest and sentence, marks
+its sentences for removal.
 
 Null and empty texts have no runs and are kept as they are. Texts with fewer
 words than a run are never touched. Rows that share doc_id and text stand for
-one document; extra columns are kept. Null doc_ids come first and are left
-whole. A run that occurs in a third of all documents is counted by partial
-sums and marked by a join whose large side can be split.
+one document; rows that share a doc_id only are told apart by their texts.
+Extra columns are ignored. Null doc_ids come first and are left whole. A run
+that occurs in a third of all documents costs its bucket one entry a chunk of
+documents. Words are parted by ASCII white space, so a text without any is one
+sentence. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
-from sievewright.llm._shared import cut
+from sievewright.llm._exchange import buckets_of, chunks_of, exchange, travel
+from sievewright.llm._shared import cut, sweep, tidy
 
+#: Text whose runs are dealt out together; longer texts are a chunk by themselves.
+DEALT = 4 << 20
 MIN_WORDS = 20
 LONG_WORDS = 40
 #: Up to so many ids of documents that lose sentences are sent to every executor.
@@ -88,24 +95,121 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[at], at - bounds[doc[at]], to + 1 - bounds[doc[at]], *out
 
 
-def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buf, offs = _bytes.text_bytes(batch.column("text"))
-        for lo, hi in _bytes.chunks(offs, 4 * _bytes.CHUNK):
-            doc, begin, end, one, two = runs(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            ids = batch.column("doc_id").take(pa.array(doc + lo))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(one), pa.array(two)], names=["doc_id", "begin", "end", "one", "two"])
+_SPANS = "array<struct<begin:int,end:int,first_doc_id:bigint>>"
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, end (sentences) and first_doc_id of every run but the first of its kind."""
-    each = docs.select("doc_id", "text").mapInArrow(_run_rows, "doc_id long, begin int, end int, one long, two long")
-    firsts = each.groupBy("one", "two").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    later = each.join(firsts, ["one", "two"]).where(~F.struct("doc_id", "begin").eqNullSafe(F.col("first")))
-    return later.select("doc_id", "begin", "end", F.col("first.doc_id").alias("first_doc_id"))
+def _scatter(buckets: int):
+    """Deals the runs of each chunk of documents to buckets, one entry for equal runs.
 
+    To each bucket goes: a the hashes, b, c, d doc_id, text digest and first
+    sentence of the chunk's first occurrence, e whether the chunk has another,
+    f the run's number in the chunk. The chunk's own row has: a, b, c doc_ids,
+    digests and whether the id is null, d numbers, e documents, f sentences
+    (first, end) of all occurrences.
+    """
 
-_SPANS = "array<struct<begin:int,end:int,first_doc_id:bigint>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            buf, offs = _bytes.text_bytes(batch.column("text"))
+            missing = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False).astype(np.int64)
+            digest = batch.column("digest").to_numpy(zero_copy_only=False)
+            for lo, hi in _bytes.chunks(offs, DEALT):
+                found = []
+                for b, e in _bytes.chunks(offs[lo : hi + 1]):
+                    doc, *rest = runs(buf[offs[lo + b] : offs[lo + e]], offs[lo + b : lo + e + 1] - offs[lo + b])
+                    found.append((doc + b, *rest))
+                yield from _dealt(ids[lo:hi], digest[lo:hi], missing[lo:hi], [np.concatenate(x) for x in zip(*found)], chunk, buckets)
+                chunk += 1
+
+    return run
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _dealt(ids: np.ndarray, digest: np.ndarray, missing: np.ndarray, found: list[np.ndarray], chunk: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    doc, begin, end, one, two = found
+    order = np.lexsort((begin, digest[doc], ids[doc], two, one.view(np.uint64)))
+    doc, begin, end, one, two = (x[order] for x in (doc, begin, end, one, two))
+    new = _changes(one, two)
+    number = (np.cumsum(new) - 1).astype(np.uint32)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(one)) - 1
+    other = (ids[doc[first]] != ids[doc[last]]) | (digest[doc[first]] != digest[doc[last]]) | (begin[first] != begin[last])
+    yield from travel([(buckets + chunk, chunk, ids, digest, missing.astype(np.uint8), number, doc.astype(np.uint32), np.stack([begin, end], 1).astype(np.int32))])
+    bucket = ((one[first].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    hashes = np.stack([one[first], two[first]], 1)
+    parts = (hashes, ids[doc[first]], digest[doc[first]], begin[first].astype(np.int32), other.astype(np.uint8), number[first])
+    yield from travel([(k, chunk, *(x[cuts[k] : cuts[k + 1]] for x in parts)) for k in np.flatnonzero(np.diff(cuts)).tolist()])
+
+
+def _count(buckets: int):
+    """Finds each run's first occurrence, a bucket at a time; tells the chunks about runs with others.
+
+    Told are, by chunk: a the runs' numbers there, b, c, d doc_id, digest and sentence of the first occurrence.
+    """
+
+    def counted(bucket: int, rows: list[tuple]) -> list[tuple]:
+        kinds = (np.int64, np.int64, np.int64, np.int32, np.uint8, np.uint32)
+        hashes, ids, digest, begin, other, number = (np.concatenate([np.frombuffer(r[k + 1], kind) for r in rows]) for k, kind in enumerate(kinds))
+        one, two = hashes.reshape(-1, 2).T
+        source = np.repeat(np.arange(len(rows)), [len(r[5]) for r in rows])
+        order = np.lexsort((begin, digest, ids, two, one))
+        one, two, ids, digest, begin, other, number, source = (x[order] for x in (one, two, ids, digest, begin, other, number, source))
+        new = _changes(one, two)
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        last = np.append(first[1:], len(one)) - 1
+        many = np.logical_or.reduceat(other > 0, first) | (ids[first] != ids[last]) | (digest[first] != digest[last]) | (begin[first] != begin[last])
+        keep = np.flatnonzero(many[group])
+        keep = keep[np.argsort(source[keep], kind="stable")]
+        cuts = np.searchsorted(source[keep], np.arange(len(rows) + 1))
+        of = first[group[keep]]
+        told = (number[keep], ids[of], digest[of], begin[of])
+        return [(bucket, r[0], *(x[cuts[i] : cuts[i + 1]] for x in told), None, None) for i, r in enumerate(rows) if cuts[i + 1] > cuts[i]]
+
+    return buckets_of(buckets, ("chunk", *"abcdef"), counted)
+
+
+def _gather(buckets: int):
+    """The spans of each chunk's documents that occur before; rows come sorted by chunk."""
+
+    def gathered(own: tuple, told: list[tuple]) -> pa.RecordBatch:
+        ids, digest, missing, number, doc, places = (np.frombuffer(x, kind) for x, kind in zip(own, (np.int64, np.int64, np.uint8, np.uint32, np.uint32, np.int32)))
+        places = places.reshape(-1, 2)
+        which, first, first_digest, begin = (np.concatenate([np.frombuffer(t[k], kind) for t in told]) if told else np.zeros(0, kind) for k, kind in enumerate((np.uint32, np.int64, np.int64, np.int32)))
+        at = np.full(int(number[-1]) + 1 if len(number) else 0, -1)
+        at[which] = np.arange(len(which))
+        hit = np.flatnonzero((at[number] >= 0) & (missing[doc] == 0))
+        of = at[number[hit]]
+        later = (ids[doc[hit]] != first[of]) | (digest[doc[hit]] != first_digest[of]) | (places[hit, 0] != begin[of])
+        hit, of = hit[later], of[later]
+        order = np.argsort(doc[hit], kind="stable")
+        hit, of = hit[order], of[order]
+        docs, cuts = np.unique(doc[hit], return_index=True)
+        source = first[of]
+        span = pa.StructArray.from_arrays([pa.array(places[hit, 0]), pa.array(places[hit, 1]), pa.array(source, mask=source == np.iinfo(np.int64).min)], names=["begin", "end", "first_doc_id"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[docs]), pa.array(digest[docs]), pa.ListArray.from_arrays(pa.array(np.append(cuts, len(hit)).astype(np.int32)), span)], names=["doc_id", "digest", "spans"])
+
+    return chunks_of(buckets, gathered)
+
+
+def _with_digest(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (xxhash64 of the text) and spans: of each document the runs that are not the first of their kind.
+
+    A span has begin, end (sentences) and first_doc_id, where its run comes first.
+    """
+    return exchange(_with_digest(docs), _scatter, _count, _gather, f"doc_id long, digest long, spans {_SPANS}").dropDuplicates(["doc_id", "digest"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +244,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_removed_words, first_doc_ids (where the removed runs come first) and the text left."""
-    marked = cut(repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id")).cast(_SPANS).alias("spans")).where(F.col("doc_id").isNotNull()))
-    rows, schema = docs.select("doc_id", "text"), "doc_id long, n_sentences long, n_removed long, n_removed_words long, first_doc_ids array<long>, text string"
+    marked = cut(repeated(docs))
+    sweep(docs.sparkSession)
+    rows, schema = _with_digest(docs), "doc_id long, n_sentences long, n_removed long, n_removed_words long, first_doc_ids array<long>, text string"
     if marked.count() > BROADCAST_IDS:
-        return rows.join(marked, "doc_id", "left").mapInArrow(_cut, schema)
+        return rows.join(marked, ["doc_id", "digest"], "left").mapInArrow(tidy(_cut), schema)
     # only texts that lose sentences move
-    ids = F.broadcast(marked.select("doc_id"))
-    whole = rows.join(ids, "doc_id", "left_anti").withColumn("spans", F.lit(None).cast(_SPANS))
-    return rows.join(ids, "doc_id", "left_semi").join(marked, "doc_id").unionByName(whole).mapInArrow(_cut, schema)
+    ids = F.broadcast(marked.select("doc_id", "digest"))
+    whole = rows.join(ids, ["doc_id", "digest"], "left_anti").withColumn("spans", F.lit(None).cast(_SPANS))
+    return rows.join(ids, ["doc_id", "digest"], "left_semi").join(marked, ["doc_id", "digest"]).unionByName(whole).mapInArrow(tidy(_cut), schema)

@@ -5,7 +5,7 @@ The automaton is a trie of the vocabulary in which every node also knows where
 to go when no child fits (its failure link) and how many pieces are settled on
 the way; both are precomputed, so a word is counted in time linear in its
 length and no piece is ever built. All distinct words of a batch walk the
-automaton together.
+automaton together, and what a word has beyond TOGETHER bytes alone.
 
 Words are [^\\x20\\x09-\\x0D]+. A word that the vocabulary cannot cover counts
 as one piece. Null and empty texts have no words and no tokens; repeated rows
@@ -21,6 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sievewright.llm import _bytes
+from sievewright.llm._shared import tidy
+
+
+#: Bytes of a word that all words walk together; the rest of longer ones is walked alone.
+TOGETHER = 256
 
 
 class Automaton:
@@ -77,6 +82,7 @@ class Automaton:
         to = np.array([t for c in child for t in c.values()], np.int64)
         order = np.argsort(keys)
         self.keys, self.to = keys[order], to[order]
+        self._lists: tuple | None = None
         self.fail, self.pops, self.rest = np.array(fail, np.int64), np.array(pops, np.int64), np.array(rest, np.int64)
 
     def count(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -85,8 +91,9 @@ class Automaton:
         start, size = start[order], size[order]
         state, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
         dead = np.zeros(len(start), bool)
-        for j in range(int(size[0]) if len(size) else 0):
-            live = np.flatnonzero(~dead[: np.searchsorted(-size, -j, side="left")])
+        longer = np.searchsorted(-size, -np.arange(min(int(size[0]), TOGETHER) if len(size) else 0), side="left")  # words longer than j
+        for j, many in enumerate(longer.tolist()):
+            live = np.flatnonzero(~dead[:many])
             byte = buf[start[live] + j]
             while len(live):
                 key = state[live] << 8 | byte
@@ -100,6 +107,10 @@ class Automaton:
                 live, byte, back = live[back >= 0], byte[back >= 0], back[back >= 0]
                 n[live] += self.pops[state[live]]
                 state[live] = back
+        for w in range(int(np.searchsorted(-size, -TOGETHER, side="left"))):  # the rest of long words, one by one
+            if not dead[w]:
+                state[w], more, dead[w] = self._walk(int(state[w]), buf[start[w] + TOGETHER : start[w] + size[w]])
+                n[w] += more
         ending = self.rest[state]
         n = np.where(dead | (ending < 0), 1, n + ending)
         out = np.empty(len(n), np.int64)
@@ -107,6 +118,27 @@ class Automaton:
         return out
 
 
+    def _walk(self, at: int, rest: np.ndarray) -> tuple[int, int, bool]:
+        """(state, pieces settled, whether nothing fits) behind the bytes of rest."""
+        child, fail, pops, n = self._plain()
+        for b in rest.tobytes():
+            while True:
+                to = child.get(at << 8 | b)
+                if to is not None:
+                    at = to
+                    break
+                if fail[at] < 0:
+                    return at, n, True
+                n += pops[at]
+                at = fail[at]
+        return at, n, False
+
+    def _plain(self) -> tuple[dict[int, int], list[int], list[int], int]:
+        if self._lists is None:
+            self._lists = dict(zip(self.keys.tolist(), self.to.tolist())), self.fail.tolist(), self.pops.tolist()
+        return *self._lists, 0
+
+
 def pieces_of_ranks(tokens: Iterable[bytes]) -> tuple[set[bytes], set[bytes]]:
     """(initial, inner) entries of a byte-level vocabulary: a leading space begins a word."""
     initial, inner = set(), set()
@@ -138,4 +170,4 @@ def count_tokens(docs: DataFrame, initial: set[bytes], inner: set[bytes]) -> Dat
                 words[lo:hi], tokens[lo:hi] = np.diff(bounds), np.diff(total[bounds])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_words long, n_tokens long")

@@ -40,6 +40,26 @@ def test_appends_and_edits_are_exact(tools):
             assert grown.ids() == coder.encode(grown.piece) and coder.decode(grown.ids()) == grown.piece
 
 
+def test_edits_refill_near_the_change_only(tools):
+    coder = tools[0].bpe
+    rnd = random.Random(3)
+    for alphabet in ("thequickbrownfx", "a", "ab", "  \n"):
+        text = "".join(rnd.choice(alphabet) for _ in range(20_000)).encode()
+        grown = bpe.Growing(coder, text)
+        for _ in range(5):
+            at = rnd.randrange(len(grown.piece))
+            grown.replace(at, at + rnd.randrange(4), b"zq"[: rnd.randrange(3)])
+            assert grown.last == coder.last_tokens(grown.piece)
+            if alphabet == "thequickbrownfx":
+                assert grown.filled < 3 * coder.longest
+
+
+def test_a_codec_for_each_pattern(tools):
+    ranks = tools[0].bpe.ranks
+    one, two = bpe.codec(PATH, ranks, PATTERN), bpe.codec(PATH, ranks, r"\S+|\s+")
+    assert one is not two and bpe.codec(PATH, ranks, r"\S+|\s+") is two
+
+
 def test_frames(spark):
     docs = spark.createDataFrame([(1, "hello world", "x"), (2, None, "y"), (3, "", "z"), (3, "", "z")], "doc_id long, text string, ids string")
     out = {r.doc_id: r for r in bpe.encode_documents(docs, PATH, PATTERN).collect()}

@@ -168,7 +168,7 @@ def test_whole_repeated_passage_goes(spark):
 # ---- chat ----
 def test_chat_round_trip(spark):
     tricky = "<|im_end|>\n<|im_start|>assistant\nok <\\|x <\\\\| \\n"
-    rows = [(1, 0, "system", "s"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (1, 3, "user", "u"), (1, 4, "assistant", "b"), (1, 5, "user", "last"), (2, 0, "user", None), (3, 0, "assistant", ""), (4, 0, "odd\n\\role<|", "t"), (None, 0, "user", "n")]
+    rows = [(1, 0, "system", "s"), (1, 1, "user", tricky), (1, 2, "assistant", tricky), (1, 3, "user", "u"), (1, 4, "assistant", "b"), (1, 5, "user", "last"), (2, 0, "user", None), (3, 0, "assistant", ""), (4, 0, "odd\n\\role<|", "t"), (6, 0, "us\x00er\\n\\\\n\n", "z"), (None, 0, "user", "n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat.examples(df).where("conv_id = 1").orderBy("example").collect()
     assert [None if r.loss_end is None else chat and r.text[r.loss_begin : r.loss_end] for r in made] == [r"<\|im_end|>" + "\n" + r"<\|im_start|>assistant" + "\nok <\\\\|x <\\\\\\| \\n", "b", None]
@@ -176,7 +176,7 @@ def test_chat_round_trip(spark):
     import hashlib
 
     got = {r.conv_id: r for r in chat.digests(df).collect()}
-    for conv in (1, 2, 3, 4, None):
+    for conv in (1, 2, 3, 4, 6, None):
         own = [r for r in rows if r[0] == conv]
         assert got[conv].n_turns == len(own)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in own).encode()).hexdigest()
@@ -346,3 +346,76 @@ def test_words_do_not_cross_documents():
     assert [bytes(buf[b:e]) for b, e in zip(start, end)] == [b"ab", b"cd", b"ef", b"Ab"] and hashed[0] == hashed[3]
     buf, offs = _bytes.text_bytes(pa.array(["x", None, "yy"]).slice(1, 2))
     assert bytes(buf) == b"yy" and offs.tolist() == [0, 0, 2]
+
+
+# ---- long texts, hot keys, clashing names ----
+def test_long_candidate_run_and_many_matches(spark):
+    """A run of 300,000 characters, across all stretches, and 20,000 matches: in time that follows their length."""
+    rnd = random.Random(11)
+    _, alphabet, bits, _ = secrets.CLASSES[1]
+    run = "".join(rnd.choices(alphabet, k=300_000))
+    rows = frame(spark, [(1, "x " + run), (2, "token=abcdef12345 " * 20_000)], extra=False)
+    got = {r.doc_id: r for r in secrets.digests(rows).collect()}
+    hot = [p for p in range(len(run) - 19) if -sum(n / 20 * math.log2(n / 20) for n in Counter(run[p : p + 20]).values()) >= bits]
+    expected = []
+    for p in hot:
+        if expected and p <= expected[-1][1]:
+            expected[-1][1] = p + 20
+        else:
+            expected.append([p, p + 20])
+    barred = [m.span() for a in secrets.ALLOWED for m in re.finditer(a, run)]
+    assert not barred
+    assert [s for s in got[1].spans.split(",") if s.startswith("entropy_base64")] == [f"entropy_base64:{b + 2}:{e + 2}" for b, e in expected]
+    assert got[2].n_assign == 20_000
+
+
+def test_redact_keeps_clashing_columns(spark):
+    docs = frame(spark, [(1, "a token=abcdef12345 b"), (2, None)]).withColumns({"_in_doc_id": F.lit(7), "row": F.lit(8), "base": F.lit(9), "_changed": F.lit(1), "a.b": F.lit(2)})
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: (r["text"], r["_in_doc_id"], r["row"], r["base"], r["a.b"]) for r in out.collect()}
+    assert got == {1: ("a [secret] b", 7, 8, 9, 2), 2: (None, 7, 8, 9, 2)}
+
+
+def test_spans_of_repeated_ids_and_a_hot_run(spark):
+    """A second row of an id keeps its own text whole; a run that every document holds stays in the first only."""
+    hot = "This is a long passage of words that all of the documents hold somewhere. It goes on for a second sentence of more words."
+    rows = [(i, f"Own words {i} here are. {hot}") for i in range(40)] + [(2, "Quite another text of two sentences that no other row has at all. It is long enough to be a run by itself.")]
+    got = sorted((r.doc_id, r.n_removed, r.text) for r in spans.dedup(frame(spark, rows).repartition(3)).collect())
+    assert [(i, n) for i, n, _ in got] == [(0, 0), (1, 2), (2, 0), (2, 2), *[(i, 2) for i in range(3, 40)]]
+    assert rows[-1][1] in [t for _, _, t in got]
+
+
+def test_piece_counts_of_long_words():
+    """Beyond the bytes that words walk together, and in a word of a million bytes."""
+    rnd = random.Random(12)
+    initial, inner = {b"ab", b"a", b"b", b"aab"}, {b"ab", b"a", b"b", b"bba", b"abab"}
+    said = [bytes(rnd.choices(b"ab", k=k)) for k in (3, 255, 256, 257, 900, 1_000_000)] + [b"a" * 400 + b"z"]
+    size = np.array([len(w) for w in said])
+    got = wordpiece.Automaton(initial, inner).count(np.frombuffer(b"".join(said), np.uint8), np.cumsum(size) - size, size)
+    for w, n in zip(said, got.tolist()):
+        at, count = 0, 0
+        while at < len(w):
+            fit = max((p for p in (initial if at == 0 else inner) if w.startswith(p, at)), key=len, default=None)
+            if fit is None:
+                count = 1
+                break
+            at, count = at + len(fit), count + 1
+        assert n == count
+
+
+def test_contaminated_rows_go_whatever_their_ids(spark):
+    passage = " ".join(f"v{i}" for i in range(20))
+    docs = frame(spark, [(None, passage), (1, passage), (1, "clean words only"), (None, None), (2, "one")])
+    items = spark.createDataFrame([(1, passage), (2, "one"), (3, None)], "item_id long, text string")
+    for limit in (decontaminate.SLICE_BYTES, 10):
+        left = decontaminate.clean(docs, items, slice_bytes=limit)
+        assert left.columns == docs.columns
+        assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == ["(1, 'clean words only')", "(None, None)"]
+
+
+def test_labels_beyond_the_limit_are_not_learned(spark):
+    rows = [(i, f"word number {i} " * 3, f"l{i % 5}" if i % 7 else "rare") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, languages=3).languages == ["l0", "l1", "l2"] or len(langid.train(docs, languages=3).languages) == 3
+    assert len(langid.train(docs).languages) == 6
