@@ -3,6 +3,13 @@
 Every stage takes what its predecessor kept and returns the columns of
 documents, but for the last, which returns token ids. Stages are written as
 Parquet to the shared checkpoint folder and read again.
+
+Null and empty texts go in the first stage. Rows with a null doc_id link with
+nothing and are judged by their texts in all other stages. Repeated rows fare
+alike, but that of a group of equal or near texts all rows of the smallest
+doc_id stay. Ties between languages go to the first by name. An empty table
+passes empty through every stage. Extra columns, whatever their names, are
+kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -27,13 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words a twentieth lie in windows of the benchmark go."""
-    return without(docs, decontaminate.judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets give way to a mark; n_chars follows where the text changed."""
-    clean = secrets.redact(docs, changed="_changed")
-    return clean.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    changed = "_changed"
+    while changed in docs.columns:
+        changed = "_" + changed
+    clean = secrets.redact(docs, changed=changed)
+    return clean.withColumn("n_chars", F.when(F.col(changed), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
