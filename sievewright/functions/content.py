@@ -95,25 +95,28 @@ class _Reader(HTMLParser):
 
 
 def html_text(html: str | None) -> str | None:
-    """The visible text of a page."""
+    """The visible text of a page; None where its markup can't be parsed."""
     import re
 
     if html is None:
         return None
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
+    try:
+        reader.feed(html)
+        reader.close()
+    except (AssertionError, ValueError):  # what the parser raises on broken declarations
+        return None
     return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(reader.out))).strip()
 
 
 def extract_html(html: Column) -> Column:
-    """html_text over Arrow batches."""
+    """html_text over Arrow batches; pages that can't be parsed lose their tags by pattern."""
 
     @F.pandas_udf("string")
     def of(pages: pd.Series) -> pd.Series:
         return pages.map(html_text, na_action="ignore")
 
-    return of(html)
+    return F.coalesce(of(html), strip_tags(html))
 
 
 def process(text: Column, url: Column) -> Column:

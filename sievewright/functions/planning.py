@@ -14,12 +14,20 @@ MODES = [
 # Weights of the five scores, and tiers by the kind of a finding.
 WEIGHTS = {"impact": 0.3, "novelty": 0.25, "credibility": 0.2, "timeliness": 0.15, "relevance": 0.1}
 DECAY, LEAST_GAIN = 0.7, 0.2
+DEFAULT_MODE = "standard"
 
 
 def modes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODES, "mode string, max_depth int, base_breadth int, phases array<string>, min_sources int, target_words string")
 
 
+def with_mode(rows: DataFrame, mode: str, default: str = DEFAULT_MODE) -> DataFrame:
+    """rows with the settings of the mode that a column names; unknown and null names get the default's."""
+    known = modes(rows.sparkSession)
+    named = F.when(F.col(mode).isin([m[0] for m in MODES]), F.col(mode)).otherwise(default)
+    return rows.withColumn(mode, named).join(F.broadcast(known.withColumnRenamed("mode", mode)), mode)
+
+
 def breadth(base: Column, depth: Column) -> Column:
     """max(2, int(base * 0.7 ** depth))."""
     return F.greatest(F.lit(2), F.floor(base * F.pow(F.lit(DECAY), depth)).cast("int"))

@@ -101,6 +101,23 @@ def period_change(before: DataFrame, now: DataFrame, topic: str) -> DataFrame:
     return both.withColumn("change", change)
 
 
+def heat(before: DataFrame, now: DataFrame, topic: str) -> DataFrame:
+    """topic, n_before, n_now, heat: rising or falling by a quarter or more, else high (at least the mean now) or stable."""
+    both = period_change(before, now, topic).drop("change")
+    mean = both.agg(F.avg("n_now").alias("_mean"))  # one row
+    level = F.when(4 * F.col("n_now") >= 5 * F.col("n_before"), "rising").when(4 * F.col("n_now") <= 3 * F.col("n_before"), "falling").when(F.col("n_now") >= F.col("_mean"), "high").otherwise("stable")
+    return both.crossJoin(F.broadcast(mean)).withColumn("heat", level).drop("_mean")
+
+
+def accounts_by_level(levels: list[DataFrame], account: str = "account") -> DataFrame:
+    """account and level (from 1) of the accounts of several lists, each by the first list that has it."""
+    every = None
+    for k, rows in enumerate(levels, start=1):
+        own = rows.select(account, F.lit(k).alias("level"))
+        every = own if every is None else every.unionByName(own)
+    return every.where(F.col(account).isNotNull()).groupBy(account).agg(F.min("level").alias("level"))
+
+
 def shares(rows: DataFrame, category: str) -> DataFrame:
     """category, n, share of all rows."""
     counts = rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"))

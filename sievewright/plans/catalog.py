@@ -13,7 +13,7 @@ from sievewright.functions.reputation import DOMAINS, ENDINGS, credibility
 from sievewright.operators import analyze, feed, pairs, quality, report, secret_rules, vectors
 from sievewright.operators.graph import components
 from sievewright.operators.lineage import checkpoint_dir, cut
-from sievewright.sources import state, tables
+from sievewright.sources import memory, state, tables
 from sievewright.sources.tables import table
 from sievewright.streaming import ingest
 
@@ -242,13 +242,6 @@ def tfidf_pairs(spark, d):
     return pairs.tfidf_pairs(tables.bare_facts(spark, d), 0.5).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query(f"WITH f AS (SELECT doc_id AS seq, text FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 2), {_weights_sql('f')}, {_cosine_sql('weights', 'weight', 0.0)} SELECT a, b, round(sim, 6) AS sim FROM pairs")
-def tfidf_pair_single(spark, d):
-    """The cosine of one pair under its own statistics: the first two French documents."""
-    two = table(spark, d, "documents").where("lang = 'fr'").orderBy("doc_id").limit(2).select(F.col("doc_id").alias("seq"), "text")
-    return pairs.tfidf_pairs(two, 0.0).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
 @query(f"""WITH f AS (SELECT doc_id AS seq, text FROM documents), {_terms_sql('f')}, two AS (SELECT a, b FROM (SELECT seq AS a, lead(seq) OVER (ORDER BY seq) AS b FROM f) WHERE b IS NOT NULL),
 own AS (SELECT a, b, seq, term, n / total AS tf, ln(3 / (count(*) OVER (PARTITION BY a, term) + 1)) + 1 AS idf FROM two JOIN counts ON seq = a OR seq = b),
 norms AS (SELECT a, seq, sqrt(sum(tf * idf * tf * idf)) AS norm FROM own GROUP BY a, seq),
@@ -280,17 +273,9 @@ def query_dedup(spark, d):
     return analyze.query_dedup(tables.queries_log(spark, d)).select("seq", "is_duplicate", "duplicate_of")
 
 
-@query(f"WITH {_QUERIES}, {_terms_sql('queries')}, {_cosine_sql('counts', 'n', 0.75)} SELECT b AS seq, min(a) AS match FROM pairs WHERE b % 2 = 1 AND a % 2 = 0 GROUP BY b")
-def query_first_match(spark, d):
-    """Queries of odd seq against those of even seq that came before: the earliest alike."""
-    rows = tables.queries_log(spark, d)
-    found = pairs.bow_pairs(rows, analyze.QUERY).where("b % 2 = 1 AND a % 2 = 0")
-    return found.groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("match"))
-
-
 @query(f"WITH {_QUERIES}, {_terms_sql('queries')}, {_cosine_sql('counts', 'n', 0.75)} SELECT b AS seq, min(a) AS match FROM pairs GROUP BY b")
 def query_earliest_match(spark, d):
-    """Every user query against all before it: the earliest alike. query_first_match is its odd on even part."""
+    """Every user query against all before it: the earliest alike."""
     return pairs.earliest_match(tables.queries_log(spark, d), analyze.QUERY)
 
 
@@ -486,6 +471,32 @@ def latest_status(spark, d):
     return state.latest(table(spark, d, "events"), "user_id", ["event_id"]).select("user_id", F.col("event_type").alias("status"))
 
 
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS depth, count(*) FILTER (role = 'system') AS unused, count(*) FILTER (role = 'assistant') AS n, count(*) AS before FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN depth >= 5 THEN 'max_depth_reached' WHEN depth > 0 AND unused = 0 THEN 'no_followups' WHEN depth > 0 AND before > 0 AND n / before < 0.2 THEN 'diminishing_returns' ELSE 'continue' END AS decision FROM c""")
+def stop_rule(spark, d):
+    """The stop rule on the counts of each conversation: every branch of it."""
+    of = lambda role: F.count_if(F.col("role") == role)
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(of("user").alias("depth"), of("system").alias("unused"), of("assistant").alias("n"), F.count(F.lit(1)).alias("before"))
+    return c.select("conv_id", planning.decision(F.col("depth"), F.lit(5), F.col("unused"), F.col("n"), F.col("before")).alias("decision"))
+
+
+@query("""WITH m AS (SELECT doc_id, CASE quality WHEN 0 THEN 'quick' WHEN 1 THEN 'deep' END AS mode FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, coalesce(mode, 'standard') AS mode, CASE mode WHEN 'quick' THEN 1 WHEN 'deep' THEN 5 ELSE 3 END AS max_depth, CASE mode WHEN 'quick' THEN 3 WHEN 'deep' THEN 5 ELSE 4 END AS base_breadth, CASE mode WHEN 'quick' THEN 5 WHEN 'deep' THEN 15 ELSE 10 END AS min_sources FROM m""")
+def mode_lookup(spark, d):
+    """Settings by a name that may be missing: of each document by its quality label."""
+    named = F.when(F.col("quality") == 0, "quick").when(F.col("quality") == 1, "deep")
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", named.alias("mode"))
+    return planning.with_mode(rows, "mode").select("doc_id", "mode", "max_depth", "base_breadth", "min_sources")
+
+
+@query("""SELECT text AS link, min(turn) AS round, arg_min(conv_id, (turn, conv_id)) AS found_by FROM conversations WHERE text IS NOT NULL GROUP BY text""")
+def rounds_merged(spark, d):
+    """The turns of all conversations as search rounds: each text from the first round that has it."""
+    c = table(spark, d, "conversations").where("text IS NOT NULL").groupBy(F.col("turn").alias("round"), F.col("text").alias("link")).agg(F.min("conv_id").alias("found_by"))
+    even, odd = c.where("round % 2 = 0"), c.where("round % 2 = 1")
+    return memory.merge_rounds([even, odd], "link").select("link", "round", "found_by")
+
+
 # ---- feed ----
 _SEARCH = '(from:7 OR from:11 OR from:13) since:2024-01-05 until:2024-01-20 -"99" k'
 
@@ -545,6 +556,20 @@ def period_diff(spark, d):
     return feed.period_change(e.where("ts < '2024-01-16'"), e.where("ts >= '2024-01-16'"), "user_id")
 
 
+@query("""WITH x AS (SELECT user_id, count(*) AS n FROM events WHERE ts < '2024-01-16' GROUP BY 1), y AS (SELECT user_id, count(*) AS n FROM events WHERE ts >= '2024-01-16' GROUP BY 1),
+b AS (SELECT user_id, coalesce(x.n, 0) AS n_before, coalesce(y.n, 0) AS n_now FROM x FULL JOIN y USING (user_id))
+SELECT user_id, n_before, n_now, CASE WHEN 4 * n_now >= 5 * n_before THEN 'rising' WHEN 4 * n_now <= 3 * n_before THEN 'falling' WHEN n_now >= (SELECT avg(n_now) FROM b) THEN 'high' ELSE 'stable' END AS heat FROM b""")
+def topic_heat(spark, d):
+    e = table(spark, d, "events")
+    return feed.heat(e.where("ts < '2024-01-16'"), e.where("ts >= '2024-01-16'"), "user_id")
+
+
+@query("""SELECT user_id AS account, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END) AS level FROM events GROUP BY user_id""")
+def account_levels(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("account"), "event_type")
+    return feed.accounts_by_level([e.where("event_type = 'purchase'"), e.where("event_type = 'signup'"), e])
+
+
 @query("SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type")
 def coverage_share(spark, d):
     return feed.shares(table(spark, d, "events"), "event_type").withColumn("share", F.round("share", 6))

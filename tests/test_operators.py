@@ -173,3 +173,43 @@ def test_search(spark):
     find = lambda q: [r.post_id for r in posts.where(feed.search(q)).orderBy("post_id").collect()]
     assert find("deep") == [1, 2] and find('"deep learning"') == [1] and find("deep -fried") == [1]
     assert find("(from:ann OR from:cat) filter:links") == [1, 3] and find("#ai OR $aapl") == [1, 3] and find("min_faves:50 -filter:links") == [2]
+
+
+def test_broken_markup_falls_back(spark):
+    from sievewright.functions import content
+
+    pages = spark.createDataFrame([(1, "<p>a<![foo[b]]>c</p>"), (2, "<p>fine</p>"), (3, None)], "id int, html string")
+    got = {r.id: r.t for r in pages.select("id", content.extract_html(F.col("html")).alias("t")).collect()}
+    assert got[1].startswith("a") and got[1].endswith("c") and got[2] == "fine" and got[3] is None
+
+
+def test_memory_rounds_and_state_files(spark, tmp_path):
+    from sievewright.sources import memory, state
+
+    path = str(tmp_path / "memory")
+    memory.write_memory(spark.createDataFrame([("a", 1), ("b", 2)], "chat_id string, x int"), path)
+    memory.write_memory(spark.createDataFrame([("a", 3)], "chat_id string, x int"), path)
+    assert sorted(r.x for r in memory.read_memory(spark, path, "a").collect()) == [1, 3]
+    found = memory.until_settled(spark.createDataFrame([(1,)], "k int"), lambda f, r: f.select((F.col("k") * 2).alias("k")).where("k < 20"), "k")
+    assert sorted((r["round"], r.k) for r in found.collect()) == [(0, 1), (1, 2), (2, 4), (3, 8), (4, 16)]
+    one, two = state.new_run(spark, {"query": "q"}).first(), state.new_run(spark, {}).first()
+    assert one.run_id != two.run_id and one.config == {"query": "q"}
+    asked = state.followup_events(spark.createDataFrame([(1, "why", 2)], "seq long, question string, depth int"), one.run_id)
+    assert state.of_run(asked, one.run_id).count() == 1 and state.of_run(asked, two.run_id).count() == 0
+    assert state.read_list(spark, str(tmp_path / "none.json"), "id string").count() == 0
+    (tmp_path / "s.json").write_text('[{"id": "x"}, {"id": "y"}]')
+    assert sorted(r.id for r in state.read_list(spark, str(tmp_path / "s.json"), "id string").collect()) == ["x", "y"]
+    assert state.read_config(spark, str(tmp_path / "s.json"), "id string").count() == 2
+
+
+def test_report_files_and_outline(spark, tmp_path):
+    from sievewright.operators import report
+
+    facts = spark.createDataFrame([(1, "one"), (2, "two")], "seq long, text string")
+    groups = spark.createDataFrame([(1, 1, "label"), (2, 1, "label")], "seq long, group int, label string")
+    words = spark.createDataFrame([(1, ["a", "b"])], "group int, keywords array<string>")
+    lines = report.of_kind("outline", lambda: None, lambda: None, lambda: report.outline_lines(facts, groups, words, "q"))
+    n = report.write_report(lines, str(tmp_path / "r"))
+    text = report.read_report(spark, str(tmp_path / "r"))
+    assert text.split("\n") == ["# 研究大纲：q", "## 1. label", "   关键词: a, b", "   发现数: 2", "   - one...", "   - two..."] and n == len(text)
+    assert report.of_kind(None, lambda: 1, lambda: 2, lambda: 3) == report.of_kind("other", lambda: 1, lambda: 2, lambda: 3) == 1
