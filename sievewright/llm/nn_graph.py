@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.llm._shared import cut, salted_join, sweep, tidy
-from sievewright.llm.sharding import with_slots
+from sievewright.operators.numbering import with_slots
 
 DEGREE = 24
 ROUNDS = 10

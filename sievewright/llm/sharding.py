@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._shared import cut
+from sievewright.operators.numbering import with_slots
 
 _STEP = np.uint64(2862933555777941757)  # the published generator's multiplier
 
@@ -46,22 +46,6 @@ def shard_of(key: Column, shards: int) -> Column:
     return of(F.coalesce(key, F.lit(0)).cast("long"))
 
 
-def with_slots(df: DataFrame, shard: str, order: list[str], slot: str = "slot") -> DataFrame:
-    """Number the rows of each shard from 0 in the given order.
-
-    Rows are dealt into ranges of the order, counted by shard and range, and
-    numbered within both; only the small table of counts is summed up by shard,
-    so no task holds a whole shard.
-    """
-    tie, part = "_tie", "_range"
-    ranged = cut(df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*order, tie).withColumn(part, F.spark_partition_id()))
-    counts = ranged.groupBy(shard, part).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(shard, part).orderBy(*order, tie)) - 1
-    return ranged.withColumn(slot, within.cast("long")).join(offsets, [shard, part]).withColumn(slot, F.col(slot) + F.col("_before")).drop(part, "_before", tie)
-
-
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
