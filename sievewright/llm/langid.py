@@ -11,10 +11,12 @@ its share of 2**-length over all languages.
 
 Training reads at most about ROWS_A_LANGUAGE labelled documents of each
 language, chosen by a hash of doc_id, and keeps at most NODES contexts of two
-and of three bytes a language, the most frequent ones (that is more than plain
-text in one script has). The languages are the LANGUAGES labels with most
-training rows, ties by name; rarer labels are not learned, so a dirty label
-column costs no memory and never stops a run. All three are parameters.
+bytes and as many of three, an equal part for each language, the most frequent
+ones. The languages are the LANGUAGES labels with most training rows, ties by
+name; rarer labels are not learned, so a dirty label column costs no memory and
+never stops a run. All three are parameters. They bound a worker's tables,
+whatever the languages: 2 * NODES rows of costs and NODES rows of contexts, of
+257 numbers of 4 bytes at most, and under 1 MB of byte pairs for each language.
 
 Null text, empty text and text without a letter: `und`, score 0. No training
 rows at all: every text is `und`. Ties go to the first language by name.
@@ -36,7 +38,7 @@ from sievewright.llm import _bytes
 from sievewright.llm._shared import KEPT, tidy
 
 ROWS_A_LANGUAGE = 1500
-NODES = 1 << 16
+NODES = 1 << 17
 LANGUAGES = 200
 _ORDER = 3
 
@@ -101,31 +103,46 @@ class _Tree:
         first = np.cumsum([0, *map(len, nodes)])
         cost = np.empty((max(first[-1], 1), a), np.float32)
         cost[:1] = 8.0
-        node_at = np.zeros(1, np.int32)  # context key of this order -> its longest known suffix
-        for order, (key, last, n) in enumerate(levels):
-            shorter = node_at[np.arange(a**order) % a ** max(order - 1, 0)]
-            node_at = shorter.copy()
-            node_at[nodes[order]] = first[order] + np.arange(len(nodes[order]))
-            below = cost[shorter[nodes[order]]].astype(np.float64) if order else np.full((len(nodes[0]), a), 8.0)
+
+        def fill(order: int, shorter: np.ndarray) -> np.ndarray:
+            """Costs of the contexts of a length, whose longest known suffixes are `shorter`; gives their numbers."""
+            key, last, n = levels[order]
+            below = cost[shorter].astype(np.float64)
             at = np.searchsorted(nodes[order], key)
             total, kinds = np.bincount(at, n, len(nodes[order])), np.bincount(at, minlength=len(nodes[order]))
             own = below - np.log2(kinds / (total + kinds))[:, None]
             own[at, last] = -np.log2(n / (total + kinds)[at])
             cost[first[order] : first[order + 1]] = own
-        self.node_at, self.cost = node_at, cost.ravel()
+            return first[order] + np.arange(len(nodes[order]), dtype=np.int32)
+
+        fill(0, np.zeros(len(nodes[0]), np.int64))
+        one = np.zeros(a, np.int32)
+        one[nodes[1]] = fill(1, one[nodes[1]])
+        two = np.tile(one, a)  # by the last two symbols
+        two[nodes[2]] = fill(2, two[nodes[2]])
+        three = fill(3, two[nodes[3] % a**2])
+        # a pair that ends a known context of three has a row of what may stand before it, any other has one entry
+        pairs = np.unique(nodes[3] % a**2)
+        rows = np.repeat(two[pairs][:, None], a, axis=1)
+        rows[np.searchsorted(pairs, nodes[3] % a**2), nodes[3] // a**2] = three
+        self.node = np.concatenate([two, rows.ravel()])
+        self.base, self.step = np.arange(a**2, dtype=np.int32), np.zeros(a**2, np.int8)
+        self.base[pairs], self.step[pairs] = a**2 + a * np.arange(len(pairs)), 1
+        self.cost = cost.ravel()
 
     def bits(self, part: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each document that isn't empty; `starts` are the documents' offsets in part."""
         s = self.symbol[part].astype(np.int64)
-        context = np.zeros(len(s), np.int64)
-        for back in range(_ORDER, 0, -1):
-            before = np.zeros(len(s), np.int64)
-            before[back:] = s[:-back]
+        before = []
+        for back in range(1, _ORDER + 1):
+            own = np.zeros(len(s), np.int64)
+            own[back:] = s[:-back]
             for j in range(back):  # what stands before the document's start is unknown
                 at = starts[:-1] + j
-                before[at[at < len(s)]] = 0
-            context = context * self.symbols + before
-        rows = self.node_at[context].astype(np.int64) * self.symbols + s
+                own[at[at < len(s)]] = 0
+            before.append(own)
+        pair = before[1] * self.symbols + before[0]
+        rows = self.node[self.base[pair] + before[2] * self.step[pair]].astype(np.int64) * self.symbols + s
         return np.add.reduceat(self.cost[rows], starts[:-1][np.diff(starts) > 0], dtype=np.float64)
 
 
@@ -160,6 +177,7 @@ def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES, lang
     sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model({})
+    nodes = max(nodes // len(sizes), 1)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
     chosen = known.where(F.col("lang").isin([r["lang"] for r in sizes])).where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     counted = chosen.select("lang", "text").mapInArrow(tidy(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
@@ -172,9 +190,9 @@ def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES, lang
         table = counted.where(~long).unionByName(kept.select("lang", "gram", "n")).toArrow()
     finally:
         counted.unpersist()
-    lang = np.array(table["lang"].to_pylist(), object)
-    gram, n = table["gram"].to_numpy(), table["n"].to_numpy()
-    return Model({x: (gram[lang == x], n[lang == x]) for x in sorted(set(lang))})
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    code, gram, n = lang.indices.to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy()
+    return Model({x: (gram[code == k], n[code == k]) for k, x in enumerate(lang.dictionary.to_pylist())})
 
 
 _MODELS: dict[str, Model] = {}

@@ -419,3 +419,4 @@ def test_labels_beyond_the_limit_are_not_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.train(docs, languages=3).languages == ["l0", "l1", "l2"] or len(langid.train(docs, languages=3).languages) == 3
     assert len(langid.train(docs).languages) == 6
+    assert sum(len(set(g[g >= 1 << 25] >> 8)) for g, _ in langid.train(docs, nodes=12).counts) <= 12
