@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.operators.lineage import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Up to so many open edges are settled by one task, in order.
+FEW_EDGES = 200_000
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node that edges (a, b) reach.
 
     Each round links the larger neighbours of a node to the smallest one, then
@@ -17,7 +24,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     not in the result.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct())
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("m", "v"))
         large = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
@@ -29,22 +36,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = following
         if same:
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
-    raise RuntimeError("components did not settle")
 
 
-def leaders(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges sorted by (b, a): the nodes b that some a which is no duplicate itself makes one, and the first such a."""
+    gone: set[int] = set()
+    for batch in batches:
+        out: dict[int, int] = {}
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            if b not in gone and a not in gone:
+                gone.add(b)
+                out[b] = a
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.int64())], names=["node", "duplicate_of"])
+
+
+def leaders(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """(node, duplicate_of) of the duplicates that a pass in order finds.
 
-    edges: a < b are similar. A node is a duplicate if an earlier node that is
-    none is similar to it; duplicate_of is the first such. Every round settles
-    what it can: nodes without an open or leading earlier neighbour lead, and
-    their later neighbours are duplicates; at least the first open node of each
-    component is settled.
+    edges: a < b (long) are similar. A node is a duplicate if an earlier node
+    that is none is similar to it; duplicate_of is the first such. Every round
+    settles what it can: nodes without an open or leading earlier neighbour
+    lead, and their later neighbours are duplicates; at least the first open
+    node of each component is settled. Once at most `few` edges are open, one
+    task goes through them in order, so long chains need no rounds of their own.
     """
     open_ = cut(edges.select("a", "b").distinct())
     found: list[DataFrame] = []
-    for _ in range(most_rounds):
-        if open_.isEmpty():
+    while left := open_.count():
+        if left <= few:
+            found.append(cut(open_.coalesce(1).sortWithinPartitions("b", "a").mapInArrow(_in_order, "node long, duplicate_of long")))
             break
         # open edges join open nodes only, so a node that is never a later one leads
         lead = open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
@@ -54,8 +74,6 @@ def leaders(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         for side in ("a", "b"):
             rest = rest.join(gone.select(F.col("node").alias(side)), side, "left_anti")
         open_ = cut(rest.select("a", "b"))
-    else:
-        raise RuntimeError("leaders did not settle")
     if not found:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("duplicate_of")).limit(0)
     out = found[0]

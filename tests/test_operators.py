@@ -49,6 +49,19 @@ def test_each_pair_has_its_own_statistics(spark):
     assert all(abs(sim - cosines([said[i], said[j]]).get((0, 1), 0)) < 1e-9 for (i, j), sim in got.items())
 
 
+def test_leaders_of_a_long_chain(spark):
+    chain = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {(r.node, r.duplicate_of) for r in leaders(chain).collect()} == {(i, i - 1) for i in range(1, 5001, 2)}
+
+
+def test_leaders_by_rounds_and_in_order_agree(spark):
+    rnd = random.Random(8)
+    edges = spark.createDataFrame([tuple(sorted(rnd.sample(range(40), 2))) for _ in range(60)], "a long, b long")
+    found = [{(r.node, r.duplicate_of) for r in leaders(edges, few).collect()} for few in (0, 15, 1000)]
+    assert found[0] and found[0] == found[1] == found[2]
+    assert leaders(edges.limit(0)).count() == 0
+
+
 def test_every_query_meets_all_before_it(spark):
     said = texts(3, 50)
     said += said[:9]
