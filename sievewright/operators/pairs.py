@@ -64,19 +64,46 @@ def successors(facts: DataFrame) -> DataFrame:
     return inside.join(heads, "part").select(F.col("seq").alias("a"), F.coalesce("next", "head").alias("b")).where("b IS NOT NULL")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fact's terms in order, once each, and how often it has them."""
+    for batch in batches:
+        terms, bounds = batch.column("terms").values.to_numpy(), batch.column("terms").offsets.to_numpy()
+        fact = np.repeat(np.arange(len(batch)), np.diff(bounds))
+        order = np.lexsort((terms, fact))
+        terms, fact = terms[order], fact[order]
+        fresh = np.ones(len(terms), bool)
+        fresh[1:] = (terms[1:] != terms[:-1]) | (fact[1:] != fact[:-1])
+        begin = np.flatnonzero(fresh)
+        ends = pa.array(np.searchsorted(fact[begin], np.arange(len(batch) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((terms[begin], pa.int64()), (np.diff(np.append(begin, len(terms))), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), *lists], names=["seq", "t", "n"])
+
+
+def _own_cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """TF-IDF cosine of counted facts, each pair being all there is: a term of both weighs 1, of one ln(3 / 2) + 1."""
+    alone = math.log(1.5) + 1
+    for batch in batches:
+        columns = [batch.column(c).fill_null([]) for c in ("ta", "na", "tb", "nb")]
+        out = np.zeros(len(batch))
+        for k in range(len(batch)):
+            ta, na, tb, nb = (c[k].values.to_numpy() for c in columns)
+            _, x, y = np.intersect1d(ta, tb, assume_unique=True, return_indices=True)
+            if len(x):
+                va, vb = na * alone, nb * alone
+                va[x], vb[y] = na[x], nb[y]
+                out[k] = (va[x] @ vb[y]) / math.sqrt((va @ va) * (vb @ vb))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "sim"])
+
+
 def successor_cosines(facts: DataFrame) -> DataFrame:
-    """a, b, sim: the TF-IDF cosine of each fact and the next, each pair under its own statistics; 0 where they share no term."""
-    two = cut(successors(facts))
-    counts = term_counts(facts).select("seq", "term", "n")
-    x = counts.join(two, F.col("seq") == F.col("a")).select("a", "term", F.col("n").alias("x"), F.lit(0).alias("y"))
-    y = counts.join(two, F.col("seq") == F.col("b")).select("a", "term", F.lit(0).alias("x"), F.col("n").alias("y"))
-    terms = x.unionByName(y).groupBy("a", "term").agg(F.sum("x").cast("double").alias("x"), F.sum("y").cast("double").alias("y"))
-    # ln(3 / (df + 1)) + 1; the length of a fact falls out of its cosine
-    idf = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(math.log(1.5) + 1)
-    square = lambda c: F.sum(F.pow(F.col(c) * idf, 2))
-    sims = terms.groupBy("a").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), square("x").alias("xx"), square("y").alias("yy"))
-    sims = sims.where("dot > 0").select("a", (F.col("dot") / F.sqrt(F.col("xx") * F.col("yy"))).alias("sim"))
-    return two.join(sims, "a", "left").select("a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+    """a, b, sim: the TF-IDF cosine of each fact and the next, each pair under its own statistics; 0 where they share no term.
+
+    Facts are moved as counted hashes of their terms, once for each side. seq is unique.
+    """
+    told = facts.select("seq", F.transform(filtered_tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t)).alias("terms"))
+    counted = cut(told.mapInArrow(_counted, "seq long, t array<long>, n array<int>"))
+    both = successors(facts).join(counted.toDF("a", "ta", "na"), "a", "left").join(counted.toDF("b", "tb", "nb"), "b", "left")
+    return both.select("a", "b", "ta", "na", "tb", "nb").mapInArrow(_own_cosines, "a long, b long, sim double")
 
 
 def bow_rows(facts: DataFrame) -> DataFrame:
