@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-A shard is a batch of documents. Its suffix array orders the places at which a
+A shard is SHARD_BYTES of documents, or one longer text. Its suffix array orders the places at which a
 window of the benchmark could begin, by the words that follow; every window of
 every benchmark item (that is, every test suffix of at least the window's
 length) is found in it by binary search, which gives all places of the match,
@@ -33,6 +33,8 @@ from sievewright.llm._shared import tidy
 WINDOW = 13
 #: Text of a benchmark slice that is held in a worker at once.
 SLICE_BYTES = 16 << 20
+#: Text whose places are put into one suffix order; it bounds a worker's memory.
+SHARD_BYTES = 4 << 20
 #: A document is contaminated if at least this share of its words is hit.
 SHARE = 20
 
@@ -157,9 +159,17 @@ def _document(first: int, hits: tuple, windows: Windows) -> tuple:
     return spans, sorted({windows.items[i] for i in set(item.tolist())}), int(length[best]), windows.items[item[begin[best]]], int(at[begin[best]])
 
 
-def _found(text: pa.Array, slices: list[Windows]) -> tuple[np.ndarray, list[tuple]]:
-    """(number of words, (spans, items, longest match, its item, its place)) of each text of a shard."""
+def _found(text: pa.Array, slices: list[Windows], shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, list[tuple]]:
+    """(number of words, (spans, items, longest match, its item, its place)) of each text, a shard at a time."""
     buf, offs = _bytes.text_bytes(text)
+    n, out = np.zeros(len(offs) - 1, np.int64), []
+    for lo, hi in _bytes.chunks(offs, shard_bytes):
+        n[lo:hi], told = _in_shard(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], slices)
+        out += told
+    return n, out
+
+
+def _in_shard(buf: np.ndarray, offs: np.ndarray, slices: list[Windows]) -> tuple[np.ndarray, list[tuple]]:
     got: list[list[tuple]] = [[] for _ in range(len(offs) - 1)]
     n = np.zeros(len(offs) - 1, np.int64)
     for windows in slices:

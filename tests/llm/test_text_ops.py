@@ -420,3 +420,12 @@ def test_labels_beyond_the_limit_are_not_learned(spark):
     assert langid.train(docs, languages=3).languages == ["l0", "l1", "l2"] or len(langid.train(docs, languages=3).languages) == 3
     assert len(langid.train(docs).languages) == 6
     assert sum(len(set(g[g >= 1 << 25] >> 8)) for g, _ in langid.train(docs, nodes=12).counts) <= 12
+
+
+def test_shards_of_a_batch_are_searched_alike():
+    passage = " ".join(f"v{i}" for i in range(30))
+    texts = pa.array(["", passage, "clean words " * 40, None, f"x {passage[:80]} y", "one", passage * 3, ""])
+    slices = [decontaminate.Windows([("1", passage), ("2", "one")]), decontaminate.Windows([("3", "clean words clean")])]
+    whole, parts = (decontaminate._found(texts, slices, size) for size in (1 << 20, 50))
+    assert whole[0].tolist() == parts[0].tolist() and whole[1] == parts[1]
+    assert len(whole[1]) == len(texts) and {i for x in whole[1] for i in x[1]} == {"1", "2", "3"}
