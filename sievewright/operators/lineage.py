@@ -23,12 +23,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and written as a table to the checkpoint folder; it goes when Python ends."""
+    """df, computed once and written as a table to the checkpoint folder; it goes by release(), or when Python ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the tables that cut() gave, once nothing that still runs reads them; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_cut_at", None):
+            _drop(df.sparkSession, path)
 
 
 def sweep(spark: SparkSession) -> None:
