@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.operators.lineage import cut, sweep
+from sievewright.operators.lineage import cut, release, sweep
 
-__all__ = ["BROADCAST_IDS", "cut", "salted_join", "KEPT", "sweep", "tidy", "without"]
+__all__ = ["BROADCAST_IDS", "cut", "release", "salted_join", "KEPT", "sweep", "tidy", "without"]
 
 #: Up to so many ids are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 200_000

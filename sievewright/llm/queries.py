@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import bpe, chat, decontaminate, langid, ngram_join, nn_graph, secrets, sharding, spans, wordpiece
+from sievewright.llm import alignment, bpe, chat, codes, decontaminate, langid, ngram_join, nn_graph, pieces, secrets, sharding, spans, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,6 +199,64 @@ def op2_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_graph.nearest(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every document under the 32k merge-type piece model, with an end id."""
+    import public_tokenizers
+
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code every vector by 16 codebooks of 64 entries, two rounds from the smallest ids."""
+    return codes.digests(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """Each round assigns and sums up afresh."""
+
+    def assigned(k: int) -> str:
+        return f"""near{k} AS (
+  SELECT r, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d
+  FROM (SELECT r, part, entry, sum((x - c) * (x - c)) AS d FROM comp JOIN book{k} USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part
+)"""
+
+    rounds = ",\n".join(
+        f"""{assigned(k)}, book{k + 1} AS (
+  SELECT part, entry, pos, coalesce(m, c) AS c FROM book{k} LEFT JOIN (
+    SELECT part, entry, pos, floor(sum(x) / count(*))::BIGINT AS m FROM near{k} JOIN comp USING (r, part) GROUP BY part, entry, pos) USING (part, entry, pos)
+)"""
+        for k in range(codes.ROUNDS)
+    )
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), comp AS (
+  SELECT r, (i // w)::BIGINT AS part, (i % w)::BIGINT AS pos, x FROM (
+    SELECT r, len(v) // {codes.PARTS} AS w, unnest(range(len(v))) AS i, unnest(list_transform(v, lambda x: floor(x::DOUBLE * 256)::BIGINT)) AS x FROM kept)
+), book0 AS (
+  SELECT part, r - 1 AS entry, pos, x AS c FROM comp WHERE r <= {codes.ENTRIES}
+), {rounds}, {assigned(codes.ROUNDS)}, coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{codes.ROUNDS} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c, ',' ORDER BY part, entry, pos)) FROM book{codes.ROUNDS}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align byte-level and sentence pieces of every document, scored by how often token pairs end together."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over documents."""
