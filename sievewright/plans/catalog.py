@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import content, planning, text, urls
 from sievewright.functions.reputation import DOMAINS, ENDINGS, credibility
-from sievewright.operators import analyze, feed, pairs, quality, report, secret_rules, vectors
+from sievewright.operators import analyze, daily, feed, pairs, quality, recursion, report, secret_rules, vectors
 from sievewright.operators.graph import components
 from sievewright.operators.lineage import checkpoint_dir, cut
 from sievewright.sources import memory, state, tables
 from sievewright.sources.tables import table
+from sievewright.sources.versions import VersionedTable
 from sievewright.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +498,54 @@ def rounds_merged(spark, d):
     return memory.merge_rounds([even, odd], "link").select("link", "round", "found_by")
 
 
+def _depths_sql(max_depth: int = 3, base: int = 4) -> str:
+    """The rounds one behind the other: queries q, what they find f, what the rule says s."""
+    ctes = ["conv AS (SELECT conv_id, turn AS seq, role, CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 2 ELSE 1 END AS rank FROM conversations)", "q0 AS (SELECT conv_id, seq FROM conv WHERE seq = 0)"]
+    told = []
+    for d in range(max_depth + 1):
+        ctes.append(f"f{d} AS (SELECT c.* FROM q{d} q JOIN conv c ON c.conv_id = q.conv_id AND c.seq IN (2 * q.seq + 1, 2 * q.seq + 2))")
+        found = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(d + 1))
+        asked = " UNION ALL ".join(f"SELECT * FROM q{k}" for k in range(d + 1))
+        ctes.append(f"open{d} AS (SELECT * FROM ({found}) WHERE (conv_id, seq) NOT IN ({asked}))")
+        n = lambda t, more="": f"(SELECT count(*) FROM {t} x WHERE x.conv_id = r.conv_id{more})"
+        facts, before = n(f"f{d}", " AND x.role = 'assistant'"), n(f"f{d - 1}", " AND x.role = 'assistant'") if d else "0"
+        rule = f"CASE WHEN {d} >= {max_depth} THEN 'max_depth_reached' WHEN {d} > 0 AND unused = 0 THEN 'no_followups' WHEN {d} > 0 AND before > 0 AND facts / before < 0.2 THEN 'diminishing_returns' ELSE 'continue' END"
+        ctes.append(f"s{d} AS (SELECT conv_id, {d} AS depth, queries, facts, questions, {rule} AS decision FROM (SELECT conv_id, {n(f'q{d}')} AS queries, {facts} AS facts, {n(f'f{d}')} AS questions, {before} AS before, {n(f'open{d}')} AS unused FROM (SELECT DISTINCT conv_id FROM q{d}) r))")
+        ctes.append(f"q{d + 1} AS (SELECT conv_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY rank, seq) AS i FROM open{d} WHERE conv_id IN (SELECT conv_id FROM s{d} WHERE decision = 'continue')) WHERE i <= {recursion.breadth_at(base, d + 1)})")
+        told.append(f"SELECT * FROM s{d}")
+    return "WITH " + ",\n".join(ctes) + "\n" + " UNION ALL ".join(told)
+
+
+@query(_depths_sql())
+def depth_recursion(spark, d):
+    """Every conversation as a run: asking turn t finds turns 2t + 1 and 2t + 2, of which the assistant's are facts."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").alias("seq"), "role", "text")
+    priority = F.when(F.col("role") == "system", "high").when(F.col("role") == "assistant", "low").otherwise("medium")
+
+    def search(queries: DataFrame, _: int) -> DataFrame:
+        asked = queries.select("run_id", F.explode(F.array(2 * F.col("seq") + 1, 2 * F.col("seq") + 2)).alias("seq"))
+        kinds = F.when(F.col("role") == "assistant", F.array(F.lit("question"), F.lit("fact"))).otherwise(F.array(F.lit("question")))
+        return asked.join(turns, ["run_id", "seq"]).select("run_id", F.explode(kinds).alias("kind"), "seq", "text", priority.alias("priority"))
+
+    log = VersionedTable(spark, f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}", recursion.SCHEMA)
+    told = recursion.by_depth(recursion.research(log, turns.where("seq = 0"), search))
+    return told.select(F.col("run_id").cast("long").alias("conv_id"), "depth", "queries", "facts", "questions", "decision")
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) FILTER (ts < '2024-01-16') AS was, arg_max(event_type, event_id) AS status, count(*) AS events FROM events GROUP BY user_id""")
+def versioned_status(spark, d):
+    """Events appended to a versioned table in four commits by week and compacted: the status of each user then and now."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
+    log = VersionedTable(spark, f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}", ", ".join(f"{c} {kind}" for c, kind in events.dtypes))
+    ends = ["2024-01-08", "2024-01-16", "2024-01-24"]
+    for lo, hi in zip([None, *ends], [*ends, None]):
+        part = events if lo is None else events.where(F.col("ts") >= lo)
+        log.append(part if hi is None else part.where(F.col("ts") < hi))
+    log.compact()
+    last = lambda rows, name: rows.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias(name), F.count(F.lit(1)).alias("events"))
+    return last(log.read(), "status").join(last(log.read(version=2), "was").drop("events"), "user_id", "left")
+
+
 # ---- feed ----
 _SEARCH = '(from:7 OR from:11 OR from:13) since:2024-01-05 until:2024-01-20 -"99" k'
 
@@ -520,11 +569,11 @@ _SCORES = "event_id % 5 + 1 AS i, event_id // 5 % 5 + 1 AS n, event_id // 25 % 5
 _TOTAL = f"SELECT event_id AS id, event_type, round(0.3::DOUBLE * i + 0.25::DOUBLE * n + 0.2::DOUBLE * c + 0.15::DOUBLE * t + 0.1::DOUBLE * r, 6) AS total FROM (SELECT *, {_SCORES} FROM events)"
 
 
-def _findings(spark, d):
+def _findings(spark, d, *more):
     e = table(spark, d, "events")
     at = lambda k: (F.floor(F.col("event_id") / k) % 5 + 1)
     total = planning.total_score(at(1), at(5), at(25), planning.timeliness(F.to_date("ts"), F.lit("2024-01-31").cast("date")), F.col("user_id") % 5 + 1)
-    return e.select(F.col("event_id").alias("id"), "event_type", F.round(total, 6).alias("total"))
+    return e.select(F.col("event_id").alias("id"), "event_type", F.round(total, 6).alias("total"), *more)
 
 
 @query(_TOTAL)
@@ -564,6 +613,48 @@ def topic_heat(spark, d):
     return feed.heat(e.where("ts < '2024-01-16'"), e.where("ts >= '2024-01-16'"), "user_id")
 
 
+_TIERED = f"""SELECT id, ts, CASE WHEN total < 2 THEN 'Unclassified' ELSE CASE event_type WHEN 'click' THEN 'Trend Signals' WHEN 'view' THEN 'Industry & Opinions' WHEN 'purchase' THEN 'Breakthroughs' WHEN 'signup' THEN 'Releases' WHEN 'error' THEN 'Research' END END AS tier, props AS topic, event_type AS source, user_id::VARCHAR AS author, user_id || ':' || props AS link, total FROM (SELECT id, total FROM ({_TOTAL})) JOIN events ON event_id = id"""
+_DAILY = f"""f AS ({_TIERED}),
+g AS (SELECT CASE grouping(tier, topic, source, author) WHEN 7 THEN 'tier' WHEN 11 THEN 'topic' WHEN 13 THEN 'source' WHEN 14 THEN 'author' ELSE 'all' END AS level,
+ coalesce(tier, topic, source, author) AS key, count(*) AS n, count(*) FILTER (ts < '2024-01-16') AS n_before, count(*) FILTER (ts >= '2024-01-16') AS n_now, count(DISTINCT link) AS items, arg_max(id, (total, -id)) AS top_id, max(total) AS top_total
+ FROM f GROUP BY GROUPING SETS ((tier), (topic), (source), (author), ())),
+levels AS (SELECT level, key, n, n_before, n_now, items, (n - items) / n AS dedup_rate, n / (SELECT count(*) FROM f) AS share, top_id, top_total,
+ CASE WHEN n_before = 0 THEN 'new' WHEN n_now = 0 THEN 'gone' WHEN 4 * n_now >= 5 * n_before THEN 'rising' WHEN 4 * n_now <= 3 * n_before THEN 'falling' ELSE 'stable' END AS heat FROM g)"""
+
+
+def _daily(spark, d):
+    kind = F.create_map(*[F.lit(x) for p in _KIND.items() for x in p])[F.col("event_type")]
+    scored = _findings(spark, d, "ts", "props", "user_id").withColumn("tier", planning.tier(kind, F.col("total")))
+    author = F.col("user_id").cast("string")
+    rows = scored.select("id", F.col("ts").cast("timestamp").alias("created"), "tier", F.col("props").alias("topic"), F.col("event_type").alias("source"), author.alias("author"), F.concat(author, F.lit(":"), "props").alias("link"), "total")
+    return daily.levels(rows, "2024-01-16")
+
+
+@query(f"WITH {_DAILY} SELECT level, key, n, n_before, n_now, items, round(dedup_rate, 6) AS dedup_rate, round(share, 6) AS share, top_id, top_total, heat FROM levels")
+def daily_levels(spark, d):
+    """Events as findings: every table of the daily report from one scan."""
+    return _daily(spark, d).withColumns({c: F.round(c, 6) for c in ("dedup_rate", "share")})
+
+
+def _daily_lines_sql() -> str:
+    cells = {
+        "tier": "key || ' | ' || n || ' | ' || top_id || ' | ' || printf('%.2f', top_total)", "topic": "key || ' | ' || n_now || ' | ' || n_before || ' | ' || heat", "author": "key || ' | ' || n_now || ' | ' || top_id",
+        "source": "key || ' | ' || n || ' | ' || printf('%.1f', 100 * share) || '%'", "all": "n || ' | ' || items || ' | ' || printf('%.1f', 100 * dedup_rate) || '%'",
+    }
+    parts = ["SELECT 0 AS part, 0 AS ord, '# Daily report 2024-01-30' AS line"]
+    for p, (title, head, level, most) in enumerate(daily.TABLES, start=1):
+        by = "n_now" if level in ("topic", "author") else "n"
+        parts.append(f"SELECT {p}, i, x FROM (VALUES (0, '## {title}'), (1, '{head}'), (2, '|{'---|' * (head.count('|') - 1)}')) t(i, x)")
+        parts.append(f"SELECT {p}, r + 2, '| ' || {cells[level]} || ' |' FROM (SELECT *, row_number() OVER (ORDER BY {by} DESC, key) AS r FROM levels WHERE level = '{level}') WHERE r <= {most}")
+    return f"WITH {_DAILY} SELECT part::INT AS part, ord::INT AS ord, line FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_daily_lines_sql())
+def daily_lines(spark, d):
+    """The daily report as lines."""
+    return daily.lines(_daily(spark, d), "2024-01-30")
+
+
 @query("""SELECT user_id AS account, min(CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 ELSE 3 END) AS level FROM events GROUP BY user_id""")
 def account_levels(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("account"), "event_type")
