@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences at . ! ? and line ends. A run holds at least two
-sentences and MIN_WORDS words, or is one sentence of LONG_WORDS words. The
-shortest run that begins at each sentence and the shortest that ends at it are
+sentences and `least` words (20); with `long`, one sentence of so many words
+is a run by itself. The shortest run that begins at each sentence and the shortest that ends at it are
 taken: of a longer run that is repeated these lie within it and hold each of
 its sentences, so all of it is marked. Runs are hashed to 128 bits over their
 lower-cased words and dealt to buckets that see all documents' runs; every
@@ -35,7 +35,6 @@ from sievewright.llm._shared import cut, sweep, tidy
 #: Text whose runs are dealt out together; longer texts are a chunk by themselves.
 DEALT = 4 << 20
 MIN_WORDS = 20
-LONG_WORDS = 40
 #: Up to so many ids of documents that lose sentences are sent to every executor.
 BROADCAST_IDS = 200_000
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,7 +64,7 @@ def sentences(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, start[first], np.searchsorted(first, bounds), hashed
 
 
-def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def runs(buf: np.ndarray, offs: np.ndarray, least: int = MIN_WORDS, long: int | None = None) -> tuple[np.ndarray, ...]:
     """(document, first sentence in it, end sentence, two hashes) of the shortest runs from and to every sentence."""
     first, _, bounds, hashed = sentences(buf, offs)
     n = len(first)
@@ -74,12 +73,13 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         return z, z, z, z, z
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     after = np.append(first[1:], len(hashed))  # the word behind each sentence
-    end = np.searchsorted(after, first + MIN_WORDS)
-    end = np.maximum(end, np.arange(n) + (after - first < LONG_WORDS))
+    several = np.ones(n, bool) if long is None else after - first < long
+    end = np.searchsorted(after, first + least)
+    end = np.maximum(end, np.arange(n) + several)
     good = end < bounds[1:][doc]
     # backwards: the last sentence to begin a run that ends here; where that sentence's own run ends here it is taken already
-    begin = np.searchsorted(first, after - MIN_WORDS, "right") - 1
-    begin = np.minimum(begin, np.arange(n) - (after - first < LONG_WORDS))
+    begin = np.searchsorted(first, after - least, "right") - 1
+    begin = np.minimum(begin, np.arange(n) - several)
     back = np.flatnonzero(begin >= bounds[:-1][doc])
     back = back[end[begin[back]] != back]
     at, to = np.concatenate([np.flatnonzero(good), begin[back]]), np.concatenate([end[good], back])
@@ -98,7 +98,7 @@ def runs(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 _SPANS = "array<struct<begin:int,end:int,first_doc_id:bigint>>"
 
 
-def _scatter(buckets: int):
+def _scatter(buckets: int, least: int = MIN_WORDS, long: int | None = None):
     """Deals the runs of each chunk of documents to buckets, one entry for equal runs.
 
     To each bucket goes: a the hashes, b, c, d doc_id, text digest and first
@@ -118,7 +118,7 @@ def _scatter(buckets: int):
             for lo, hi in _bytes.chunks(offs, DEALT):
                 found = []
                 for b, e in _bytes.chunks(offs[lo : hi + 1]):
-                    doc, *rest = runs(buf[offs[lo + b] : offs[lo + e]], offs[lo + b : lo + e + 1] - offs[lo + b])
+                    doc, *rest = runs(buf[offs[lo + b] : offs[lo + e]], offs[lo + b : lo + e + 1] - offs[lo + b], least, long)
                     found.append((doc + b, *rest))
                 yield from _dealt(ids[lo:hi], digest[lo:hi], missing[lo:hi], [np.concatenate(x) for x in zip(*found)], chunk, buckets)
                 chunk += 1
@@ -140,7 +140,7 @@ def _dealt(ids: np.ndarray, digest: np.ndarray, missing: np.ndarray, found: list
     new = _changes(one, two)
     number = (np.cumsum(new) - 1).astype(np.uint32)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(one)) - 1
+    last = np.append(first[1:], len(one))[: len(first)] - 1  # a chunk may have no run at all
     other = (ids[doc[first]] != ids[doc[last]]) | (digest[doc[first]] != digest[doc[last]]) | (begin[first] != begin[last])
     yield from travel([(buckets + chunk, chunk, ids, digest, missing.astype(np.uint8), number, doc.astype(np.uint32), np.stack([begin, end], 1).astype(np.int32))])
     bucket = ((one[first].view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -204,12 +204,12 @@ def _with_digest(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, least: int = MIN_WORDS, long: int | None = None) -> DataFrame:
     """doc_id, digest (xxhash64 of the text) and spans: of each document the runs that are not the first of their kind.
 
     A span has begin, end (sentences) and first_doc_id, where its run comes first.
     """
-    return exchange(_with_digest(docs), _scatter, _count, _gather, f"doc_id long, digest long, spans {_SPANS}").dropDuplicates(["doc_id", "digest"])
+    return exchange(_with_digest(docs), lambda buckets: _scatter(buckets, least, long), _count, _gather, f"doc_id long, digest long, spans {_SPANS}").dropDuplicates(["doc_id", "digest"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +242,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total), pa.array(removed), pa.array(gone), pa.array(froms, pa.list_(pa.int64())), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "n_removed", "n_removed_words", "first_doc_ids", "text"])
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_WORDS, long: int | None = None) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_removed_words, first_doc_ids (where the removed runs come first) and the text left."""
-    marked = cut(repeated(docs))
+    marked = cut(repeated(docs, least, long))
     sweep(docs.sparkSession)
     rows, schema = _with_digest(docs), "doc_id long, n_sentences long, n_removed long, n_removed_words long, first_doc_ids array<long>, text string"
     if marked.count() > BROADCAST_IDS:

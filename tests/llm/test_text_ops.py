@@ -122,13 +122,9 @@ def test_entropy_windows_match_fresh_counts(spark):
 
 
 # ---- sentence spans ----
-def test_spans_against_brute_force(spark):
-    rnd = random.Random(5)
-    pool = [" ".join(rnd.choices("one two three four five six".split(), k=rnd.randrange(1, 14))).capitalize() + rnd.choice([".", "!", "?\n"]) for _ in range(30)]
-    rows = [(i, " ".join(rnd.choices(pool, k=rnd.randrange(0, 12)))) for i in range(60)] + [(100, "w " * 45 + "."), (101, "before. " + "w " * 45 + ".")]
-    docs = frame(spark, rows + [(k + 1000, t) for k, t in EDGE])
-    got = {r.doc_id: r for r in spans.dedup(docs).collect()}
-    seen = {}
+def brute_spans(rows, least=20, long=None):
+    """doc -> (sentences, which go): every run of two sentences and `least` words, or one of `long`, that some run before equals."""
+    seen, out = set(), {}
     for doc, text in sorted(rows):
         ws = [(m.start(), m.end()) for m in re.finditer("[^\x20\x09-\x0d]+", text)]
         sent = []
@@ -138,21 +134,50 @@ def test_spans_against_brute_force(spark):
             sent[-1].append(text[b:e].lower())
         bad = set()
         for i in range(len(sent)):
-            j, n = i, len(sent[i])
-            while (n < spans.MIN_WORDS or (j == i and n < spans.LONG_WORDS)) and j + 1 < len(sent):
-                j += 1
-                n += len(sent[j])
-            if n < spans.MIN_WORDS or (j == i and n < spans.LONG_WORDS):
-                continue
-            key = tuple(w for x in sent[i : j + 1] for w in x)
-            bad |= set(range(i, j + 1)) if key in seen else set()
-            seen.setdefault(key, doc)
+            for j in range(i, len(sent)):
+                n = sum(map(len, sent[i : j + 1]))
+                if (j > i and n >= least) or (long is not None and j == i and n >= long):
+                    key = tuple(w for x in sent[i : j + 1] for w in x)
+                    bad |= set(range(i, j + 1)) if key in seen else set()
+                    seen.add(key)
+        out[doc] = (sent, bad)
+    return out
+
+
+@pytest.mark.parametrize("long", [None, 40])
+def test_spans_against_brute_force(spark, long):
+    rnd = random.Random(5)
+    pool = [" ".join(rnd.choices("one two three four five six".split(), k=rnd.randrange(1, 14))).capitalize() + rnd.choice([".", "!", "?\n"]) for _ in range(30)]
+    rows = [(i, " ".join(rnd.choices(pool, k=rnd.randrange(0, 12)))) for i in range(60)] + [(100, "w " * 45 + "."), (101, "before. " + "w " * 45 + ".")]
+    docs = frame(spark, rows + [(k + 1000, t) for k, t in EDGE])
+    got = {r.doc_id: r for r in spans.dedup(docs, long=long).collect()}
+    for doc, (sent, bad) in brute_spans(rows, long=long).items():
         assert (got[doc].n_sentences, got[doc].n_removed) == (len(sent), len(bad)), doc
         assert words(got[doc].text) == [w for i, s in enumerate(sent) if i not in bad for w in s]
+    assert got[101].n_removed == (0 if long is None else 1)  # one sentence is no run, unless it is asked for
     assert got[1001].text is None and got[1002].text == ""
     assert spans.dedup(docs.limit(0)).count() == 0
 
 
+def test_spans_of_tables_without_a_run(spark):
+    """Whole batches without a run: short texts, nulls and empties, and the last rows of a partition."""
+    short = [(i, "hi there.") for i in range(50)]
+    assert {(r.doc_id, r.n_removed, r.text) for r in spans.dedup(frame(spark, short).coalesce(1)).collect()} == {(i, 0, t) for i, t in short}
+    nothing = [(i, (None, "", " \n")[i % 3]) for i in range(9)]
+    assert {(r.doc_id, r.n_sentences, r.text) for r in spans.dedup(frame(spark, nothing)).collect()} == {(i, 0, t) for i, t in nothing}
+    twelve = [(1, "a b c d e f g h i j k l."), (2, "a b c d e f g h i j k l.")]
+    assert {r.n_removed for r in spans.dedup(frame(spark, twelve)).collect()} == {0}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        passage = "One two three four five six. " * 4
+        tail = [(1, passage), (2, passage), (3, "x."), (4, None), (5, "y z."), (6, passage), (7, "short.")]
+        got = {r.doc_id: r.n_removed for r in spans.dedup(frame(spark, tail).coalesce(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {doc: len(bad) for doc, (_, bad) in brute_spans([(d, t or "") for d, t in tail]).items()} and got[6] == 4
+
+
 def test_whole_repeated_passage_goes(spark):
     rnd = random.Random(15)
     make = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n)) + "."
