@@ -1,15 +1,20 @@
 """Exact similarity joins of facts by cosine and by keyword overlap.
 
-The cosine join is lossless prefix filtering: terms have one global order,
-rare ones first, and a fact is looked up only by the terms in front of the
-longest tail whose norm stays under the threshold, since two facts that share
-none of these cannot reach it. Candidates are then added up over all terms.
+The cosine join works on classes of equal vectors. Terms have one global order,
+rare ones first; a vector is looked up by its front terms alone, those up to
+which the norm of what follows (the tail) still reaches the threshold, and two
+vectors whose tails from a shared term on cannot multiply to it are told apart
+there. Vectors meet by front term, as sketches: weights summed up by hashed
+term, whose product is never below the cosine. Pairs that their sketches don't
+rule out are added up over all terms, once, where their first shared front term
+brings them together. A term in front of very many is met in blocks of BLOCK.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,45 +22,200 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import filtered_tokens
-from sievewright.operators.lineage import cut
+from sievewright.operators.lineage import cut, release
 from sievewright.operators.vectors import term_counts, weighted
 
 _SLACK = 1e-9
+#: Vectors of one term that meet at once; of more, every two blocks meet by themselves.
+BLOCK = 1024
+#: Up to so many rows of a checked side are sent to every executor.
+SENT = 200_000
+#: Least and most places of a sketch.
+PLACES = (64, 2048)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and bounds of a list column, as numpy has them."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
+_VECTORS = "seq long, t array<long>, w array<double>, tails array<double>, kind binary"
+
+
+def _vectors(least: float) -> Callable:
+    """Unit vectors: terms in the global order, weights, the tail at every front term, and a digest that equal vectors share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, bounds = _flat(batch.column("t"))
+            df, w = (_flat(batch.column(c))[0] for c in ("df", "weight"))
+            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            order = np.lexsort((t, df, row))
+            t, df, w = t[order], df[order], w[order]
+            w = w / np.sqrt(np.bincount(row, w * w, len(batch)))[row]
+            # squares from each term to the end of its vector
+            upto = np.concatenate([[0], np.cumsum(w * w)])
+            tail = np.sqrt(np.maximum(upto[bounds[1:]][row] - upto[:-1], 0))
+            front = np.bincount(row, tail >= least - _SLACK, len(batch)).astype(np.int64)
+            place = np.arange(len(t)) - bounds[:-1][row]
+            kinds = [hashlib.blake2b(t[x:y].tobytes() + w[x:y].tobytes(), digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            # a term of one vector alone brings nothing together
+            tails = np.where(df > 1, tail, 0.0)[place < front[row]]
+            columns = [batch.column("seq"), _lists(t, bounds, pa.int64()), _lists(w, bounds, pa.float64()), _lists(tails, np.concatenate([[0], np.cumsum(front)]), pa.float64()), pa.array(kinds, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["seq", "t", "w", "tails", "kind"])
+
+    return run
+
+
+_POSTINGS = "t long, seq long, tail double, before binary, sketch binary, scale double"
+
+
+def _postings(places: int) -> Callable:
+    """A row for each front term of a vector: the tail there, the front terms before, and the sketch in bytes, rounded up, with what a step of it is worth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, len(b), 256)):
+            (t, bounds), (w, _), (tails, fronts) = (_flat(batch.column(c)) for c in ("t", "w", "tails"))
+            row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            sketch = np.zeros((len(batch), places))
+            np.add.at(sketch, (row, t % places), w)
+            scale = np.maximum(sketch.max(axis=1, initial=0), 1e-12) / 255
+            steps = np.minimum(np.ceil(sketch / scale[:, None] - 1e-9), 255).astype(np.uint8)
+            packed = [s.tobytes() for s in steps]
+            of = np.repeat(np.arange(len(batch)), np.diff(fronts))
+            place = np.arange(len(tails)) - fronts[:-1][of]
+            good = np.flatnonzero(tails > 0)
+            of, place = of[good], place[good]
+            begin = bounds[:-1][of]
+            before = [t[x : x + n].tobytes() for x, n in zip(begin.tolist(), place.tolist())]
+            columns = [pa.array(t[begin + place]), batch.column("seq").take(pa.array(of)), pa.array(tails[good]), pa.array(before, pa.binary()), pa.array([packed[i] for i in of.tolist()], pa.binary()), pa.array(scale[of])]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "seq", "tail", "before", "sketch", "scale"])
+
+    return run
+
+
+def _meet(least: float) -> Callable:
+    """a < b of vectors in one block, or two, of a front term that nothing rules out; rows come sorted by term and blocks."""
+
+    def met(rows: list[tuple]) -> pa.RecordBatch | None:
+        if len(rows) < 2:
+            return None
+        seq, block, tail, before, sketch, scale = zip(*rows)
+        seq, block, tail = np.array(seq, np.int64), np.array(block), np.array(tail)
+        whole = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), -1).astype(np.float32) * np.array(scale, np.float32)[:, None]
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block != block.min())
+        second = second if len(second) else first
+        # products of float32 differ from the exact ones by far less than this
+        near = (whole[first] @ whole[second].T >= least - 1e-4) & (np.outer(tail[first], tail[second]) >= least - _SLACK)
+        x, y = np.nonzero(near)
+        x, y = first[x], second[y]
+        keep = seq[x] < seq[y] if second is first else seq[x] != seq[y]
+        x, y = x[keep], y[keep]
+        # only at the first term that both have in front
+        terms = [frozenset(memoryview(b).cast("q")) if b else frozenset() for b in before] if len(x) else []
+        fresh = [terms[i].isdisjoint(terms[j]) for i, j in zip(x.tolist(), y.tolist())]
+        a, b = seq[x][fresh], seq[y][fresh]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("t", "i", "j"))))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("seq", "block", "tail", "before", "sketch", "scale")))
+            for k, row in zip(keys, rows):
+                if k != key:
+                    if (out := met(held)) is not None:
+                        yield out
+                    key, held = k, []
+                held.append(row)
+        if (out := met(held)) is not None:
+            yield out
+
+    return run
 
 
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot products of packed vectors (terms in order, weights)."""
-    for batch in batches:
-        packed = [batch.column(c) for c in ("ta", "wa", "tb", "wb")]
-        out = np.empty(len(batch))
-        for k in range(len(batch)):
-            ta, wa, tb, wb = (np.asarray(c[k].values) for c in packed)
-            at = np.searchsorted(tb, ta)
-            at[at == len(tb)] = 0
-            same = tb[at] == ta
-            out[k] = (wa[same] * wb[at[same]]).sum()
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "sim"])
+    """Dot products of packed vectors (terms, weights)."""
+    for batch in (b.slice(k, 2000) for b in batches for k in range(0, max(len(b), 1), 2000)):
+        (ta, na), (wa, _), (tb, nb), (wb, _) = (_flat(batch.column(c)) for c in ("ta", "wa", "tb", "wb"))
+        known, number = np.unique(np.concatenate([ta, tb]), return_inverse=True)
+        pair_a, pair_b = (np.repeat(np.arange(len(batch)), np.diff(n)) for n in (na, nb))
+        key_a, key_b = pair_a * len(known) + number[: len(ta)], pair_b * len(known) + number[len(ta) :]
+        _, x, y = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
+        sim = np.bincount(pair_a[x], wa[x] * wb[y], len(batch)) if len(batch) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=["a", "b", "sim"])
 
 
-def cosine_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a < b and sim of all pairs of seq whose vectors (seq, term, df, weight) have cosine `least` or more."""
-    norm = rows.groupBy("seq").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = rows.join(norm, "seq").select("seq", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
+def _sent(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most SENT rows."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def cosine_classes(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a < b, sim of classes with cosine `least` or more; seq, first of all vectors).
+
+    rows: vectors as (seq, term, df, weight), weights above 0. A class, named
+    by its first seq, holds vectors that are equal.
+    """
     # terms as hashes in the shuffles; two distinct terms of one fact colliding would take 2**32 terms
-    unit = cut(unit.withColumn("t", F.xxhash64("term")).drop("term"))
-    tail = Window.partitionBy("seq").orderBy(F.desc("df"), F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    front = unit.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(tail))).where(F.col("tail") >= least - _SLACK).where("df > 1").select("seq", "t")
-    near = front.select(F.col("seq").alias("a"), "t").join(front.select(F.col("seq").alias("b"), "t"), "t").where("a < b").select("a", "b").distinct()
-    packed = unit.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("t", "w"))).alias("v")).select("seq", F.col("v.t").alias("t"), F.col("v.w").alias("w"))
-    packed = cut(packed)
-    both = near.join(packed.toDF("a", "ta", "wa"), "a").join(packed.toDF("b", "tb", "wb"), "b")
-    return both.mapInArrow(_dots, "a long, b long, sim double").where(F.col("sim") >= least - _SLACK)
+    each = rows.select("seq", F.xxhash64("term").alias("t"), F.col("df").cast("long").alias("df"), "weight")
+    packed = each.groupBy("seq").agg(F.collect_list(F.struct("t", "df", "weight")).alias("v")).select("seq", "v.t", "v.df", "v.weight")
+    packed = cut(packed.mapInArrow(_vectors(least), _VECTORS))
+    firsts = packed.groupBy("kind").agg(F.min("seq").alias("first"))
+    members = cut(packed.select("seq", "kind").join(firsts, "kind").select("seq", "first"))
+    copies = cut(members.where("seq <> first").select("seq"))
+    vectors = packed.join(_sent(copies), "seq", "left_anti")
+    # unrelated vectors should not reach the threshold by terms that fall together: these add the product of the sums over the places
+    spread = vectors.agg(F.avg(F.pow(F.aggregate("w", F.lit(0.0), lambda x, y: x + y), 2)).alias("s")).first()["s"] or 1.0
+    places = PLACES[0]
+    while places < min(PLACES[1], 4 * spread):
+        places *= 2
+    listed = vectors.select(F.explode(F.arrays_zip("tails", F.slice("t", F.lit(1), F.size("tails")).alias("t"))).alias("f")).where("f.tails > 0")
+    many = cut(listed.groupBy("f.t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    postings = vectors.select("seq", "t", "w", "tails").mapInArrow(_postings(places), _POSTINGS).join(_sent(many), "t", "left")
+    dealt = postings.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("o", other).select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "seq", "tail", "before", "sketch", "scale")
+    near = cut(dealt.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(_meet(least), "a long, b long"))
+    both = near.join(packed.select("seq", "t", "w").toDF("a", "ta", "wa"), "a").join(packed.select("seq", "t", "w").toDF("b", "tb", "wb"), "b")
+    pairs = cut(both.mapInArrow(_dots, "a long, b long, sim double").where(F.col("sim") >= least - _SLACK))
+    release(packed, near, many, copies)
+    return pairs, members
+
+
+def cosine_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """a < b and sim of all pairs of seq whose vectors (seq, term, df, weight) have cosine `least` or more.
+
+    Every pair of copies is a row; where copies are many, cosine_classes() says the same in fewer.
+    """
+    pairs, members = cosine_classes(rows, least)
+    x, y = (members.toDF(s, f"first_{s}") for s in "ab")
+    across = pairs.toDF("first_a", "first_b", "sim").join(x, "first_a").join(y, "first_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    shared = members.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
+    few = members.join(_sent(cut(shared)), "first", "left_semi").select("seq", "first")
+    within = few.toDF("a", "first").join(few.toDF("b", "first"), "first").where("a < b").select("a", "b", F.lit(1.0).alias("sim"))
+    return across.unionByName(within)
 
 
 def tfidf_pairs(facts: DataFrame, least: float) -> DataFrame:
     return cosine_pairs(weighted(facts), least)
 
 
+def spread_duplicates(found: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, duplicate_of) of all vectors from those of the classes' first ones.
+
+    Whom a class's first is a duplicate of, its copies are too; if it is none, they are duplicates of it.
+    """
+    own = found.select(F.col("node").alias("first"), F.col("duplicate_of").alias("of"))
+    return members.join(own, "first", "left").select(F.col("seq").alias("node"), F.coalesce("of", "first").alias("duplicate_of")).where("node <> duplicate_of")
+
+
 def successors(facts: DataFrame) -> DataFrame:
     """a, b: each seq and the next one. Only the first seq of every range goes through one order."""
     ids = cut(facts.select("seq").repartitionByRange("seq").withColumn("part", F.spark_partition_id()))
@@ -125,13 +285,12 @@ def first_match(asked: DataFrame, done: DataFrame, least: float = 0.75) -> DataF
 def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:
     """seq, match: for each (seq, text) the smallest seq before it whose counts have cosine `least` or more.
 
-    Equal texts meet as one, their first: it is the only one of them that can be a match.
+    Of equal vectors only the first can be a match.
     """
-    rows = rows.where(F.size(filtered_tokens(F.coalesce("text", F.lit("")))) > 0)
-    firsts = cut(rows.groupBy("text").agg(F.min("seq").alias("seq")))
-    before = bow_pairs(firsts, least).groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("before"))
-    found = firsts.join(before, "seq", "left").select("text", F.coalesce("before", "seq").alias("match"))
-    return rows.select("seq", "text").join(found, "text").where("match < seq").select("seq", "match")
+    pairs, members = cosine_classes(bow_rows(rows), least)
+    before = pairs.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("before"))
+    found = members.join(before, "first", "left").select("seq", F.coalesce("before", "first").alias("match"))
+    return found.where("match < seq")
 
 
 def overlap_edges(keywords: DataFrame, least: float = 0.3) -> DataFrame:
