@@ -18,18 +18,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewright.functions.text import filtered_tokens
 from sievewright.operators.lineage import cut, release
-from sievewright.operators.vectors import term_counts, weighted
 
 _SLACK = 1e-9
 #: Vectors of one term that meet at once; of more, every two blocks meet by themselves.
 BLOCK = 1024
 #: Up to so many rows of a checked side are sent to every executor.
 SENT = 200_000
+#: Terms of several facts that are sent to every worker at most, 16 bytes each.
+TERMS_SENT = 2_000_000
 #: Least and most places of a sketch.
 PLACES = (64, 2048)
 
@@ -44,26 +46,60 @@ def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each fact's terms in order, once each, and how often it has them."""
+    for batch in batches:
+        terms, bounds = _flat(batch.column("terms"))
+        fact = np.repeat(np.arange(len(batch)), np.diff(bounds))
+        order = np.lexsort((terms, fact))
+        terms, fact = terms[order], fact[order]
+        fresh = np.ones(len(terms), bool)
+        fresh[1:] = (terms[1:] != terms[:-1]) | (fact[1:] != fact[:-1])
+        begin = np.flatnonzero(fresh)
+        ends = np.searchsorted(fact[begin], np.arange(len(batch) + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("seq"), _lists(terms[begin], ends, pa.int64()), _lists(np.diff(np.append(begin, len(terms))), ends, pa.int32())], names=["seq", "t", "n"])
+
+
+def counted(facts: DataFrame) -> DataFrame:
+    """seq, t, n: hashes of each fact's (seq, text) filtered terms, in order, and how often it has them; counted in the row, so nothing moves.
+
+    Two distinct terms of one fact under one hash would take 2**32 terms.
+    """
+    told = facts.select("seq", F.transform(filtered_tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t)).alias("terms"))
+    return told.mapInArrow(_counted, "seq long, t array<long>, n array<int>")
+
+
 _VECTORS = "seq long, t array<long>, w array<double>, tails array<double>, kind binary"
 
 
-def _vectors(least: float) -> Callable:
-    """Unit vectors: terms in the global order, weights, the tail at every front term, and a digest that equal vectors share."""
+def _vectors(least: float, facts: int | None, shared: Broadcast | None) -> Callable:
+    """Unit vectors: terms in the global order, weights, the tail at every front term, and a digest that equal vectors share.
+
+    Weights are counts, or TF-IDF among so many facts. shared has terms of
+    several facts, in order, and their number of facts; else df is a column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, bounds = _flat(batch.column("t"))
-            df, w = (_flat(batch.column(c))[0] for c in ("df", "weight"))
+            (t, bounds), (n, _) = (_flat(batch.column(c)) for c in ("t", "n"))
             row = np.repeat(np.arange(len(batch)), np.diff(bounds))
+            if shared is None:
+                df = _flat(batch.column("df"))[0]
+            else:
+                known, many = shared.value
+                at = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
+                df = np.where(known[at] == t, many[at], 1) if len(known) else np.ones(len(t), np.int64)
             order = np.lexsort((t, df, row))
-            t, df, w = t[order], df[order], w[order]
-            w = w / np.sqrt(np.bincount(row, w * w, len(batch)))[row]
+            t, df, w = t[order], df[order], n[order].astype(float)
+            if facts is not None:
+                w *= np.log((facts + 1) / (df + 1)) + 1
+            w /= np.sqrt(np.bincount(row, w * w, len(batch)))[row]
             # squares from each term to the end of its vector
             upto = np.concatenate([[0], np.cumsum(w * w)])
             tail = np.sqrt(np.maximum(upto[bounds[1:]][row] - upto[:-1], 0))
             front = np.bincount(row, tail >= least - _SLACK, len(batch)).astype(np.int64)
             place = np.arange(len(t)) - bounds[:-1][row]
-            kinds = [hashlib.blake2b(t[x:y].tobytes() + w[x:y].tobytes(), digest_size=16).digest() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            kinds = [hashlib.blake2b(t[x:y].tobytes() + n[x:y].tobytes(), digest_size=16).digest() for n in (n[order],) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
             # a term of one vector alone brings nothing together
             tails = np.where(df > 1, tail, 0.0)[place < front[row]]
             columns = [batch.column("seq"), _lists(t, bounds, pa.int64()), _lists(w, bounds, pa.float64()), _lists(tails, np.concatenate([[0], np.cumsum(front)]), pa.float64()), pa.array(kinds, pa.binary())]
@@ -141,15 +177,37 @@ def _meet(least: float) -> Callable:
 
 
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dot products of packed vectors (terms, weights)."""
-    for batch in (b.slice(k, 2000) for b in batches for k in range(0, max(len(b), 1), 2000)):
-        (ta, na), (wa, _), (tb, nb), (wb, _) = (_flat(batch.column(c)) for c in ("ta", "wa", "tb", "wb"))
-        known, number = np.unique(np.concatenate([ta, tb]), return_inverse=True)
-        pair_a, pair_b = (np.repeat(np.arange(len(batch)), np.diff(n)) for n in (na, nb))
-        key_a, key_b = pair_a * len(known) + number[: len(ta)], pair_b * len(known) + number[len(ta) :]
-        _, x, y = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
-        sim = np.bincount(pair_a[x], wa[x] * wb[y], len(batch)) if len(batch) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sim)], names=["a", "b", "sim"])
+    """Dot products: the vector of a (b is null) comes ahead of those of all b that it meets."""
+    places = 1 << 16
+    term, weight, used = np.zeros(places, np.int64), np.zeros(places), np.zeros(0, np.int64)
+    slot = lambda t: t & places - 1
+    own = None
+    for batch in batches:
+        (t, bounds), (w, _) = (_flat(batch.column(c)) for c in ("t", "w"))
+        heads = np.flatnonzero(batch.column("b").is_null().to_numpy(zero_copy_only=False))
+        sim = np.zeros(len(batch))
+        for lo, hi in zip(np.unique(np.append(0, heads)).tolist(), [*np.unique(np.append(0, heads))[1:].tolist(), len(batch)]):
+            at = lo
+            if len(heads) and lo in heads:
+                weight[used] = 0
+                own = t[bounds[lo] : bounds[lo + 1]], w[bounds[lo] : bounds[lo + 1]]
+                used = slot(own[0])
+                term[used], weight[used] = own
+                own = own if len(np.unique(used)) < len(used) else None  # kept where two of its terms share a place
+                at = lo + 1
+            tb, wb = t[bounds[at] : bounds[hi]], w[bounds[at] : bounds[hi]]
+            row = np.repeat(np.arange(hi - at), np.diff(bounds[at : hi + 1]))
+            if own is None:
+                s = slot(tb)
+                part = np.where(term[s] == tb, weight[s], 0) * wb
+            else:
+                order = np.argsort(own[0])
+                s = order[np.minimum(np.searchsorted(own[0][order], tb), len(order) - 1)]
+                part = np.where(own[0][s] == tb, own[1][s], 0) * wb
+            sim[at:hi] = np.bincount(row, part, hi - at)
+        pairs = np.flatnonzero(~batch.column("b").is_null().to_numpy(zero_copy_only=False))
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(pairs)), batch.column("b").take(pa.array(pairs)), pa.array(sim[pairs])], names=["a", "b", "sim"])
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -157,20 +215,35 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def cosine_classes(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _packed(told: DataFrame, least: float, facts: int | None) -> DataFrame:
+    """Vectors of counted() rows; terms of several facts go to all workers if they are few enough, else they are joined."""
+    told = told.where(F.size("t") > 0)
+    shared = cut(told.select(F.explode("t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    if shared.count() <= TERMS_SENT:
+        known = shared.orderBy("t").toArrow()
+        arrays = known["t"].to_numpy(), known["df"].to_numpy()
+        return told.mapInArrow(_vectors(least, facts, told.sparkSession.sparkContext.broadcast(arrays)), _VECTORS)
+    each = told.select("seq", F.explode(F.arrays_zip("t", "n")).alias("x")).select("seq", "x.t", "x.n").join(shared, "t", "left")
+    lists = each.groupBy("seq").agg(F.collect_list(F.struct("t", "n", F.coalesce("df", F.lit(1)).alias("df"))).alias("v"))
+    return lists.select("seq", "v.t", "v.n", "v.df").mapInArrow(_vectors(least, facts, None), _VECTORS)
+
+
+def cosine_classes(facts: DataFrame, least: float, by: str = "tfidf", among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(a < b, sim of classes with cosine `least` or more; seq, first of all vectors).
 
-    rows: vectors as (seq, term, df, weight), weights above 0. A class, named
-    by its first seq, holds vectors that are equal.
+    facts: seq, text, vectors by TF-IDF or by counts (by="counts"). A class,
+    named by its first seq, holds vectors that are equal. With `among` (seq),
+    all facts count for the weights, but only these meet. Facts without a term
+    are in no class.
     """
-    # terms as hashes in the shuffles; two distinct terms of one fact colliding would take 2**32 terms
-    each = rows.select("seq", F.xxhash64("term").alias("t"), F.col("df").cast("long").alias("df"), "weight")
-    packed = each.groupBy("seq").agg(F.collect_list(F.struct("t", "df", "weight")).alias("v")).select("seq", "v.t", "v.df", "v.weight")
-    packed = cut(packed.mapInArrow(_vectors(least), _VECTORS))
+    told = cut(counted(facts))
+    packed = _packed(told, least, facts.count() if by == "tfidf" else None)
+    packed = cut(packed if among is None else packed.join(among.select("seq"), "seq", "left_semi"))
+    release(told)
     firsts = packed.groupBy("kind").agg(F.min("seq").alias("first"))
     members = cut(packed.select("seq", "kind").join(firsts, "kind").select("seq", "first"))
     copies = cut(members.where("seq <> first").select("seq"))
-    vectors = packed.join(_sent(copies), "seq", "left_anti")
+    vectors = packed.join(_sent(copies), "seq", "left_anti").select("seq", "t", "w", "tails")
     # unrelated vectors should not reach the threshold by terms that fall together: these add the product of the sums over the places
     spread = vectors.agg(F.avg(F.pow(F.aggregate("w", F.lit(0.0), lambda x, y: x + y), 2)).alias("s")).first()["s"] or 1.0
     places = PLACES[0]
@@ -178,23 +251,25 @@ def cosine_classes(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]
         places *= 2
     listed = vectors.select(F.explode(F.arrays_zip("tails", F.slice("t", F.lit(1), F.size("tails")).alias("t"))).alias("f")).where("f.tails > 0")
     many = cut(listed.groupBy("f.t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    postings = vectors.select("seq", "t", "w", "tails").mapInArrow(_postings(places), _POSTINGS).join(_sent(many), "t", "left")
+    postings = vectors.mapInArrow(_postings(places), _POSTINGS).join(_sent(many), "t", "left")
     dealt = postings.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("o", other).select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "seq", "tail", "before", "sketch", "scale")
     near = cut(dealt.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(_meet(least), "a long, b long"))
-    both = near.join(packed.select("seq", "t", "w").toDF("a", "ta", "wa"), "a").join(packed.select("seq", "t", "w").toDF("b", "tb", "wb"), "b")
-    pairs = cut(both.mapInArrow(_dots, "a long, b long, sim double").where(F.col("sim") >= least - _SLACK))
+    heads = vectors.join(near.select(F.col("a").alias("seq")).distinct(), "seq", "left_semi").select(F.col("seq").alias("a"), F.lit(None).cast("long").alias("b"), "t", "w")
+    met = heads.unionByName(near.join(vectors.select(F.col("seq").alias("b"), "t", "w"), "b"))
+    told = met.repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(_dots, "a long, b long, sim double")
+    pairs = cut(told.where(F.col("sim") >= least - _SLACK))
     release(packed, near, many, copies)
     return pairs, members
 
 
-def cosine_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a < b and sim of all pairs of seq whose vectors (seq, term, df, weight) have cosine `least` or more.
+def cosine_pairs(facts: DataFrame, least: float, by: str = "tfidf") -> DataFrame:
+    """a < b and sim of all pairs of seq whose vectors have cosine `least` or more.
 
     Every pair of copies is a row; where copies are many, cosine_classes() says the same in fewer.
     """
-    pairs, members = cosine_classes(rows, least)
+    pairs, members = cosine_classes(facts, least, by)
     x, y = (members.toDF(s, f"first_{s}") for s in "ab")
     across = pairs.toDF("first_a", "first_b", "sim").join(x, "first_a").join(y, "first_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
     shared = members.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first")
@@ -204,7 +279,7 @@ def cosine_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 
 def tfidf_pairs(facts: DataFrame, least: float) -> DataFrame:
-    return cosine_pairs(weighted(facts), least)
+    return cosine_pairs(facts, least)
 
 
 def spread_duplicates(found: DataFrame, members: DataFrame) -> DataFrame:
@@ -224,21 +299,6 @@ def successors(facts: DataFrame) -> DataFrame:
     return inside.join(heads, "part").select(F.col("seq").alias("a"), F.coalesce("next", "head").alias("b")).where("b IS NOT NULL")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fact's terms in order, once each, and how often it has them."""
-    for batch in batches:
-        terms, bounds = batch.column("terms").values.to_numpy(), batch.column("terms").offsets.to_numpy()
-        fact = np.repeat(np.arange(len(batch)), np.diff(bounds))
-        order = np.lexsort((terms, fact))
-        terms, fact = terms[order], fact[order]
-        fresh = np.ones(len(terms), bool)
-        fresh[1:] = (terms[1:] != terms[:-1]) | (fact[1:] != fact[:-1])
-        begin = np.flatnonzero(fresh)
-        ends = pa.array(np.searchsorted(fact[begin], np.arange(len(batch) + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((terms[begin], pa.int64()), (np.diff(np.append(begin, len(terms))), pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column("seq"), *lists], names=["seq", "t", "n"])
-
-
 def _own_cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """TF-IDF cosine of counted facts, each pair being all there is: a term of both weighs 1, of one ln(3 / 2) + 1."""
     alone = math.log(1.5) + 1
@@ -260,19 +320,13 @@ def successor_cosines(facts: DataFrame) -> DataFrame:
 
     Facts are moved as counted hashes of their terms, once for each side. seq is unique.
     """
-    told = facts.select("seq", F.transform(filtered_tokens(F.coalesce("text", F.lit(""))), lambda t: F.xxhash64(t)).alias("terms"))
-    counted = cut(told.mapInArrow(_counted, "seq long, t array<long>, n array<int>"))
-    both = successors(facts).join(counted.toDF("a", "ta", "na"), "a", "left").join(counted.toDF("b", "tb", "nb"), "b", "left")
+    told = cut(counted(facts))
+    both = successors(facts).join(told.toDF("a", "ta", "na"), "a", "left").join(told.toDF("b", "tb", "nb"), "b", "left")
     return both.select("a", "b", "ta", "na", "tb", "nb").mapInArrow(_own_cosines, "a long, b long, sim double")
 
 
-def bow_rows(facts: DataFrame) -> DataFrame:
-    counts = term_counts(facts)
-    return counts.join(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").withColumn("weight", F.col("n").cast("double"))
-
-
 def bow_pairs(facts: DataFrame, least: float) -> DataFrame:
-    return cosine_pairs(bow_rows(facts), least)
+    return cosine_pairs(facts, least, "counts")
 
 
 def first_match(asked: DataFrame, done: DataFrame, least: float = 0.75) -> DataFrame:
@@ -287,7 +341,7 @@ def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:
 
     Of equal vectors only the first can be a match.
     """
-    pairs, members = cosine_classes(bow_rows(rows), least)
+    pairs, members = cosine_classes(rows, least, "counts")
     before = pairs.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("before"))
     found = members.join(before, "first", "left").select("seq", F.coalesce("before", "first").alias("match"))
     return found.where("match < seq")
