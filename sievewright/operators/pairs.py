@@ -33,7 +33,7 @@ SENT = 200_000
 #: Terms of several facts that are sent to every worker at most, 16 bytes each.
 TERMS_SENT = 2_000_000
 #: Least and most places of a sketch.
-PLACES = (64, 2048)
+PLACES = (64, 1024)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +247,7 @@ def cosine_classes(facts: DataFrame, least: float, by: str = "tfidf", among: Dat
     # unrelated vectors should not reach the threshold by terms that fall together: these add the product of the sums over the places
     spread = vectors.agg(F.avg(F.pow(F.aggregate("w", F.lit(0.0), lambda x, y: x + y), 2)).alias("s")).first()["s"] or 1.0
     places = PLACES[0]
-    while places < min(PLACES[1], 4 * spread):
+    while places < min(PLACES[1], 16 * spread):
         places *= 2
     listed = vectors.select(F.explode(F.arrays_zip("tails", F.slice("t", F.lit(1), F.size("tails")).alias("t"))).alias("f")).where("f.tails > 0")
     many = cut(listed.groupBy("f.t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
