@@ -7,44 +7,40 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r'\s*(\(|\)|-?"[^"]*"|[^\s()]+)')
+from sievewright.operators.numbering import running
 
+_TOKEN = re.compile(r'\s*(\(|\)|-?"[^"]*"|[^\s()]+)')
 
-def search(query: str) -> Column:
-    """A predicate over posts from a search text.
 
-    Words and "phrases" are looked for in text without regard to case; -x
-    excludes; OR and brackets compose, side by side means and. Operators:
-    from: to: list: lang: since: (inclusive) until: (exclusive) filter:KIND
-    (a boolean column has_KIND or is_KIND) min_retweets: min_faves:
-    min_replies:, #tag, $TICKER and @name.
-    """
+def parse(query: str) -> tuple:
+    """The tree of a search text: ("and", ...), ("or", ...), ("not", x) and ("term", token)."""
     tokens = _TOKEN.findall(query)
     at = 0
 
-    def either() -> Column:
+    def either() -> tuple:
         nonlocal at
-        out = both()
+        parts = [both()]
         while at < len(tokens) and tokens[at] == "OR":
             at += 1
-            out = out | both()
-        return out
+            parts.append(both())
+        return parts[0] if len(parts) == 1 else ("or", *parts)
 
-    def both() -> Column:
+    def both() -> tuple:
         nonlocal at
-        out = F.lit(True)
+        parts: list[tuple] = []
         while at < len(tokens) and tokens[at] not in ("OR", ")"):
             token = tokens[at]
             at += 1
             if token == "(":
-                part = either()
+                parts.append(either())
                 if at >= len(tokens):
                     raise ValueError("a bracket is not closed")
                 at += 1
+            elif token.startswith("-") and len(token) > 1:
+                parts.append(("not", ("term", token[1:])))
             else:
-                part = _term(token)
-            out = out & part
-        return out
+                parts.append(("term", token))
+        return parts[0] if len(parts) == 1 else ("and", *parts)
 
     found = either()
     if at < len(tokens):
@@ -52,12 +48,43 @@ def search(query: str) -> Column:
     return found
 
 
+def search(query: str) -> Column:
+    """A predicate over posts from a search text.
+
+    Words and "phrases" are looked for in text without regard to case; -x
+    excludes; OR and brackets compose, side by side means and. Operators:
+    from: to: list: lang: since: (inclusive) until: (exclusive) filter:KIND
+    (a boolean column has_KIND or is_KIND) min_retweets: min_faves:
+    min_replies:, #tag, $TICKER and @name.
+    """
+    return column(parse(query))
+
+
+def column(node: tuple) -> Column:
+    """The predicate of a tree that parse() gave."""
+    if node[0] == "term":
+        return _term(node[1])
+    if node[0] == "not":
+        return ~F.coalesce(column(node[1]), F.lit(False))
+    out = F.lit(node[0] == "and")
+    for part in map(column, node[1:]):
+        out = out & part if node[0] == "and" else out | part
+    return out
+
+
+_NAMES = ("from", "to", "list", "lang", "since", "until", "filter", "min_retweets", "min_faves", "min_replies")
+
+
+def is_operator(token: str) -> bool:
+    """Whether a term asks for something else than words of the text."""
+    name, colon, value = token.partition(":")
+    return bool(colon and value and name in _NAMES) or (token[0] in "#$@" and len(token) > 1)
+
+
 _KINDS = {"links": "has_links", "images": "has_images", "videos": "has_videos", "media": "has_media", "replies": "is_reply", "nativeretweets": "is_retweet", "retweets": "is_retweet"}
 
 
 def _term(token: str) -> Column:
-    if token.startswith("-") and len(token) > 1:
-        return ~F.coalesce(_term(token[1:]), F.lit(False))
     name, colon, value = token.partition(":")
     if colon and value and not token.startswith('"'):
         if name in ("from", "to"):
@@ -141,8 +168,17 @@ def pruned(history: DataFrame, group: str, order: list[Column], keep: int = 200)
 
 
 def ranked(findings: DataFrame, id_: str = "id") -> DataFrame:
-    """findings with rank_in_tier by total."""
-    return findings.withColumn("rank_in_tier", F.rank().over(Window.partitionBy("tier").orderBy(F.desc("total"))))
+    """findings with rank_in_tier by total, equals sharing a rank.
+
+    Totals are counted by tier and the counts summed up in order, range by
+    range, so no task holds a whole tier.
+    """
+    counts = findings.groupBy("tier", "total").agg(F.count(F.lit(1)).alias("_n"))
+    upto = running(counts.withColumn("_less", -F.col("total")), "tier", ["_less"], "_n", "_upto")
+    # a total that very many share has one row here: Spark splits the other side of the join where it is skewed
+    ranks = upto.select(F.col("tier").alias("_tier"), F.col("total").alias("_total"), (F.col("_upto") - F.col("_n") + 1).alias("rank_in_tier"))
+    same = F.col("tier").eqNullSafe(F.col("_tier")) & F.col("total").eqNullSafe(F.col("_total"))
+    return findings.join(ranks, same).drop("_tier", "_total")
 
 
 def most_authoritative(findings: DataFrame, group: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.operators.lineage import cut
+from sievewright.operators.lineage import cut, release
 
 
 #: Up to so many open edges are settled by one task, in order.
@@ -31,13 +31,36 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
         linked = large.join(small_least, "v")
         small = linked.where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(small_least.select("v", F.col("m").alias("u"))).distinct()
-        following = cut(small)
-        same = following.count() == e.count() and following.exceptAll(e).isEmpty()
-        e = following
-        if same:
+        former, e = e, cut(small)
+        release(former)
+        # stars around smallest nodes: no node is both someone's larger and someone's smaller neighbour
+        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
 
 
+def grown(stored: DataFrame, edges: DataFrame) -> DataFrame:
+    """What new edges (a, b) change of stored components: (node, component) of nodes that are new or have another one now.
+
+    Edges become edges between components, and only those components that
+    meet are worked on; rows of stored that are not in the result stay as they
+    are. With stored from components() over some edges, both together are
+    components() over all.
+    """
+    known = stored.select("node", "component")
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(known, "node", "left")
+    ends = cut(ends.select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("fresh")))
+    x, y = (ends.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    met = components(edges.select("a", "b").where("a <> b").join(x, "a").join(y, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    met = cut(met.select(F.col("node").alias("component"), F.col("component").alias("now")))
+    fresh = ends.where("fresh").select("node", "component").join(met, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    # a node that meets nobody, by an edge to itself, is in no component, as in components()
+    alone = edges.select(F.col("a").alias("node")).where("a = b").distinct()
+    linked = edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    fresh = fresh.join(alone.join(linked, "node", "left_anti"), "node", "left_anti")
+    moved = known.join(met.where("component <> now"), "component").select("node", F.col("now").alias("component"))
+    return moved.unionByName(fresh)
+
+
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges sorted by (b, a): the nodes b that some a which is no duplicate itself makes one, and the first such a."""
     gone: set[int] = set()

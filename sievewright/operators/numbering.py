@@ -28,3 +28,19 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with each row's place, from 0, in the given order."""
     group = "_all"
     return with_slots(df.withColumn(group, F.lit(0)), group, order, name).drop(group)
+
+
+def running(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value over the rows of its group up to each row, in an order that tells all rows of a group apart.
+
+    Rows are dealt into ranges of the order; only the sums of group and range
+    are added up by group, so no task holds a whole group.
+    """
+    part = "_range"
+    ranged = cut(df.repartitionByRange(*order, group).withColumn(part, F.spark_partition_id()))
+    sums = ranged.groupBy(group, part).agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col(group).alias("_group"), F.col(part).alias("_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy(group, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(part) == F.col("_part"))
+    return ranged.withColumn(name, within).join(offsets, same).withColumn(name, F.col(name) + F.col("_before")).drop(part, "_group", "_part", "_before")

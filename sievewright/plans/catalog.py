@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import content, planning, text, urls
 from sievewright.functions.reputation import DOMAINS, ENDINGS, credibility
-from sievewright.operators import analyze, daily, feed, pairs, quality, recursion, report, secret_rules, vectors
+from sievewright.operators import analyze, daily, feed, pairs, post_index, quality, recursion, report, secret_rules, vectors
 from sievewright.operators.graph import components
 from sievewright.operators.lineage import checkpoint_dir, cut
 from sievewright.sources import memory, state, tables
@@ -129,10 +129,15 @@ def url_credibility(spark, d):
     return table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), credibility(urls.host(F.col("url"))).alias("credibility"))
 
 
-@query(f"SELECT normalized, min(page_id) AS page_id FROM (SELECT page_id, {_NORMAL} AS normalized FROM pages) GROUP BY normalized")
+@query(f"""WITH n AS (SELECT page_id, {_NORMAL} AS normalized FROM pages) SELECT normalized, min(page_id) AS page_id FROM n
+ WHERE page_id > (SELECT median(page_id) FROM pages) AND normalized NOT IN (SELECT normalized FROM n WHERE page_id <= (SELECT median(page_id) FROM pages)) GROUP BY normalized""")
 def url_dedup(spark, d):
+    """The first half of the pages, by id, has been visited; of the others the first of each URL that is not among them."""
     rows = table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url")
-    return state.unseen_urls(spark.createDataFrame([], "normalized string"), rows).select("normalized", F.col("seq").alias("page_id"))
+    half = rows.agg(F.median("seq").alias("half"))  # one row
+    rows = rows.crossJoin(F.broadcast(half))
+    visited = rows.where("seq <= half").select(urls.normalise(F.col("url")).alias("normalized"))
+    return state.unseen_urls(visited, rows.where("seq > half").select("seq", "url")).select("normalized", F.col("seq").alias("page_id"))
 
 
 @query(r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
@@ -555,6 +560,23 @@ def post_search(spark, d):
     return tables.posts(spark, d).where(feed.search(_SEARCH)).select("post_id")
 
 
+_WORDS = r"(' ' || array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: lower(x)), ' ') || ' ')"
+
+
+@query(f"""WITH p AS (SELECT doc_id AS post_id, lang, {_WORDS} AS w, doc_id % (SELECT count(*) FROM customer) + 1 AS author FROM documents)
+SELECT post_id FROM p WHERE (contains(w, ' the and ') OR contains(w, ' en de ') OR contains(w, ' la ')) AND NOT contains(w, ' er ') AND author IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_mktsegment = 'MACHINERY')
+UNION SELECT post_id FROM p WHERE lang = 'fr' AND contains(w, ' es ') AND NOT contains(w, ' la ')""")
+def post_index_search(spark, d):
+    """Documents as posts by customers, through a positional index: phrases, OR, exclusion, lists of accounts and a language."""
+    n = table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))  # one row
+    posts = table(spark, d, "documents").crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("post_id"), "text", "lang", (F.col("doc_id") % F.col("n") + 1).cast("string").alias("author"))
+    members = table(spark, d, "customer").select(F.col("c_mktsegment").alias("list_id"), F.col("c_custkey").cast("string").alias("account"))
+    at = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    post_index.build(posts, at)
+    index = post_index.PostIndex(spark, at, posts, members)
+    return index.search('(("the and" OR "en de" OR la) -er (list:BUILDING OR list:MACHINERY)) OR (es -la lang:fr)')
+
+
 @query("SELECT event_id AS post_id FROM events ORDER BY ts DESC, event_id LIMIT 20")
 def latest_feed(spark, d):
     return feed.latest(tables.posts(spark, d)).select("post_id")
@@ -695,12 +717,15 @@ def section_quality(spark, d):
 
 # ---- streams, read to their end ----
 def _finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream over present files has written when all are read."""
+    """What a stream over present files has written when all are read: appended rows, or the last batch's whole result."""
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    at = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    written = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        written.format("parquet").start(f"{at}/out").awaitTermination()
+    else:
+        written.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
 @query(f"SELECT DISTINCT {_NORMAL} AS normalized FROM pages")
@@ -719,12 +744,13 @@ def stream_window_counts(spark, d):
 
 @query(f"WITH RECURSIVE {_QUERIES}, {_terms_sql('queries')}, {_cosine_sql('counts', 'n', 0.75)}, {_leaders_sql('queries', 'pairs')} SELECT seq FROM queries WHERE seq NOT IN (SELECT node FROM dup)")
 def stream_query_log(spark, d):
-    """User turns through the ingest of queries in two batches by seq; the accepted ones."""
+    """User turns through the stream of queries, five batches in order of seq; the accepted ones."""
     rows = cut(tables.queries_log(spark, d))
     at = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    half = rows.approxQuantile("seq", [0.5], 0.0)[0]
-    for k, part in enumerate((rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half))):
-        part.write.parquet(f"{at}/in/{k}")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in/{k}")
-        ingest.log_queries(stream, f"{at}/accepted", f"{at}/checkpoint-{k}").awaitTermination()
-    return spark.read.parquet(f"{at}/accepted").select("seq")
+    ends = rows.approxQuantile("seq", [0.2, 0.4, 0.6, 0.8], 0.0)
+    for lo, hi in zip([None, *ends], [*ends, None]):  # a file a batch, taken in the order of their times
+        part = rows if lo is None else rows.where(F.col("seq") > lo)
+        (part if hi is None else part.where(F.col("seq") <= hi)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    ingest.log_queries(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/log/*").where("duplicate_of IS NULL").select("seq")

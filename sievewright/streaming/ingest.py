@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from sievewright.functions.text import filtered_tokens
 from sievewright.functions.urls import normalise
-from sievewright.operators.analyze import query_dedup
+from sievewright.operators.analyze import QUERY
+from sievewright.operators.graph import leaders
+from sievewright.operators.lineage import cut, release
 
 
 def dedup_urls(urls: DataFrame) -> DataFrame:
@@ -25,18 +34,113 @@ def windowed_counts(posts: DataFrame, time: str = "created", delay: str = "1 hou
     return posts.withWatermark(time, delay).groupBy(F.window(time, width), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("engagement").alias("engagement")).select(F.col("window.start").alias("start"), "kind", "n", "engagement")
 
 
-def log_queries(queries: DataFrame, accepted_path: str, checkpoint: str) -> StreamingQuery:
-    """Append to accepted_path the queries (seq, text) that no accepted one before is like; batches arrive in order of seq."""
+_WORDS = "seq long, term long, place int, t binary, n binary"
+
+
+def _looked_up(least: float):
+    """A row for each term in front of a query's vector (counts; long terms first, equals by hash, so the order needs no statistics)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for seq, words in zip(batch.column("seq").to_pylist(), batch.column("words").to_pylist()):
+                counts = Counter((-w["size"], w["hash"]) for w in words)
+                terms = sorted(counts)
+                n = np.array([counts[t] for t in terms], np.int64)
+                tail = np.cumsum((n * n)[::-1])[::-1]
+                front = int((tail >= (least * least - 1e-9) * tail[0]).sum()) if len(n) else 0
+                t, packed = np.array([h for _, h in terms], np.int64), n.tobytes()
+                # a query without terms is told of once, under no term
+                out += [(seq, int(t[k]), k, t.tobytes(), packed) for k in range(front)] or [(seq, None, 0, b"", b"")]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["seq", "term", "place", "t", "n"])
+
+    return run
+
+
+class Alike(StatefulProcessor):
+    """For each term, the queries that have it in front; arriving ones meet these, and one another in order."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def init(self, handle) -> None:
+        self.known = handle.getListState("known", "seq long, t binary, n binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(rows).sort_values("seq")
+        alone = fresh[fresh["place"] == 0]["seq"]
+        out = [pd.DataFrame({"seq": alone.astype("int64"), "earlier": pd.array([None] * len(alone), "Int64")})]
+        if not pd.isna(key[0]):
+            held = [(s, np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for s, t, n in self.known.get()]
+            seen = {s for s, _, _ in held}
+            news, pairs = [], []
+            for seq, t, n in zip(fresh["seq"], fresh["t"], fresh["n"]):
+                if seq in seen:
+                    continue
+                seen.add(seq)
+                own, count = np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)
+                pairs += [(seq, s) for s in self._near(held, own, count)]
+                held.append((int(seq), own, count))
+                news.append((int(seq), t, n))
+            if news:
+                self.known.appendList(news)
+            if pairs:
+                out.append(pd.DataFrame(pairs, columns=["seq", "earlier"]).astype({"seq": "int64", "earlier": "Int64"}))
+        yield pd.concat(out)
 
-    def step(batch: DataFrame, _: int) -> None:
+    def _near(self, held: list[tuple], own: np.ndarray, count: np.ndarray) -> list[int]:
+        """Which of the held queries have cosine `least` or more with this one."""
+        if not held:
+            return []
+        sizes = [len(t) for _, t, _ in held]
+        t, n = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        row = np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(own)
+        at = order[np.minimum(np.searchsorted(own[order], t), len(own) - 1)]
+        dot = np.bincount(row, np.where(own[at] == t, count[at], 0) * n, len(held))
+        norm = np.sqrt(np.bincount(row, n * n, len(held)) * (count * count).sum())
+        return [held[i][0] for i in np.flatnonzero(dot >= (self.least - 1e-9) * norm).tolist()]
+
+    def close(self) -> None:
+        pass
+
+
+def alike(queries: DataFrame, least: float = QUERY) -> DataFrame:
+    """Of a stream of queries (seq, text): seq and each earlier one that it is alike; earlier is null in one row of every query.
+
+    A query is read once: its vector stays in the state, under the terms that
+    anything alike must share one of. There is no watermark, since what was
+    asked once is asked for good; the state grows with the queries. Within a
+    batch, order is that of seq; batches are taken in the order that they come.
+    """
+    spark = queries.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    words = F.transform(filtered_tokens(F.coalesce("text", F.lit(""))), lambda t: F.struct(F.length(t).alias("size"), F.xxhash64(t).alias("hash")))
+    rows = queries.select("seq", words.alias("words")).mapInArrow(_looked_up(least), _WORDS)
+    return rows.groupBy("term").transformWithStateInPandas(Alike(least), "seq long, earlier long", "Append", "None")
+
+
+def log_queries(queries: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
+    """Decide on each query (seq, text) of a stream: log_path gets seq and duplicate_of, which is null for accepted ones.
+
+    A query is a duplicate of the first accepted one before it that it is
+    alike. A batch's decisions are one folder, written over if the batch is
+    run again, so a restart decides nothing twice. Of former batches only the
+    duplicates' numbers are read, and those only for queries that something
+    in the batch is alike.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(accepted_path)
-        except Exception:  # nothing is accepted yet
-            done = batch.limit(0)
-        rows = done.select("seq", "text", F.lit(True).alias("old")).unionByName(batch.select("seq", "text", F.lit(False).alias("old")))
-        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("old")))).where("_r = 1").drop("_r")
-        fresh = query_dedup(rows).where("NOT old AND NOT is_duplicate").select("seq", "text")
-        fresh.write.mode("append").parquet(accepted_path)
-
-    return queries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        found = cut(batch.dropDuplicates(["seq", "earlier"]))
+        edges = found.where("earlier IS NOT NULL").select(F.col("earlier").alias("a"), F.col("seq").alias("b"))
+        if number > 0:
+            # all former batches have written a folder by now, so a failure to read is a failure
+            former = spark.read.schema("seq long, duplicate_of long").parquet(*(f"{log_path}/{k}" for k in range(number)))
+            edges = edges.join(former.where("duplicate_of IS NOT NULL").select(F.col("seq").alias("a")), "a", "left_anti")
+        settled = leaders(cut(edges.select("a", "b"))).withColumnRenamed("node", "seq")
+        found.select("seq").distinct().join(settled, "seq", "left").write.mode("overwrite").parquet(f"{log_path}/{number}")
+        release(found)
+
+    return alike(queries).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
