@@ -347,10 +347,97 @@ def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:
     return found.where("match < seq")
 
 
+def _least_shared(size: np.ndarray, least: float) -> np.ndarray:
+    """How many keywords two facts share at least, the shorter of which has `size`."""
+    return np.maximum(np.ceil(least * size - _SLACK).astype(np.int64), 1)
+
+
+def _fronts(least: float) -> Callable:
+    """A row for each keyword that a fact is looked up by, and each size that the shorter list may have.
+
+    Of a list of n, rare keywords first, whose partner shares r at least, one
+    of the shared ones is among the first n - r + 1. r is that of the shorter
+    list, so a longer list has a front for every size of a shorter one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (t, bounds), (df, _) = (_flat(batch.column(c)) for c in ("t", "df"))
+            out: dict[str, list] = {c: [] for c in ("t", "size", "seq", "terms")}
+            for seq, x, y in zip(batch.column("seq").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = t[x:y][np.lexsort((t[x:y], df[x:y]))]
+                fronts = len(own) - _least_shared(np.arange(1, len(own) + 1), least) + 1
+                packed = own.tobytes()
+                for size, front in enumerate(fronts.tolist(), start=1):
+                    out["t"] += own[:front].tolist()
+                    out["size"] += [size] * front
+                    out["seq"] += [seq] * front
+                    out["terms"] += [packed] * front
+            yield pa.RecordBatch.from_arrays([pa.array(out["t"], pa.int64()), pa.array(out["size"], pa.int32()), pa.array(out["seq"], pa.int64()), pa.array(out["terms"], pa.binary())], names=list(out))
+
+    return run
+
+
+def _overlaps(least: float) -> Callable:
+    """a < b, shared, na, nb of one block, or two, of a front keyword and a shorter size; rows come sorted by these."""
+
+    def met(key: tuple, rows: list[tuple]) -> pa.RecordBatch | None:
+        seq, block, packed = zip(*rows)
+        lists = [np.frombuffer(p, np.int64) for p in packed]
+        sizes = np.array(list(map(len, lists)))
+        seq, block = np.array(seq, np.int64), np.array(block)
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block != block.min())
+        second = second if len(second) else first
+        known, number = np.unique(np.concatenate(lists), return_inverse=True)
+        has = np.zeros((len(rows), len(known)), np.float32)
+        has[np.repeat(np.arange(len(rows)), sizes), number] = 1
+        shared = has[first] @ has[second].T
+        shorter = np.minimum.outer(sizes[first], sizes[second])
+        x, y = np.nonzero((shorter == key[1]) & (shared >= least * shorter - _SLACK))
+        keep = seq[first[x]] < seq[second[y]] if second is first else seq[first[x]] != seq[second[y]]
+        x, y = x[keep], y[keep]
+        n = shared[x, y].astype(np.int64)
+        x, y = first[x], second[y]
+        # only at the first keyword that both have, in the order that all lists are in
+        sets = {i: frozenset(lists[i].tolist()) for i in {*x.tolist(), *y.tolist()}}
+        fresh = np.array([next(k for k in lists[i].tolist() if k in sets[j]) == key[0] for i, j in zip(x.tolist(), y.tolist())], bool)
+        x, y, n = x[fresh], y[fresh], n[fresh]
+        swap = seq[x] > seq[y]
+        a, b = np.where(swap, y, x), np.where(swap, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(seq[a]), pa.array(seq[b]), pa.array(n), pa.array(sizes[a]), pa.array(sizes[b])], names=["a", "b", "shared", "na", "nb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("t", "size", "i", "j"))))
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("seq", "block", "terms")))):
+                if k != key:
+                    if len(held) > 1:
+                        yield met(key, held)
+                    key, held = k, []
+                held.append(row)
+        if len(held) > 1:
+            yield met(key, held)
+
+    return run
+
+
 def overlap_edges(keywords: DataFrame, least: float = 0.3) -> DataFrame:
-    """a < b, shared, overlap: facts whose keywords (seq, term) overlap by `least` of the shorter list."""
-    sizes = keywords.groupBy("seq").agg(F.count(F.lit(1)).alias("n"))
-    rows = keywords.join(sizes, "seq").select("seq", "term", "n")
-    x, y = (rows.select(F.col("seq").alias(s), "term", F.col("n").alias(f"n{s}")) for s in "ab")
-    shared = x.join(y, "term").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.withColumn("overlap", F.col("shared") / F.least("na", "nb")).where(F.col("overlap") >= least).select("a", "b", "shared", "overlap")
+    """a < b, shared, overlap: facts whose keywords (seq, term; each once) overlap by `least` of the shorter list.
+
+    Facts meet by their rare keywords only (see _fronts); a keyword that is in
+    front of very many is met in blocks of BLOCK facts, every two blocks by
+    themselves.
+    """
+    told = cut(keywords.select("seq", F.xxhash64("term").alias("t")).distinct())
+    df = told.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    lists = told.join(df, "t").groupBy("seq").agg(F.collect_list(F.struct("t", "df")).alias("v")).select("seq", "v.t", "v.df")
+    fronts = cut(lists.mapInArrow(_fronts(least), "t long, size int, seq long, terms binary"))
+    many = cut(fronts.groupBy("t", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", "size", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = fronts.join(_sent(many), ["t", "size"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("t", "size", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "seq", "terms")
+    keys = ["t", "size", "i", "j"]
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_overlaps(least), "a long, b long, shared long, na long, nb long")
+    return found.select("a", "b", "shared", (F.col("shared") / F.least("na", "nb")).alias("overlap"))
