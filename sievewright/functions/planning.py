@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,12 @@ def queries_per_agent(breadth_: Column) -> Column:
     return F.greatest(F.lit(2), F.ceil(breadth_ / agents(breadth_)).cast("int"))
 
 
+def with_settings(rows: DataFrame, mode: str, depth: str, breadth_: str) -> DataFrame:
+    """rows with the settings of their mode, and depth and breadth as asked for, by the mode where that is 0 or null."""
+    named = with_mode(rows, mode)
+    return named.withColumns({depth: or_mode(F.col(depth), F.col("max_depth")), breadth_: or_mode(F.col(breadth_), F.col("base_breadth"))})
+
+
 def or_mode(given: Column, of_mode: Column) -> Column:
     """0 and null mean the mode's own value."""
     return F.coalesce(F.nullif(given, F.lit(0)), of_mode)
@@ -57,7 +65,8 @@ def decision(depth: Column, max_depth: Column, unused: Column, now: Column, befo
 
 
 def total_score(impact: Column, novelty: Column, credibility: Column, timeliness: Column, relevance: Column) -> Column:
-    return 0.3 * impact + 0.25 * novelty + 0.2 * credibility + 0.15 * timeliness + 0.1 * relevance
+    scores = dict(zip(WEIGHTS, (impact, novelty, credibility, timeliness, relevance)))
+    return reduce(lambda x, y: x + y, (weight * scores[name] for name, weight in WEIGHTS.items()))
 
 
 def timeliness(day: Column, today: Column) -> Column:

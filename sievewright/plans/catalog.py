@@ -193,21 +193,51 @@ def secret_gate(spark, d):
     return secret_rules.gate(table(spark, d, "documents"))
 
 
-@query("SELECT * FROM (VALUES ('quick', 1, 3, 5), ('standard', 3, 4, 10), ('deep', 5, 5, 15)) m(mode, max_depth, base_breadth, min_sources)")
+@query("""SELECT mode, max_depth, base_breadth, min_sources, count(doc_id) AS documents FROM (VALUES ('quick', 1, 3, 5, 0), ('standard', 3, 4, 10, NULL), ('deep', 5, 5, 15, 1)) m(mode, max_depth, base_breadth, min_sources, q)
+ LEFT JOIN (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id)) ON quality IS NOT DISTINCT FROM q GROUP BY ALL""")
 def mode_config(spark, d):
-    return planning.modes(spark).select("mode", "max_depth", "base_breadth", "min_sources")
+    """The modes and how many documents ask for each, by their quality label."""
+    named = F.when(F.col("quality") == 0, "quick").when(F.col("quality") == 1, "deep").otherwise("standard")
+    asked = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").groupBy(named.alias("mode")).agg(F.count(F.lit(1)).alias("documents"))
+    return planning.modes(spark).join(asked, "mode", "left").select("mode", "max_depth", "base_breadth", "min_sources", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-@query("SELECT base::INT AS base, depth::INT AS depth, greatest(2, floor(base * pow(0.7, depth))::INT) AS breadth FROM range(1, 21) b(base), range(0, 10) t(depth)")
+_TURNS = "(SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS turns FROM conversations)"
+
+
+def _turns(spark, d):
+    """Every turn with the number of its conversation's, which is counted before the rows meet."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn")
+    return rows.join(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")), "conv_id")
+
+
+@query(f"SELECT conv_id, turn, greatest(2, floor(turns * pow(0.7, turn))::INT) AS breadth FROM {_TURNS}")
 def breadth_schedule(spark, d):
-    rows = spark.range(1, 21).select(F.col("id").cast("int").alias("base"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("depth"))
-    return rows.withColumn("breadth", planning.breadth(F.col("base"), F.col("depth")))
+    """Every turn as a depth of its conversation, whose number of turns is the breadth at the first."""
+    return _turns(spark, d).select("conv_id", "turn", planning.breadth(F.col("turns"), F.col("turn")).alias("breadth"))
 
 
-@query("SELECT b::INT AS breadth, greatest(1, b // 2)::INT AS agents, greatest(2, ceil(b / greatest(1, b // 2)))::INT AS queries_per_agent FROM range(1, 41) t(b)")
+@query(f"SELECT conv_id, turn, breadth, greatest(1, breadth // 2)::INT AS agents, greatest(2, ceil(breadth / greatest(1, breadth // 2)))::INT AS queries_per_agent FROM (SELECT conv_id, turn, greatest(2, floor((turns + turn) * pow(0.7, turn))::INT) AS breadth FROM {_TURNS})")
 def query_allocation(spark, d):
-    rows = spark.range(1, 41).select(F.col("id").cast("int").alias("breadth"))
-    return rows.select("breadth", planning.agents(F.col("breadth")).alias("agents"), planning.queries_per_agent(F.col("breadth")).alias("queries_per_agent"))
+    """Agents and their queries at every turn, by the breadth there."""
+    rows = _turns(spark, d).select("conv_id", "turn", planning.breadth(F.col("turns") + F.col("turn"), F.col("turn")).alias("breadth"))
+    return rows.withColumns({"agents": planning.agents(F.col("breadth")), "queries_per_agent": planning.queries_per_agent(F.col("breadth"))})
+
+
+@query("""SELECT conv_id, turn, CASE role WHEN 'system' THEN 'deep' WHEN 'assistant' THEN 'quick' ELSE 'standard' END AS mode, CASE WHEN turn % 3 > 0 THEN turn % 3 ELSE CASE role WHEN 'system' THEN 5 WHEN 'assistant' THEN 1 ELSE 3 END END::INT AS depth,
+ CASE WHEN turn % 4 > 0 THEN turn % 4 ELSE CASE role WHEN 'system' THEN 5 WHEN 'assistant' THEN 3 ELSE 4 END END::INT AS breadth FROM conversations""")
+def run_settings(spark, d):
+    """Every turn as a run that asks for a depth and a breadth, 0 being what its mode has."""
+    named = F.when(F.col("role") == "system", "deep").when(F.col("role") == "assistant", "quick").when(F.col("role") == "user", "standard")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", named.alias("mode"), (F.col("turn") % 3).cast("int").alias("depth"), (F.col("turn") % 4).cast("int").alias("breadth"))
+    return planning.with_settings(rows, "mode", "depth", "breadth").select("conv_id", "turn", "mode", "depth", "breadth")
+
+
+@query(r"""SELECT conv_id, turn, 'https://example.org/search?q=' || replace(replace(replace(replace(url_encode(text), '%20', '+'), '~', '%7E'), '%2A', '*'), '%2a', '*') || '&src=typed' AS url FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+def search_urls(spark, d):
+    """Every user turn as a search."""
+    rows = table(spark, d, "conversations").where("role = 'user' AND text IS NOT NULL")
+    return rows.select("conv_id", "turn", urls.search_url("https://example.org/search", F.col("text"), src="typed").alias("url"))
 
 
 # ---- vectors ----
@@ -417,13 +447,94 @@ def range_check(spark, d):
     return _reports(spark, d).select("id", F.size(F.regexp_extract_all("text", F.lit(report.RANGE), F.lit(0))).alias("ranges"))
 
 
-@query()
+@query(rf"""WITH {_SOURCE_INDEX}, {_REPORTS}, n AS (SELECT count(*)::INT AS n FROM sources),
+c AS (SELECT id, text, list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT)) AS c FROM reports),
+bad AS (SELECT id, count(DISTINCT u) AS bad FROM (SELECT id, unnest(regexp_extract_all(text, 'https?://[^\s)]+')) AS u FROM reports) WHERE u NOT IN (SELECT url FROM pages) GROUP BY id),
+t AS (SELECT id, len(list_filter(c, lambda x: x < 1 OR x > n))::INT AS missing_citations, coalesce(bad, 0) AS unvisited_urls, len(regexp_extract_all(text, '(?i)({'|'.join(report.PLACEHOLDERS)})'))::INT AS placeholders,
+ len(regexp_extract_all(text, '\[\d+-\d+\]'))::INT AS ranges, len(c)::INT AS cited_sources, n AS total_sources, (n - len(list_filter(c, lambda x: x >= 1 AND x <= n)))::INT AS unused_sources, coalesce(list_max(c), 0) = len(c) AS gapless FROM c LEFT JOIN bad USING (id), n)
+SELECT *, missing_citations + unvisited_urls + placeholders + ranges = 0 AS valid FROM t""")
 def report_validation(spark, d):
     pages = table(spark, d, "pages")
     rows = report.source_index(tables.facts(spark, d))
     return report.validate(_reports(spark, d), rows, pages)
 
 
+_FULL_REPORTS = """full_reports AS (SELECT page_id AS id, '## 摘要' || chr(10) || CASE WHEN page_id % 4 = 0 THEN '<!-- 200-300 -->' ELSE 'All of ' || url END || chr(10) || chr(10) || '## 1. A' || chr(10) || '- x [1] [2]' || CASE WHEN page_id % 7 = 0 THEN ' [4]' ELSE '' END || chr(10)
+ || '## 2. B' || chr(10) || CASE WHEN page_id % 3 = 0 THEN '' ELSE '- y [' || (page_id % 16 + 1) || ']' END || chr(10) || '## 信息来源' || chr(10) || url || CASE page_id % 11 WHEN 0 THEN ' [2-3]' WHEN 1 THEN ' tbd' WHEN 2 THEN ' due to length' WHEN 3 THEN 'x' ELSE '' END AS text FROM pages)"""
+
+
+def _full_reports(spark, d):
+    i, nl, url = F.col("page_id"), F.lit("\n"), F.col("url")
+    tail = F.when(i % 11 == 0, " [2-3]").when(i % 11 == 1, " tbd").when(i % 11 == 2, " due to length").when(i % 11 == 3, "x").otherwise("")
+    summary = F.when(i % 4 == 0, "<!-- 200-300 -->").otherwise(F.concat(F.lit("All of "), url))
+    second = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("- y ["), (i % 16 + 1).cast("string"), F.lit("]")))
+    text = F.concat(F.lit("## 摘要\n"), summary, F.lit("\n\n## 1. A\n- x [1] [2]"), F.when(i % 7 == 0, " [4]").otherwise(""), F.lit("\n## 2. B\n"), second, F.lit("\n## 信息来源\n"), url, tail)
+    return table(spark, d, "pages").select(i.alias("id"), text.alias("text"))
+
+
+def _nine_sql() -> str:
+    cut_short, rest = "|".join(report.CUT_SHORT), "|".join(p for p in report.PLACEHOLDERS if p not in report.CUT_SHORT)
+    good = (
+        "coalesce(list_max(c), 0) = len(c) AND coalesce(list_min(c), 1) >= 1", "len(list_filter(c, lambda x: x < 1 OR x > n)) = 0", r"NOT regexp_matches(text, '\[\d+-\d+\]')", f"NOT regexp_matches(text, '(?i)({rest})')", f"NOT regexp_matches(text, '(?i)({cut_short})')",
+        "id NOT IN (SELECT id FROM bad)", "len(c) >= 5", r"len(list_filter(parts, lambda x: regexp_matches(x, '^\d+\. ') AND NOT regexp_matches(x, '(?s)\n.*\S'))) = 0",
+        r"len(list_filter(parts, lambda x: starts_with(x, '摘要'))) > 0 AND len(list_filter(parts, lambda x: starts_with(x, '摘要') AND NOT regexp_matches(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'), '(?s)\n.*\S'))) = 0",
+    )
+    each = " UNION ALL ".join(f"SELECT id, '{name}' AS check, {g} AS good FROM c" for name, g in zip(quality.CHECKS, good))
+    return rf"""WITH {_SOURCE_INDEX}, {_FULL_REPORTS},
+bad AS (SELECT id FROM (SELECT id, unnest(regexp_extract_all(text, 'https?://[^\s)]+')) AS u FROM full_reports) WHERE u NOT IN (SELECT url FROM pages)),
+c AS (SELECT id, text, list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: x::INT)) AS c, regexp_split_to_array(text, '(?m)^## ') AS parts, (SELECT count(*) FROM sources) AS n FROM full_reports)
+SELECT * FROM ({each})"""
+
+
+@query(_nine_sql())
+def nine_checks(spark, d):
+    """The nine checks of reports over the pages, all from tables."""
+    return quality.nine_checks(_full_reports(spark, d), report.source_index(tables.facts(spark, d)), table(spark, d, "pages"), "quick")
+
+
+def _brief_sql() -> str:
+    head = f"(SELECT count(*) FROM pages) || ' 个来源 | ' || (SELECT count(*) FROM documents) || ' 条有效发现'"
+    lines = ["'# 研究简报：documents'", "''", f"'> 访问 ' || {head}", "''", "'## 主要发现'"]
+    heads = " UNION ALL ".join(f"SELECT 'header', 0, {i}, {x}" for i, x in enumerate(lines))
+    return f"""WITH {_SOURCE_INDEX}, shown AS (SELECT seq, text, index, row_number() OVER (ORDER BY CASE credibility WHEN 'HIGH' THEN 0 WHEN 'LOW' THEN 2 ELSE 1 END, seq) AS r FROM facts LEFT JOIN sources ON url = source_url)
+SELECT section, part::INT AS part, ord::BIGINT AS ord, line FROM (SELECT * FROM ({heads}) t(section, part, ord, line) UNION ALL
+ SELECT 'cluster', 1, r, '- ' || coalesce(text, '') || CASE WHEN index IS NULL THEN '' ELSE ' [' || index || ']' END FROM shown WHERE r <= 15 UNION ALL SELECT 'sources', 0, 0, '## 来源' UNION ALL
+ SELECT 'sources', 0, index, '[' || index || '] [' || coalesce(title, '') || '](' || url || ') (' || credibility_label || ')' FROM sources)"""
+
+
+@query(_brief_sql())
+def brief_lines(spark, d):
+    """The brief report over all facts."""
+    facts = state.with_credibility(tables.facts(spark, d))
+    config = {"query": "documents", "visited": table(spark, d, "pages").count(), "active": table(spark, d, "documents").count()}
+    return report.brief_lines(facts, report.source_index(facts), config)
+
+
+@query(f"""WITH {_FACTS}, {_credibility_sql("(SELECT source_url AS url FROM facts WHERE source_url IS NOT NULL)")},
+support AS (SELECT DISTINCT sha256(text) AS claim, url, level AS kind, 2000 + regexp_extract(url, '/([0-9]+)', 1)::INT % 25 AS year FROM facts JOIN cred ON url = source_url WHERE text IS NOT NULL),
+k AS (SELECT claim, count(*) AS n_kinds, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS kind_entropy FROM (SELECT claim, kind, count(*) AS n FROM support GROUP BY claim, kind) GROUP BY claim),
+y AS (SELECT claim, count(year) AS n_years, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS year_entropy FROM (SELECT claim, year, count(*) AS n FROM support GROUP BY claim, year) GROUP BY claim)
+SELECT claim, n_sources, n_kinds, n_years, round(kind_entropy, 6) AS kind_entropy, round(year_entropy, 6) AS year_entropy, n_sources >= 2 AS enough, n_kinds >= 2 AND n_years >= 2 AS diverse
+FROM (SELECT claim, count(DISTINCT url) AS n_sources FROM support GROUP BY claim) JOIN k USING (claim) JOIN y USING (claim)""")
+def claim_diversity(spark, d):
+    """Equal texts as one claim, and the pages that they come from: how many, and how evenly spread over kinds and years."""
+    facts = state.with_credibility(tables.facts(spark, d)).where("text IS NOT NULL AND source_url IS NOT NULL")
+    year = 2000 + F.regexp_extract("source_url", "/([0-9]+)", 1).try_cast("int") % 25
+    support = facts.select(F.sha2("text", 256).alias("claim"), F.col("source_url").alias("url"), F.col("credibility").alias("kind"), year.alias("year"))
+    return quality.claim_diversity(support, "standard").withColumns({c: F.round(c, 6) for c in ("kind_entropy", "year_entropy")})
+
+
+@query(f"""{_DEDUP}, {_FACTS}, {_credibility_sql("(SELECT source_url AS url FROM facts WHERE source_url IS NOT NULL)")},
+g AS (SELECT facts.seq, coalesce(duplicate_of, facts.seq) AS same, coalesce(level, 'MEDIUM') AS level FROM facts LEFT JOIN dup ON node = facts.seq LEFT JOIN cred ON url = source_url)
+SELECT same AS "group", arg_min(seq, (CASE level WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, seq)) AS seq, min(level) FILTER (level = 'HIGH') IS NOT NULL AS high, count(*) AS members FROM g GROUP BY same""")
+def most_authoritative(spark, d):
+    """Of each group of facts that say the same, the one of the best source."""
+    flagged = analyze.deduplicate(state.with_credibility(tables.facts(spark, d))).withColumn("group", F.coalesce("duplicate_of", "seq"))
+    rows = cut(flagged.select("seq", "group", "credibility"))
+    best = feed.most_authoritative(rows, "group").select("group", "seq", (F.col("credibility") == "HIGH").alias("high"))
+    return best.join(rows.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "group")
+
+
 @query()
 def report_lines(spark, d):
     """The comprehensive report over active facts by cluster, with their conflicts."""
@@ -445,6 +556,16 @@ def stats(spark, d):
     return state.stats(table(spark, d, "documents"), table(spark, d, "pages"), tables.queries_log(spark, d), follow)
 
 
+@query("""SELECT (SELECT count(*) FROM documents) AS learnings, (SELECT count(*) FROM pages) AS urls, (SELECT count(*) FROM conversations WHERE role = 'user') AS queries, (SELECT count(*) FROM conversations WHERE role <> 'user') AS followups, (SELECT count(*) FROM conversations WHERE role <> 'user' AND turn % 2 = 0) AS unused_followups,
+ (SELECT count(*) FROM labels) > 0 AS has_analysis, 'standard' AS mode, 3 AS max_depth, 4 AS base_breadth, (SELECT arg_max((user_id % 4)::INT, event_id) FROM events) AS current_depth, (SELECT arg_max(event_type, event_id) FROM events) AS status""")
+def run_stats(spark, d):
+    """All that a run says of itself: counts, whether it is analysed, its settings, and the latest progress (events)."""
+    follow = table(spark, d, "conversations").where("role <> 'user'").withColumn("used", F.col("turn") % 2 == 1)
+    config = planning.modes(spark).where(F.col("mode") == planning.DEFAULT_MODE).select("mode", "max_depth", "base_breadth")
+    progress = table(spark, d, "events").select(F.col("event_id").alias("at"), (F.col("user_id") % 4).cast("int").alias("current_depth"), F.col("event_type").alias("status"))
+    return state.stats(table(spark, d, "documents"), table(spark, d, "pages"), tables.queries_log(spark, d), follow, table(spark, d, "labels"), config, progress)
+
+
 _FOLLOW = "SELECT conv_id * 10000 + turn AS seq, text AS question, CASE role WHEN 'system' THEN 'high' WHEN 'assistant' THEN 'low' ELSE 'medium' END AS priority, turn % 2 = 1 AS used FROM conversations"
 
 
