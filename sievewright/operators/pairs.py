@@ -7,7 +7,7 @@ vectors whose tails from a shared term on cannot multiply to it are told apart
 there. Vectors meet by front term, as sketches: weights summed up by hashed
 term, whose product is never below the cosine. Pairs that their sketches don't
 rule out are added up over all terms, once, where their first shared front term
-brings them together. A term in front of very many is met in blocks of BLOCK.
+brings them together. Short vectors meet as they are. A term in front of very many is met in blocks of BLOCK.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BLOCK = 1024
 SENT = 200_000
 #: Terms of several facts that are sent to every worker at most, 16 bytes each.
 TERMS_SENT = 2_000_000
+#: Vectors of so many terms on average travel whole, longer ones as sketches.
+SHORT = 64
 #: Least and most places of a sketch.
 PLACES = (64, 1024)
 
@@ -176,6 +178,74 @@ def _meet(least: float) -> Callable:
     return run
 
 
+_WHOLE = "t long, seq long, tail double, place int, terms binary, weights binary"
+
+
+def _whole_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each front term of a vector, with the tail there, its place and the whole vector."""
+    for batch in (b.slice(k, 2000) for b in batches for k in range(0, len(b), 2000)):
+        (t, bounds), (w, _), (tails, fronts) = (_flat(batch.column(c)) for c in ("t", "w", "tails"))
+        cuts = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        terms, weights = [t[x:y].tobytes() for x, y in cuts], [w[x:y].tobytes() for x, y in cuts]
+        of = np.repeat(np.arange(len(batch)), np.diff(fronts))
+        place = np.arange(len(tails)) - fronts[:-1][of]
+        good = np.flatnonzero(tails > 0)
+        of, place = of[good], place[good]
+        columns = [pa.array(t[bounds[:-1][of] + place]), batch.column("seq").take(pa.array(of)), pa.array(tails[good]), pa.array(place.astype(np.int32)), pa.array([terms[i] for i in of.tolist()], pa.binary()), pa.array([weights[i] for i in of.tolist()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["t", "seq", "tail", "place", "terms", "weights"])
+
+
+def _meet_whole(least: float, earliest: bool) -> Callable:
+    """a < b and sim of whole vectors in one block, or two, of a front term; with `earliest`, of each b the smallest a alone. Rows come sorted by term and blocks."""
+
+    def met(rows: list[tuple]) -> pa.RecordBatch:
+        seq, block, place, terms, weights = zip(*rows)
+        seq, block = np.array(seq, np.int64), np.array(block)
+        size = np.array([len(x) // 8 for x in terms])
+        known, number, many = np.unique(np.frombuffer(b"".join(terms), np.int64), return_inverse=True, return_counts=True)
+        # a term of one vector here adds to no product
+        column = np.cumsum(many > 1) - 1
+        row, shared = np.repeat(np.arange(len(rows)), size), many[number] > 1
+        m = np.zeros((len(rows), int(column[-1]) + 1))
+        m[row[shared], column[number[shared]]] = np.frombuffer(b"".join(weights), np.float64)[shared]
+        first = np.flatnonzero(block == block.min())
+        second = np.flatnonzero(block != block.min())
+        second = second if len(second) else first
+        sim = m[first] @ m[second].T
+        x, y = np.nonzero(sim >= least - _SLACK)
+        keep = seq[first[x]] < seq[second[y]] if second is first else seq[first[x]] != seq[second[y]]
+        x, y = x[keep], y[keep]
+        s, x, y = sim[x, y], first[x], second[y]
+        if earliest:
+            a, b = np.minimum(seq[x], seq[y]), np.maximum(seq[x], seq[y])
+            order = np.lexsort((a, b))
+            a, b, s = a[order], b[order], s[order]
+            head = np.ones(len(b), bool)
+            head[1:] = b[1:] != b[:-1]
+            a, b, s = a[head], b[head], s[head]
+        else:
+            # only at the first term that both have in front
+            fronts = {i: frozenset(memoryview(terms[i])[: 8 * place[i]].cast("q")) if place[i] else frozenset() for i in {*x.tolist(), *y.tolist()}}
+            fresh = np.array([fronts[i].isdisjoint(fronts[j]) for i, j in zip(x.tolist(), y.tolist())], bool)
+            a, b, s = np.minimum(seq[x], seq[y])[fresh], np.maximum(seq[x], seq[y])[fresh], s[fresh]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("t", "i", "j"))))
+            for k, row in zip(keys, zip(*(batch.column(c).to_pylist() for c in ("seq", "block", "place", "terms", "weights")))):
+                if k != key:
+                    if len(held) > 1:
+                        yield met(held)
+                    key, held = k, []
+                held.append(row)
+        if len(held) > 1:
+            yield met(held)
+
+    return run
+
+
 def _dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Dot products: the vector of a (b is null) comes ahead of those of all b that it meets."""
     places = 1 << 16
@@ -228,39 +298,59 @@ def _packed(told: DataFrame, least: float, facts: int | None) -> DataFrame:
     return lists.select("seq", "v.t", "v.n", "v.df").mapInArrow(_vectors(least, facts, None), _VECTORS)
 
 
-def cosine_classes(facts: DataFrame, least: float, by: str = "tfidf", among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _dealt(postings: DataFrame, many: DataFrame, columns: list[str]) -> DataFrame:
+    """Postings by term and blocks: a row once, but once for each block where its term has several (many: t, blocks)."""
+    rows = postings.join(_sent(many), "t", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "seq", *columns)
+    return rows.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j")
+
+
+def _classes(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the first vector of each class; seq, first of all)."""
+    firsts = packed.groupBy("kind").agg(F.min("seq").alias("first"))
+    members = cut(packed.select("seq", "kind").join(firsts, "kind").select("seq", "first"))
+    copies = cut(members.where("seq <> first").select("seq"))
+    return packed.join(_sent(copies), "seq", "left_anti").select("seq", "t", "w", "tails"), members
+
+
+def _crowded(vectors: DataFrame) -> DataFrame:
+    """t, blocks of terms in front of more than BLOCK vectors."""
+    listed = vectors.select(F.explode(F.arrays_zip("tails", F.slice("t", F.lit(1), F.size("tails")).alias("t"))).alias("f")).where("f.tails > 0")
+    return cut(listed.groupBy("f.t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+
+
+def cosine_classes(facts: DataFrame, least: float, by: str = "tfidf", among: DataFrame | None = None, earliest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(a < b, sim of classes with cosine `least` or more; seq, first of all vectors).
 
     facts: seq, text, vectors by TF-IDF or by counts (by="counts"). A class,
     named by its first seq, holds vectors that are equal. With `among` (seq),
-    all facts count for the weights, but only these meet. Facts without a term
-    are in no class.
+    all facts count for the weights, but only these meet. With `earliest`, the
+    smallest a of each b is among the pairs, and most others are not. Facts
+    without a term are in no class.
     """
     told = cut(counted(facts))
     packed = _packed(told, least, facts.count() if by == "tfidf" else None)
     packed = cut(packed if among is None else packed.join(among.select("seq"), "seq", "left_semi"))
     release(told)
-    firsts = packed.groupBy("kind").agg(F.min("seq").alias("first"))
-    members = cut(packed.select("seq", "kind").join(firsts, "kind").select("seq", "first"))
-    copies = cut(members.where("seq <> first").select("seq"))
-    vectors = packed.join(_sent(copies), "seq", "left_anti").select("seq", "t", "w", "tails")
+    vectors, members = _classes(packed)
+    size = vectors.agg(F.avg(F.size("t")).alias("terms"), F.avg(F.pow(F.aggregate("w", F.lit(0.0), lambda x, y: x + y), 2)).alias("spread")).first()
+    many = _crowded(vectors)
+    if (size["terms"] or 0) <= SHORT:
+        dealt = _dealt(vectors.mapInArrow(_whole_postings, _WHOLE), many, ["place", "terms", "weights"])
+        pairs = cut(dealt.mapInArrow(_meet_whole(least, earliest), "a long, b long, sim double"))
+        release(packed, many)
+        return pairs, members
     # unrelated vectors should not reach the threshold by terms that fall together: these add the product of the sums over the places
-    spread = vectors.agg(F.avg(F.pow(F.aggregate("w", F.lit(0.0), lambda x, y: x + y), 2)).alias("s")).first()["s"] or 1.0
     places = PLACES[0]
-    while places < min(PLACES[1], 16 * spread):
+    while places < min(PLACES[1], 4 * size["spread"]):
         places *= 2
-    listed = vectors.select(F.explode(F.arrays_zip("tails", F.slice("t", F.lit(1), F.size("tails")).alias("t"))).alias("f")).where("f.tails > 0")
-    many = cut(listed.groupBy("f.t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("t", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    postings = vectors.mapInArrow(_postings(places), _POSTINGS).join(_sent(many), "t", "left")
-    dealt = postings.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("o", other).select("t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "seq", "tail", "before", "sketch", "scale")
-    near = cut(dealt.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(_meet(least), "a long, b long"))
+    near = cut(_dealt(vectors.mapInArrow(_postings(places), _POSTINGS), many, ["tail", "before", "sketch", "scale"]).mapInArrow(_meet(least), "a long, b long"))
     heads = vectors.join(near.select(F.col("a").alias("seq")).distinct(), "seq", "left_semi").select(F.col("seq").alias("a"), F.lit(None).cast("long").alias("b"), "t", "w")
     met = heads.unionByName(near.join(vectors.select(F.col("seq").alias("b"), "t", "w"), "b"))
-    told = met.repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(_dots, "a long, b long, sim double")
-    pairs = cut(told.where(F.col("sim") >= least - _SLACK))
-    release(packed, near, many, copies)
+    summed = met.repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")).mapInArrow(_dots, "a long, b long, sim double")
+    pairs = cut(summed.where(F.col("sim") >= least - _SLACK))
+    release(packed, near, many)
     return pairs, members
 
 
@@ -341,7 +431,7 @@ def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:
 
     Of equal vectors only the first can be a match.
     """
-    pairs, members = cosine_classes(rows, least, "counts")
+    pairs, members = cosine_classes(rows, least, "counts", earliest=True)
     before = pairs.groupBy(F.col("b").alias("first")).agg(F.min("a").alias("before"))
     found = members.join(before, "first", "left").select("seq", F.coalesce("before", "first").alias("match"))
     return found.where("match < seq")

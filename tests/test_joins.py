@@ -38,9 +38,11 @@ def said(seed, n=90):
     return list(enumerate(texts + copies))
 
 
+@pytest.mark.parametrize("short", [64, 0])
 @pytest.mark.parametrize("sent, block", [(2_000_000, 1024), (0, 5)])
 @pytest.mark.parametrize("by, least", [("tfidf", 0.8512345), ("counts", 0.5012345)])
-def test_cosine_join_loses_nothing(spark, monkeypatch, sent, block, by, least):
+def test_cosine_join_loses_nothing(spark, monkeypatch, sent, block, by, least, short):
+    monkeypatch.setattr(pairs, "SHORT", short)
     monkeypatch.setattr(pairs, "TERMS_SENT", sent)
     monkeypatch.setattr(pairs, "BLOCK", block)
     if sent == 0:
@@ -65,6 +67,17 @@ def test_classes_stand_for_their_copies(spark):
     assert pairs.cosine_classes(df.limit(0), 0.5)[0].count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 5])
+def test_earliest_match(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rows = said(13)
+    want = {}
+    for a, b in sorted(brute_cosines(rows, 0.7512345, False)):
+        want.setdefault(b, a)
+    df = spark.createDataFrame(rows, "seq long, text string")
+    assert {r.seq: r.match for r in pairs.earliest_match(df, 0.7512345).collect()} == want
+
+
 @pytest.mark.parametrize("block, sent", [(1024, 200_000), (4, -1)])
 def test_overlaps_with_a_hot_keyword(spark, monkeypatch, block, sent):
     monkeypatch.setattr(pairs, "BLOCK", block)
