@@ -869,9 +869,9 @@ def stream_query_log(spark, d):
     rows = cut(tables.queries_log(spark, d))
     at = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     ends = rows.approxQuantile("seq", [0.2, 0.4, 0.6, 0.8], 0.0)
-    for lo, hi in zip([None, *ends], [*ends, None]):  # a file a batch, taken in the order of their times
+    for lo, hi in zip([None, *ends], [*ends, None]):  # each part is a batch, of a stream that is stopped and taken up again
         part = rows if lo is None else rows.where(F.col("seq") > lo)
-        (part if hi is None else part.where(F.col("seq") <= hi)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    ingest.log_queries(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
+        (part if hi is None else part.where(F.col("seq") <= hi)).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        ingest.log_queries(stream, f"{at}/log", f"{at}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{at}/log/*").where("duplicate_of IS NULL").select("seq")

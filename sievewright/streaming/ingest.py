@@ -34,6 +34,8 @@ def windowed_counts(posts: DataFrame, time: str = "created", delay: str = "1 hou
     return posts.withWatermark(time, delay).groupBy(F.window(time, width), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("engagement").alias("engagement")).select(F.col("window.start").alias("start"), "kind", "n", "engagement")
 
 
+#: Buckets that the terms of the state are kept in.
+BUCKETS = 1024
 _WORDS = "seq long, term long, place int, t binary, n binary"
 
 
@@ -50,8 +52,8 @@ def _looked_up(least: float):
                 tail = np.cumsum((n * n)[::-1])[::-1]
                 front = int((tail >= (least * least - 1e-9) * tail[0]).sum()) if len(n) else 0
                 t, packed = np.array([h for _, h in terms], np.int64), n.tobytes()
-                # a query without terms is told of once, under no term
-                out += [(seq, int(t[k]), k, t.tobytes(), packed) for k in range(front)] or [(seq, None, 0, b"", b"")]
+                # a query without terms is told of once, at no place; nulls would turn the terms beside them into floats
+                out += [(seq, int(t[k]), k, t.tobytes(), packed) for k in range(front)] or [(seq, seq, -1, b"", b"")]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["seq", "term", "place", "t", "n"])
 
@@ -59,30 +61,36 @@ def _looked_up(least: float):
 
 
 class Alike(StatefulProcessor):
-    """For each term, the queries that have it in front; arriving ones meet these, and one another in order."""
+    """For each bucket of terms, the queries that have one of its terms in front; arriving ones meet those of their term, and one another in order."""
 
     def __init__(self, least: float):
         self.least = least
 
     def init(self, handle) -> None:
-        self.known = handle.getListState("known", "seq long, t binary, n binary")
+        self.known = handle.getListState("known", "term long, seq long, t binary, n binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         fresh = pd.concat(rows).sort_values("seq")
-        alone = fresh[fresh["place"] == 0]["seq"]
+        alone = fresh[fresh["place"] <= 0]["seq"]
         out = [pd.DataFrame({"seq": alone.astype("int64"), "earlier": pd.array([None] * len(alone), "Int64")})]
-        if not pd.isna(key[0]):
-            held = [(s, np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for s, t, n in self.known.get()]
-            seen = {s for s, _, _ in held}
+        fresh = fresh[fresh["place"] >= 0]
+        asked = set(fresh["term"])
+        held: dict[int, list[tuple]] = {}
+        if len(fresh):
+            for term, seq, t, n in self.known.get():
+                if term in asked:
+                    held.setdefault(term, []).append((seq, np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)))
+            seen = {(term, seq) for term, known in held.items() for seq, _, _ in known}
             news, pairs = [], []
-            for seq, t, n in zip(fresh["seq"], fresh["t"], fresh["n"]):
-                if seq in seen:
+            for term, seq, t, n in zip(fresh["term"], fresh["seq"], fresh["t"], fresh["n"]):
+                term, seq = int(term), int(seq)
+                if (term, seq) in seen:
                     continue
-                seen.add(seq)
+                seen.add((term, seq))
                 own, count = np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)
-                pairs += [(seq, s) for s in self._near(held, own, count)]
-                held.append((int(seq), own, count))
-                news.append((int(seq), t, n))
+                pairs += [(seq, s) for s in self._near(held.get(term, []), own, count)]
+                held.setdefault(term, []).append((seq, own, count))
+                news.append((term, seq, t, n))
             if news:
                 self.known.appendList(news)
             if pairs:
@@ -106,11 +114,13 @@ class Alike(StatefulProcessor):
         pass
 
 
-def alike(queries: DataFrame, least: float = QUERY) -> DataFrame:
+def alike(queries: DataFrame, least: float = QUERY, buckets: int = BUCKETS) -> DataFrame:
     """Of a stream of queries (seq, text): seq and each earlier one that it is alike; earlier is null in one row of every query.
 
     A query is read once: its vector stays in the state, under the terms that
-    anything alike must share one of. There is no watermark, since what was
+    anything alike must share one of. Terms are kept in buckets, since a call
+    of the state costs more than some hundred of its rows: there should be as
+    many as the state has thousands of rows. There is no watermark, since what was
     asked once is asked for good; the state grows with the queries. Within a
     batch, order is that of seq; batches are taken in the order that they come.
     """
@@ -118,7 +128,8 @@ def alike(queries: DataFrame, least: float = QUERY) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     words = F.transform(filtered_tokens(F.coalesce("text", F.lit(""))), lambda t: F.struct(F.length(t).alias("size"), F.xxhash64(t).alias("hash")))
     rows = queries.select("seq", words.alias("words")).mapInArrow(_looked_up(least), _WORDS)
-    return rows.groupBy("term").transformWithStateInPandas(Alike(least), "seq long, earlier long", "Append", "None")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(Alike(least), "seq long, earlier long", "Append", "None")
 
 
 def log_queries(queries: DataFrame, log_path: str, checkpoint: str) -> StreamingQuery:
