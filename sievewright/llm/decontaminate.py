@@ -11,7 +11,7 @@ words ahead than the shortest window has cannot match and are left out.
 An item with fewer words than a window is one window as a whole; an item
 without words matches nothing. Null and empty texts have no words: n_words 0,
 not contaminated. An empty benchmark leaves every document clean; an item
-without id is one of its own. Repeated rows, and rows with a null doc_id, are
+without id is one of its own, named by an empty string. Repeated rows, and rows with a null doc_id, are
 judged one by one, each by its own text; judge() ignores extra columns, clean()
 keeps them. The benchmark, which is small against the corpus, is sent to the
 workers in slices of at most SLICE_BYTES of text; all are searched in one scan.
@@ -19,7 +19,7 @@ workers in slices of at most SLICE_BYTES of text; all are searched in one scan.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
-from sievewright.llm._shared import tidy
+from sievewright.llm._shared import KEPT, tidy
 
 WINDOW = 13
 #: Text of a benchmark slice that is held in a worker at once.
@@ -41,6 +41,14 @@ SHARE = 20
 FOUND = "doc_id long, n_words long, spans array<struct<begin:int,end:int>>, items array<string>, longest int, longest_item string, longest_at int"
 
 
+class Nameless(str):
+    """The name that an item without id goes by; outside it is empty."""
+
+
+#: Windows that a worker has built, of the last benchmark that it was asked for.
+_BUILT: dict[str, list[Windows]] = {}
+
+
 class Windows:
     """The benchmark's windows, by length, as sorted rows of word numbers."""
 
@@ -49,25 +57,26 @@ class Windows:
         buf, offs = _bytes.text_bytes(texts)
         start, _, hashed = _bytes.words(buf, offs, _bytes.letter_words())
         bounds = _bytes.per_doc(start, offs)
-        self.items = [str(i) for i, _ in items]
+        self.items = [i for i, _ in items]
         self.vocabulary = np.unique(hashed)
         word = (np.searchsorted(self.vocabulary, hashed) + 1).astype(np.int64)
-        by_length: dict[int, list[tuple[int, int, int]]] = {}
-        for k in range(len(items)):
-            lo, hi = bounds[k], bounds[k + 1]
-            size = min(window, hi - lo)
-            if size:
-                by_length.setdefault(int(size), []).extend((k, p - lo, p) for p in range(lo, hi - size + 1))
-        self.longest = max(by_length, default=1)
+        # every place of every item that a window begins at; an item of fewer words is one window
+        size = np.minimum(window, np.diff(bounds))
+        many = np.where(size > 0, np.diff(bounds) - size + 1, 0)
+        item = np.repeat(np.arange(len(items)), many)
+        place = np.arange(int(many.sum())) - (np.cumsum(many) - many)[item]
+        at, size = bounds[:-1][item] + place, size[item]
+        self.longest = int(size.max(initial=1))
         #: what windows of two words or more begin with, and windows of one word
-        self.firsts = np.unique([int(word[p]) << 32 | int(word[p + 1]) for size, rows in by_length.items() if size > 1 for _, _, p in rows] or np.zeros(0, np.int64)).astype(np.int64)
-        self.singles = np.unique([int(word[p]) for _, _, p in by_length.get(1, ())] or np.zeros(0, np.int64)).astype(np.int64)
+        several = at[size > 1]
+        self.firsts = np.unique(word[several] << 32 | word[several + 1])
+        self.singles = np.unique(word[at[size == 1]])
         #: length -> (least and largest suffix that begins with each window, item, place in the item)
         self.by_length = {}
-        for size, rows in by_length.items():
-            item, place, at = np.array(rows, np.int64).T
-            low, high = (_keys(word, at, self.longest, np.full(len(at), size), rest) for rest in (0, (1 << 32) - 1))
-            self.by_length[size] = low, high, item, place
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            low, high = (_keys(word, at[own], self.longest, np.full(len(own), n), rest) for rest in (0, (1 << 32) - 1))
+            self.by_length[n] = low, high, item[own], place[own]
 
 
 def _keys(word: np.ndarray, at: np.ndarray, size: int, ahead: np.ndarray, rest: int = 0) -> np.ndarray:
@@ -193,22 +202,36 @@ def _in_shard(buf: np.ndarray, offs: np.ndarray, slices: list[Windows]) -> tuple
 def _windows(spark: SparkSession, benchmark: DataFrame, window: int, slice_bytes: int):
     """A function that gives the benchmark's slices, one after the other, in a worker."""
     shared = [spark.sparkContext.broadcast(own) for own in _slices(benchmark, slice_bytes)]
-    return lambda: [Windows(own.value, window) for own in shared]
+    key = uuid.uuid4().hex
+
+    def get() -> list[Windows]:
+        if key not in _BUILT:  # once a worker, not once a task
+            _BUILT.clear()
+            _BUILT[key] = [Windows(own.value, window) for own in shared]
+        KEPT["decontaminate"] = _BUILT.clear
+        return _BUILT[key]
+
+    return get
 
 
 def _slices(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
     """Items in order of their ids as text, in slices of at most `most` bytes (or one item)."""
-    own, size = [], 0
+    own, size, nameless = [], 0, 0
     for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).orderBy("i").toLocalIterator():
         more = len((r["t"] or "").encode())
         if own and size + more > most:
             yield own
             own, size = [], 0
-        own.append((r["i"], r["t"]))
+        nameless += r["i"] is None
+        own.append((Nameless(f"\0{nameless:012d}") if r["i"] is None else r["i"], r["t"]))
         size += more
     yield own
 
 
+def _said(item: str | None) -> str | None:
+    return "" if isinstance(item, Nameless) else item
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """A row a document: doc_id, n_words, spans of hit words, items met, the longest match and where it is."""
     slices = _windows(docs.sparkSession, benchmark, window, slice_bytes)
@@ -219,10 +242,11 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_byte
         for batch in batches:
             n, found = _found(batch.column("text"), own)
             spans, names, longest, which, where = zip(*found) if found else [()] * 5
+            names, which = [[_said(i) for i in x] for x in names], [_said(i) for i in which]
             columns = [batch.column("doc_id"), pa.array(n), pa.array([[{"begin": b, "end": e} for b, e in x] for x in spans], span), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int32()), pa.array(which, pa.string()), pa.array(where, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items", "longest", "longest_item", "longest_at"])
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), FOUND)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, "decontaminate"), FOUND)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -236,7 +260,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_byt
             hit = np.array([sum(e - b for b, e in x[0]) for x in found], np.int64)
             yield batch.filter(pa.array(~((hit > 0) & (SHARE * hit >= n))))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(tidy(run, "decontaminate"), docs.schema)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -179,7 +179,7 @@ def train(docs: DataFrame, rows: int = ROWS_A_LANGUAGE, nodes: int = NODES, lang
         return Model({})
     nodes = max(nodes // len(sizes), 1)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows / r["count"]))])
-    chosen = known.where(F.col("lang").isin([r["lang"] for r in sizes])).where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    chosen = known.where(F.col("lang").isin([r["lang"] for r in sizes])).where(F.pmod(F.xxhash64(F.lit("lang"), F.coalesce("doc_id", F.xxhash64("text"))), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
     counted = chosen.select("lang", "text").mapInArrow(tidy(_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     long = F.col("gram") >= 1 << 17  # contexts of two and three bytes; the shorter ones are at most 257 a language
     context, order = F.shiftright("gram", 8), F.col("gram") >= 1 << 25

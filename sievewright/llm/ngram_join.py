@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import _bytes
 from sievewright.llm._exchange import buckets_of, chunks_of, exchange, travel
-from sievewright.llm._shared import cut, salted_join, sweep, tidy
+from sievewright.llm._shared import cut, release, salted_join, sweep, tidy
 from sievewright.operators.graph import components
 
 SHINGLE = 5
@@ -552,10 +552,11 @@ def links_of(sets: DataFrame, few: int = FEW, part: int = PART, crowd_block: int
     left, right = (signs.select(F.col("number").alias(c), F.col("size").alias(f"n{c}"), F.col("own").alias(f"u{c}"), F.col("marks").alias(f"m{c}")) for c in "ab")
     possible = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ua", "ub", "ma", "mb").mapInArrow(tidy(_possible), "a long, b long"))
     links = cut(_verified(sets, possible))
+    release(possible)
     found = cut(components(links))
 
     # what met under a crowded key and is not together yet: first the likeliest partners of each, then all that are left
-    keys = None
+    keys, used = None, [met, signs]
     for most in (LIKELIEST, None):
         crowd = met.where(F.col("key").isNotNull()).select("key", "number", "place", "size")
         if keys is not None:  # after the first pass only keys where some set has more partners than were tried
@@ -568,15 +569,19 @@ def links_of(sets: DataFrame, few: int = FEW, part: int = PART, crowd_block: int
         rows = told.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "number", "place", "size", "own", "component", "marks")
         others = rows.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(tidy(partial(_crossing, most=most)), "a long, b long")
         others = cut(others.distinct())
+        release(crowd)
+        used.append(others)
         if others.isEmpty():
             break
         keys = others.where(F.col("b").isNull()).select(F.col("a").alias("key"))
         more = cut(_verified(sets, others.where(F.col("b").isNotNull())))
         if not more.isEmpty():
             links = links.unionByName(more)
+            used.append(found)
             found = cut(components(links))
         if most is not None and keys.isEmpty():
             break
+    release(found, *used)
     return links
 
 
@@ -587,6 +592,7 @@ def link(docs: DataFrame, few: int = FEW, part: int = PART, crowd_block: int = C
     sets = cut(every.where(F.col("shared").isNotNull()).select("number", "size", "shared", "ranks").dropDuplicates(["number"]))
     sweep(docs.sparkSession)
     links = links_of(sets, few, part, crowd_block)
+    release(sets)
     # rows of one doc_id with different sets link these
     known = every.where(F.col("number").isNotNull()).select("doc_id", "number")
     twice = cut(known.groupBy("doc_id").agg(F.min("number").alias("a"), F.max("number").alias("z")).where("a < z").select("doc_id", "a"))

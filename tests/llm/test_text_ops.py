@@ -454,3 +454,29 @@ def test_shards_of_a_batch_are_searched_alike():
     whole, parts = (decontaminate._found(texts, slices, size) for size in (1 << 20, 50))
     assert whole[0].tolist() == parts[0].tolist() and whole[1] == parts[1]
     assert len(whole[1]) == len(texts) and {i for x in whole[1] for i in x[1]} == {"1", "2", "3"}
+
+
+# ---- rows without ids ----
+def test_items_without_id_are_their_own(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    docs = frame(spark, [(1, text), (2, f"{text} {other}"), (3, "nothing of it"), (None, other)])
+    items = spark.createDataFrame([(None, text), (None, other), (7, text)], "item_id long, text string")
+    import hashlib
+
+    sha = lambda *x: hashlib.sha256(",".join(x).encode()).hexdigest()
+    for slice_bytes in (decontaminate.SLICE_BYTES, 10):
+        got = {r.doc_id: r for r in decontaminate.find(docs, items, slice_bytes=slice_bytes).collect()}
+        assert got[1]["items"] == ["", "7"] and got[2]["items"] == ["", "", "7"] and got[3]["items"] == [] and got[None]["items"] == [""]
+    judged = {r.doc_id: r for r in decontaminate.judge(docs, items).collect()}
+    assert (judged[2].n_items, judged[2].items_sha256) == (3, sha("", "", "7")) and judged[None].n_items == 1
+
+
+def test_languages_are_learned_from_rows_without_id(spark):
+    say = {"en": "the and of thing with that", "de": "und der die ein nicht sehr"}
+    rnd = random.Random(21)
+    rows = [(None, " ".join(rnd.choices(words_.split(), k=12)), lang) for lang, words_ in say.items() for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    told = langid.predict(df, langid.train(df, rows=100))
+    assert told.join(df.distinct(), told.lang_pred == df.lang, "left_semi").count() == 600
+    assert {r.lang_pred for r in told.collect()} == {"en", "de"}
