@@ -103,6 +103,40 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte: the reversed polynomial, a bit at a time."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def _jump_sql(shards: int = 40) -> str:
+    """The jumps as a recursion in 128-bit numbers, the checksum byte by byte."""
+    step = "(key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT"
+    lands = lambda shard, key: f"floor(({shard} + 1) * (2147483648.0::DOUBLE / (({key}) // 8589934592::HUGEINT + 1)::DOUBLE))::BIGINT"
+    crc = f"list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hexed, '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(({_crc_table()}::BIGINT[])[(xor(c, b) & 255) + 1], c >> 8))"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS i, doc_id, CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END AS key, hex(encode(coalesce(text, ''))) AS hexed FROM documents
+), jumps AS (
+  SELECT i, n, key, 0::BIGINT AS shard, 0::BIGINT AS following FROM d, (VALUES ({shards}), ({shards + 1})) counts(n)
+  UNION ALL
+  SELECT i, n, {step}, following, {lands("following", step)} FROM jumps WHERE following < n
+), landed AS (
+  SELECT i, max(shard) FILTER (n = {shards})::INT AS shard, max(shard) FILTER (n = {shards + 1})::INT AS grown_shard FROM jumps GROUP BY i
+), sized AS (
+  SELECT i, doc_id, length(hexed) // 2 + 16 AS size, xor({crc}, 4294967295::BIGINT) AS text_crc32 FROM d
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard
+FROM sized JOIN landed USING (i)"""
+
+
+ORACLES["op9_jump_shards"] = _jump_sql()
+
+
 @query
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find the secrets of every document."""
