@@ -420,10 +420,18 @@ def bow_pairs(facts: DataFrame, least: float) -> DataFrame:
 
 
 def first_match(asked: DataFrame, done: DataFrame, least: float = 0.75) -> DataFrame:
-    """For each asked (seq, text) the earliest done (seq, text) whose counts have cosine `least` or more: seq, match, sim."""
-    both = done.select(F.col("seq").cast("long"), "text").unionByName(asked.select((-F.col("seq") - 1).alias("seq"), "text"))
-    pairs = bow_pairs(both, least).where("a < 0 AND b >= 0")
-    return pairs.select((-F.col("a") - 1).alias("seq"), F.col("b").alias("match"), "sim").groupBy("seq").agg(F.min_by(F.struct("match", "sim"), "match").alias("m")).select("seq", "m.match", "m.sim")
+    """For each asked (seq from 0, text) the earliest done (seq, text) whose counts have cosine `least` or more: seq, match, sim.
+
+    Asked ones are put behind the done, so the earliest that any is alike is a
+    done one if there is such; done ones aren't compared for their own sake.
+    """
+    last = F.lit(done.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("m")).first()["m"]).cast("long")
+    both = done.select(F.col("seq").cast("long"), "text").unionByName(asked.select((F.col("seq") + last + 1).alias("seq"), "text"))
+    pairs, members = cosine_classes(both, least, "counts", earliest=True)
+    before = pairs.groupBy(F.col("b").alias("first")).agg(F.min_by(F.struct("a", "sim"), "a").alias("m"))
+    found = members.where(F.col("seq") > last).join(before, "first", "left")
+    found = found.select((F.col("seq") - last - 1).alias("seq"), F.coalesce("m.a", "first").alias("match"), F.coalesce("m.sim", F.lit(1.0)).alias("sim"))
+    return found.where(F.col("match") <= last)
 
 
 def earliest_match(rows: DataFrame, least: float = 0.75) -> DataFrame:

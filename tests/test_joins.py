@@ -149,3 +149,12 @@ def test_ranks_and_running_sums(spark):
     assert got == {i: 1 + sum(1 for _, t, x in rows if t == tier and x > total) for i, tier, total in rows}
     told = running(df.select("tier", "id", F.lit(2).alias("v")), "tier", ["id"], "v", "upto").collect()
     assert {r.id: r.upto for r in told} == {i: 2 * sum(1 for j, t, _ in rows if t == tier and j <= i) for i, tier, _ in rows}
+
+
+def test_first_match_asks_the_done_only(spark):
+    done = [(3, "red fox runs"), (5, "blue whale sings"), (9, "red fox runs"), (10, None)]
+    asked = [(0, "runs fox red"), (1, "green bird"), (2, "green bird"), (4, "blue whale sings loud"), (7, "")]
+    make = lambda rows: spark.createDataFrame(rows, "seq long, text string")
+    got = {r.seq: (r.match, round(r.sim, 6)) for r in pairs.first_match(make(asked), make(done)).collect()}
+    assert got == {0: (3, 1.0), 4: (5, round(math.sqrt(3) / 2, 6))}
+    assert pairs.first_match(make(asked), make(done).limit(0)).count() == 0 and pairs.first_match(make(asked).limit(0), make(done)).count() == 0
