@@ -13,6 +13,8 @@ from sievewright.operators.lineage import cut, release
 
 #: Up to so many open edges are settled by one task, in order.
 FEW_EDGES = 200_000
+#: Rounds that settle all over the graph before rounds in order begin.
+ROUNDS = 6
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,14 +83,26 @@ def leaders(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     settles what it can: nodes without an open or leading earlier neighbour
     lead, and their later neighbours are duplicates; at least the first open
     node of each component is settled. Once at most `few` edges are open, one
-    task goes through them in order, so long chains need no rounds of their own.
+    task goes through them in order. While there are more after ROUNDS rounds,
+    as long chains have it, every other round takes the nodes up to such a
+    place that about `few` edges end there: no later edge decides on them, so
+    rounds are as many as the edges divided by `few`, however long the chains.
     """
     open_ = cut(edges.select("a", "b").distinct())
     found: list[DataFrame] = []
+    rounds = 0
     while left := open_.count():
+        rounds += 1
         if left <= few:
             found.append(cut(open_.coalesce(1).sortWithinPartitions("b", "a").mapInArrow(_in_order, "node long, duplicate_of long")))
             break
+        if rounds > ROUNDS and (rounds - ROUNDS) % 2:
+            place = open_.approxQuantile("b", [few / left], 0.001)[0]
+            gone = cut(open_.where(F.col("b") <= place).coalesce(1).sortWithinPartitions("b", "a").mapInArrow(_in_order, "node long, duplicate_of long"))
+            found.append(gone)
+            former, open_ = open_, cut(open_.where(F.col("b") > place).join(gone.select(F.col("node").alias("a")), "a", "left_anti").select("a", "b"))
+            release(former)
+            continue
         # open edges join open nodes only, so a node that is never a later one leads
         lead = open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
         gone = cut(open_.join(lead.withColumnRenamed("node", "a"), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("duplicate_of")))
@@ -96,7 +110,8 @@ def leaders(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         rest = open_.join(lead.withColumnRenamed("node", "a"), "a", "left_anti")
         for side in ("a", "b"):
             rest = rest.join(gone.select(F.col("node").alias(side)), side, "left_anti")
-        open_ = cut(rest.select("a", "b"))
+        former, open_ = open_, cut(rest.select("a", "b"))
+        release(former)
     if not found:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("duplicate_of")).limit(0)
     out = found[0]

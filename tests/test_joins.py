@@ -158,3 +158,16 @@ def test_first_match_asks_the_done_only(spark):
     got = {r.seq: (r.match, round(r.sim, 6)) for r in pairs.first_match(make(asked), make(done)).collect()}
     assert got == {0: (3, 1.0), 4: (5, round(math.sqrt(3) / 2, 6))}
     assert pairs.first_match(make(asked), make(done).limit(0)).count() == 0 and pairs.first_match(make(asked).limit(0), make(done)).count() == 0
+
+
+def test_leaders_of_long_chains(spark):
+    """A chain longer than any number of rounds that settle all over the graph, with shortcuts."""
+    rnd = random.Random(14)
+    edges = {(i, i + 1) for i in range(160)} | {tuple(sorted(rnd.sample(range(160), 2))) for _ in range(30)} | {(200, b) for b in range(201, 240)}
+    gone = {}
+    for a, b in sorted(edges, key=lambda e: (e[1], e[0])):
+        if a not in gone and b not in gone:
+            gone[b] = a
+    df = spark.createDataFrame(sorted(edges), "a long, b long").repartition(3)
+    assert {r.node: r.duplicate_of for r in graph.leaders(df, few=40).collect()} == gone
+    assert {r.node: r.duplicate_of for r in graph.leaders(df).collect()} == gone
