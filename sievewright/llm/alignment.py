@@ -48,8 +48,8 @@ DEALT = 4 << 20
 STRIPE = 128
 #: Chunks of which one part of a stripe takes the counts.
 CHUNKS_A_PART = 2048
-#: A worker forgets its units once they have so many characters, some 16 a unit added; about 150 MB.
-MOST_KEPT = 8_000_000
+#: A worker forgets its units once they have so many characters, some 16 a unit added; about 75 MB.
+MOST_KEPT = 4_000_000
 _REGULAR = re.compile(r"(?<=\S)(?= \S)").split
 
 
