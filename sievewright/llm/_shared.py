@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,8 +49,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
     """
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [x for x in KEPT if x != keeps]:
+        others = [x for x in KEPT if x != keeps]
+        for name in others:
             KEPT.pop(name)()
+        if others:  # before anything new is built beside it
+            gc.collect()
+            give_back()
         try:
             yield from run(batches)
         finally:
