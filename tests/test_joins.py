@@ -194,3 +194,17 @@ def test_long_vectors_meet_by_parts(spark, monkeypatch, common, sent):
             told.setdefault(r.first, []).append(r.seq)
         across = [(min(x, y), max(x, y)) for r in found.collect() for x in told[r.a] for y in told[r.b]]
         assert len(across) == len(set(across)) and set(across) == {k for k in want if (k[0] % 3 == 0) != (k[1] % 3 == 0)}
+
+
+def test_links_join_what_edges_do(spark):
+    rnd = random.Random(31)
+    for words in (12, 60, 200):
+        lists = {i: set(rnd.sample([f"k{j}" for j in range(words)], rnd.choice((1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 8)))) for i in range(90)}
+        lists |= {100 + i: lists[i] for i in range(0, 20, 3)}
+        df = spark.createDataFrame([(i, w) for i, x in lists.items() for w in sorted(x)], "seq long, term string")
+        told = lambda edges: {r.node: r.component for r in graph.components(edges).collect()}
+        assert told(pairs.overlap_links(df)) == told(pairs.overlap_edges(df))
+    # a crowd makes a star, not its square of edges
+    crowd = spark.range(300).select(F.col("id").alias("seq"), F.explode(F.array(F.lit("x"), F.lit("y"), F.lit("z"), *(F.concat(F.lit(f"w{k}-"), F.col("id").cast("string")) for k in range(5)))).alias("term"))
+    assert pairs.overlap_links(crowd).count() < 1000 and pairs.overlap_edges(crowd).count() == 300 * 299 // 2
+    assert pairs.overlap_links(df.limit(0)).count() == 0
