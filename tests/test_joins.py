@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions.text import STOPWORDS
 from sievewright.operators import bloom, feed, graph, pairs, post_index
+from sievewright.operators.lineage import cut
 from sievewright.operators.numbering import running
 
 
@@ -208,3 +209,18 @@ def test_links_join_what_edges_do(spark):
     crowd = spark.range(300).select(F.col("id").alias("seq"), F.explode(F.array(F.lit("x"), F.lit("y"), F.lit("z"), *(F.concat(F.lit(f"w{k}-"), F.col("id").cast("string")) for k in range(5)))).alias("term"))
     assert pairs.overlap_links(crowd).count() < 1000 and pairs.overlap_edges(crowd).count() == 300 * 299 // 2
     assert pairs.overlap_links(df.limit(0)).count() == 0
+
+
+def test_pairs_go_to_no_table(spark, monkeypatch):
+    """Pairs may be the square of the facts: what is kept on the way has a row a fact or term at most."""
+    texts = said(21, 60)
+    kept = []
+    monkeypatch.setattr(pairs, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    monkeypatch.setattr(pairs, "SHORT", 0)
+    df = spark.createDataFrame(texts, "seq long, text string")
+    assert {(r.a, r.b) for r in pairs.cosine_pairs(df, 0.3012345).collect()} == brute_cosines(texts, 0.3012345, True).keys()
+    assert kept and not any("sim" in table.columns for table in kept)
+    kept.clear()
+    lists = spark.createDataFrame([(i, w) for i in range(40) for w in ("hot", "warm", f"w{i % 7}", f"v{i}")], "seq long, term string")
+    assert pairs.overlap_edges(lists).count() == 40 * 39 // 2
+    assert kept and all(table.count() <= 40 for table in kept)
