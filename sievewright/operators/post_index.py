@@ -1,8 +1,9 @@
 """Search over a positional inverted index of posts.
 
-The index has a row for each word of a post: where it stands. It is written in
-buckets of words, sorted, so a search reads the buckets of the words that it
-asks for and of those the row groups that hold them. Words meet by joins on the
+The index has a row for each word of some hundred posts: which of them hold it,
+and where it stands there. It is written in buckets of words, sorted, so a
+search reads the buckets of the words that it asks for and of those the row
+groups that hold them. Words meet by joins on the
 post: side by side they intersect, OR unites, - subtracts, and a "phrase" asks
 for places that follow each other. What is no word (from:, since:, min_faves:
 and so on) filters the posts; list: keeps posts whose author is a member.
@@ -10,15 +11,22 @@ and so on) filters the posts; list: keeps posts whose author is a member.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.operators import feed
+from sievewright.operators.keys import by_key
 
 WORD = r"[\p{L}\p{N}_]+"
 BUCKETS = 64
+#: Posts whose words are put together before they move.
+GATHERED = 2000
+_POSTINGS = "term string, posts array<long>, many array<int>, places array<int>"
 
 
 def _bucket(term, buckets: int):
@@ -30,15 +38,52 @@ def words(text):
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every GATHERED posts (post_id, words) a row for each word: the posts that hold it, how often, and its places in each, one after the other."""
+    for batch in (b.slice(k, GATHERED) for b in batches for k in range(0, len(b), GATHERED)):
+        said = batch.column("words")
+        bounds = said.offsets.to_numpy()
+        coded = said.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
+        if not len(coded):
+            continue
+        bounds = bounds - bounds[0]
+        code = coded.indices.to_numpy()
+        order = np.argsort(code, kind="stable")  # by word, then post, then place
+        row = np.repeat(np.arange(len(batch)), np.diff(bounds))[order]
+        code, place = code[order], order - bounds[row]
+        word = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        post = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
+        lists = pa.array(np.append(np.searchsorted(post, word), len(post)), pa.int32())
+        many = pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(post, len(code))), pa.int32()))
+        places = pa.ListArray.from_arrays(pa.array(np.append(word, len(code)), pa.int32()), pa.array(place, pa.int32()))
+        columns = [coded.dictionary.take(pa.array(code[word])), pa.ListArray.from_arrays(lists, batch.column("post_id").take(pa.array(row[post]))), many, places]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "posts", "many", "places"])
+
+
+def _each_post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """post_id and places of what _gathered() put together."""
+    for batch in batches:
+        posts, many, places = (batch.column(c).flatten() for c in ("posts", "many", "places"))
+        bounds = np.concatenate([[0], np.cumsum(many.to_numpy())])
+        yield pa.RecordBatch.from_arrays([posts, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), places)], names=["post_id", "places"])
+
+
 def build(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Write the index of posts (post_id, text): bucket, term, post_id, places (from 0). Null texts have no words.
+    """Write the index of posts (post_id, text): bucket, term, posts, how many places each has, and these (from 0). Null texts have no words.
 
-    A post's words are gathered within its row, so only postings move, once, to
-    the bucket and then by post, so that a word of every post is spread too.
+    Words are gathered from many posts at once where these are read, so only
+    postings move, once, to the bucket and one of eight parts of it, so that a
+    word of every post is spread too. Posts of one id are first put together.
     """
-    each = posts.select("post_id", F.posexplode(words(F.coalesce("text", F.lit("")))).alias("place", "term"))
-    rows = each.groupBy("post_id", "term").agg(F.sort_array(F.collect_list("place")).alias("places")).withColumn("bucket", _bucket(F.col("term"), buckets))
-    spread = F.pmod(F.xxhash64("post_id"), F.lit(8))
+    once, several = by_key(posts.select(F.col("post_id").cast("long").alias("post_id"), "text"), "post_id")
+    told = lambda rows: rows.select("post_id", words(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = told(once).mapInArrow(_gathered, _POSTINGS)
+    if several is not None:
+        each = told(several).select("post_id", F.posexplode("words").alias("place", "term"))
+        merged = each.groupBy("post_id", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        rows = rows.unionByName(merged.select("term", F.array("post_id").alias("posts"), F.array(F.size("places")).alias("many"), "places"))
+    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+    spread = F.pmod(F.xxhash64(F.col("posts")[0]), F.lit(8))
     rows.repartition("bucket", spread).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
@@ -47,13 +92,14 @@ class PostIndex:
 
     def __init__(self, spark: SparkSession, path: str, posts: DataFrame, members: DataFrame | None = None, buckets: int = BUCKETS):
         self.spark, self.posts, self.members, self.buckets = spark, posts, members, buckets
-        self.rows = spark.read.schema("term string, post_id long, places array<int>, bucket int").parquet(path)
+        self.rows = spark.read.schema(f"{_POSTINGS}, bucket int").parquet(path)
 
     def postings(self, term: str) -> DataFrame:
         """post_id, places of one word; its bucket is found here, so that only this folder is listed."""
         # one value: the same hash as build()
         bucket = self.spark.range(1).select(_bucket(F.lit(term), self.buckets).alias("b")).first()["b"]
-        return self.rows.where((F.col("bucket") == bucket) & (F.col("term") == term)).select("post_id", "places")
+        found = self.rows.where((F.col("bucket") == bucket) & (F.col("term") == term))
+        return found.select("posts", "many", "places").mapInArrow(_each_post, "post_id long, places array<int>")
 
     def search(self, query: str) -> DataFrame:
         """post_id of what a search text finds (see feed.search(); words here are whole words)."""
