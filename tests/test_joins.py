@@ -252,3 +252,55 @@ def test_pairs_go_to_no_table(spark, monkeypatch):
     lists = spark.createDataFrame([(i, w) for i in range(40) for w in ("hot", "warm", f"w{i % 7}", f"v{i}")], "seq long, term string")
     assert pairs.overlap_edges(lists).count() == 40 * 39 // 2
     assert kept and all(table.count() <= 40 for table in kept)
+
+
+@pytest.mark.parametrize("sent", [2_000_000, 0])
+@pytest.mark.parametrize("by, least", [("tfidf", 0.8512345), ("counts", 0.5012345)])
+def test_vectors_with_rare_terms_in_front_meet_by_these(spark, monkeypatch, sent, by, least):
+    """Pairs are those of brute force whether rare terms alone are in front or common ones too, within a part and across."""
+    for name, value in (("SHORT", 0), ("TERMS_SENT", sent), ("COMMON", 0.2), ("PART", 40), ("CELLS", 60)):
+        monkeypatch.setattr(pairs, name, value)
+    rows = said(17)
+    df = spark.createDataFrame(rows, "seq long, text string")
+    got = {(r.a, r.b): r.sim for r in pairs.cosine_pairs(df, least, by).collect()}
+    want = brute_cosines(rows, least, by == "tfidf")
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_few_pairs_are_looked_at_by_fronts():
+    """Two vectors without a shared front term are not even bounded."""
+    rows = [[k, 3, 2, 1.0, np.array([2 * k, 2 * k + 1, 500], np.int64).tobytes(), np.array([0.8, 0.59, 0.11]).tobytes()] for k in range(200)]
+    rows.append([200, 3, 2, 1.0, np.array([0, 1, 500], np.int64).tobytes(), np.array([0.81, 0.58, 0.09]).tobytes()])
+    x = pairs._Part(rows, None)
+    looked = []
+    exact = pairs._exact
+    pairs._exact = lambda x, y, i, j, *more: (looked.extend(zip(i, j)), exact(x, y, i, j, *more))[1]
+    try:
+        found = [(x.seq[i].tolist(), x.seq[j].tolist()) for i, j, _ in pairs._by_fronts(x, x, True, 0.85, 501)]
+    finally:
+        pairs._exact = exact
+    assert found == [([0], [200])] and len(looked) == 1
+
+
+@pytest.mark.parametrize("part", [49_152, 20])
+def test_leaders_by_stretches_make_few_pairs(spark, monkeypatch, part):
+    """A crowd of alike facts meets its leader; the pairs within are not made."""
+    for name, value in (("SHORT", 0), ("STRETCH", 1), ("STRETCHES", (0.1, 0.5)), ("COMMON", 0.2), ("PART", part)):
+        monkeypatch.setattr(pairs, name, value)
+    rnd = random.Random(19)
+    crowd = [" ".join(["alike"] * 40 + ["crowd"] * 40 + [f"x{chr(97 + k % 26)}{chr(97 + k // 26)}"]) for k in range(100)]
+    texts = crowd + [t for _, t in said(18)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    made = []
+    leaders = pairs.leaders
+    monkeypatch.setattr(pairs, "leaders", lambda edges: (made.append(edges.count()), leaders(edges))[1])
+    found, members = pairs.cosine_leaders(spark.createDataFrame(rows, "seq long, text string"), 0.8512345)
+    got = {r.node: r.duplicate_of for r in pairs.spread_duplicates(found, members).collect()}
+    want, lead = {}, []
+    near = brute_cosines(rows, 0.8512345, True)
+    for k, _ in rows:
+        first = next((a for a in lead if (a, k) in near), None)
+        want |= {} if first is None else {k: first}
+        lead += [k] if first is None else []
+    assert got == want and sum(made) < len(near) / 4
