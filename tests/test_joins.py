@@ -304,3 +304,21 @@ def test_leaders_by_stretches_make_few_pairs(spark, monkeypatch, part):
         want |= {} if first is None else {k: first}
         lead += [k] if first is None else []
     assert got == want and sum(made) < len(near) / 4
+
+
+@pytest.mark.parametrize("short", [64, 0])
+def test_of_two_sides_the_larger_moves_once(spark, monkeypatch, short):
+    for name, value in (("SHORT", short), ("COMMON_LOW", 0.2), ("LATER", 3)):
+        monkeypatch.setattr(pairs, name, value)
+    moved = []
+    dealt = pairs._dealt_parts, pairs._dealt_behind
+    for name, deal in zip(("_dealt_parts", "_dealt_behind"), dealt):
+        monkeypatch.setattr(pairs, name, lambda *a, deal=deal: (moved.append((out := deal(*a)).count()), out)[1])
+    rows = said(21)
+    side = {k: k % 9 == 0 for k, _ in rows}
+    df = spark.createDataFrame([(k, t, side[k]) for k, t in rows], "seq long, text string, side boolean")
+    got = {(r.a, r.b): r.sim for r in pairs.cosine_pairs_across(df.select("seq", "text"), df.select("seq", "side"), 0.5012345).collect()}
+    want = {k: v for k, v in brute_cosines(rows, 0.5012345, True).items() if side[k[0]] != side[k[1]]}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    if not short:
+        assert sum(moved) <= len(rows) + 2 * sum(side.values())
