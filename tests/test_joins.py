@@ -258,7 +258,7 @@ def test_pairs_go_to_no_table(spark, monkeypatch):
 @pytest.mark.parametrize("by, least", [("tfidf", 0.8512345), ("counts", 0.5012345)])
 def test_vectors_with_rare_terms_in_front_meet_by_these(spark, monkeypatch, sent, by, least):
     """Pairs are those of brute force whether rare terms alone are in front or common ones too, within a part and across."""
-    for name, value in (("SHORT", 0), ("TERMS_SENT", sent), ("COMMON", 0.2), ("PART", 40), ("CELLS", 60)):
+    for name, value in (("SHORT", 0), ("TERMS_SENT", sent), ("COMMON", 0.2), ("COMMON_LOW", 0.2), ("PART", 40), ("CELLS", 60)):
         monkeypatch.setattr(pairs, name, value)
     rows = said(17)
     df = spark.createDataFrame(rows, "seq long, text string")
